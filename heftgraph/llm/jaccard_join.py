@@ -1,7 +1,8 @@
 """N-gram Jaccard join with token-combination prefixes, and the classes its links make.
 
 Tokens are word shingles. Documents of equal sets are one class from the start. Every set is put in
-one order of all tokens, rare before frequent; two sets that reach the threshold then share k tokens
+one order of all tokens, rare before frequent: first those that aren't seen to repeat, by the summed
+log counts of their words (a shingle with a rare word is rare), then the others by their own counts; two sets that reach the threshold then share k tokens
 among their first n - ceil(t n) + k. Rare tokens of that prefix are indexed singly, those of the
 frequent class in combinations of k = 2. Sets over LONG tokens, for which combinations would be
 many, index single frequent tokens; around LONG both are done, so that no pair within the length
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from heftgraph.llm.common import broadcast_if_small, column, forget, release, settle, slices, texts, utf8
 from heftgraph.llm.links import components, with_texts
-from heftgraph.llm.words import mix, shingle_sets
+from heftgraph.llm.words import hash_words, mix, shingle_sets, shingles, weighted_sets
 
 #: Repetitions from which a token belongs to the frequent class.
 FREQUENT = 256
@@ -56,35 +57,45 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n long, sig binary")
 
 
-def repeated_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that repeat within tasks' windows over all documents, ascending, with their counts; at most KNOWN."""
+def repeated(docs: DataFrame, k: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Shingles and words that repeat within tasks' windows over all documents, ascending, with their counts; at most KNOWN of each."""
 
     def run(batches):
-        held, n = [], 0
+        held: tuple[list, list] = ([], [])
+        n = 0
 
         def flush():
-            tokens, count = np.unique(np.concatenate(held), return_counts=True)
-            twice = count > 1
-            return pa.RecordBatch.from_arrays([pa.array(tokens[twice].view(np.int64)), pa.array(count[twice])], names=["token", "c"])
-
-        for _, sets in _sets(batches, k):
-            held += sets
-            n += sum(map(len, sets))
-            if n >= WINDOW:
-                yield flush()
-                held, n = [], 0
-        if held:
-            yield flush()
-
-    total = docs.mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).filter("c >= 8").orderBy(F.desc("c"), "token").limit(KNOWN)
-    got = total.toPandas()
-    tokens = got["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], got["c"].to_numpy(np.int64)[order]
-
-
-def prefix_keys(tokens: np.ndarray, known: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of one set."""
+            for kind, least in ((0, 2), (1, 4)):
+                tokens, count = np.unique(np.concatenate(held[kind]), return_counts=True)
+                often = count >= least
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()), kind, np.int32)), pa.array(tokens[often].view(np.int64)), pa.array(count[often])], names=["kind", "token", "c"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, doc = hash_words(*utf8(column(part, "text")))
+                h, of = shingles(words, doc, part.num_rows, k)
+                bounds = np.searchsorted(of, np.arange(part.num_rows + 1))
+                held[0].extend(np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+                held[1].append(words)
+                n += len(words)
+                if n >= WINDOW:
+                    yield from flush()
+                    held, n = ([], []), 0
+        if held[1]:
+            yield from flush()
+
+    total = settle(docs.mapInArrow(run, "kind int, token long, c long").groupBy("kind", "token").agg(F.sum("c").alias("c")).filter("c >= 8"), "counts")
+    out = []
+    for kind in (0, 1):
+        got = total.filter(F.col("kind") == kind).orderBy(F.desc("c"), "token").limit(KNOWN).toPandas()
+        tokens = got["token"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(tokens)
+        out.append((tokens[order], got["c"].to_numpy(np.int64)[order]))
+    return out[0], out[1]
+
+
+def prefix_keys(tokens: np.ndarray, weight: np.ndarray, known: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Index keys of one set; weight is an estimate of each token's frequency."""
     n = len(tokens)
     need = -(-percent * n // 100)
     freq = np.zeros(n, np.int64)
@@ -92,7 +103,7 @@ def prefix_keys(tokens: np.ndarray, known: np.ndarray, counts: np.ndarray, perce
         p = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
         freq = np.where(known[p] == tokens, counts[p], 0)
     k = 2 if need >= 2 else 1
-    first = np.lexsort((tokens, freq))[: n - need + k]
+    first = np.lexsort((tokens, weight, freq))[: n - need + k]
     rare = freq[first] < FREQUENT
     keys = [tokens[first][rare]]
     often = tokens[first][~rare]
@@ -105,16 +116,19 @@ def prefix_keys(tokens: np.ndarray, known: np.ndarray, counts: np.ndarray, perce
     return np.concatenate(keys)
 
 
-def index(docs: DataFrame, k: int, percent: int, known: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """key, doc_id, n of every document's prefix keys."""
-    sent = docs.sparkSession.sparkContext.broadcast((known, counts))
+def index(docs: DataFrame, k: int, percent: int, tokens: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key, doc_id, n of every document's prefix keys, given counts of tokens and words."""
+    sent = docs.sparkSession.sparkContext.broadcast((tokens, (words[0], np.rint(16 * np.log2(words[1])).astype(np.int64))))
 
     def run(batches):
-        for part, sets in _sets(batches, k):
-            keys = [prefix_keys(s, *sent.value, percent) if len(s) else s for s in sets]
-            size = [len(x) for x in keys]
-            ids = column(part, "doc_id").take(pa.array(np.repeat(np.arange(len(size)), size)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), ids, pa.array(np.repeat([len(s) for s in sets], size), pa.int32())], names=["key", "doc_id", "n"])
+        known, (word, weight) = sent.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = weighted_sets(*utf8(column(part, "text")), k, word, weight)
+                keys = [prefix_keys(s, w, *known, percent) if len(s) else s for s, w in sets]
+                size = [len(x) for x in keys]
+                ids = column(part, "doc_id").take(pa.array(np.repeat(np.arange(len(size)), size)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), ids, pa.array(np.repeat([len(s) for s, _ in sets], size), pa.int32())], names=["key", "doc_id", "n"])
 
     return docs.mapInArrow(run, "key long, doc_id long, n int")
 
@@ -143,8 +157,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     reps = settle(own.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "reps")
     few = broadcast_if_small(reps.select(F.col("rep").alias("doc_id")))
     single = texts(docs).join(few, "doc_id", "left_semi")
-    known, counts = repeated_tokens(single, k)
-    keys = settle(index(single, k, percent, known, counts), "keys")
+    keys = settle(index(single, k, percent, *repeated(single, k)), "keys")
     release(spark)
     heavy = settle(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("leader")).filter("c > 1").select("key", "leader"), "heavy")
     release(spark)

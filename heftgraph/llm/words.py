@@ -94,25 +94,52 @@ def grams(words: np.ndarray, doc: np.ndarray, gaps: tuple[int, ...]) -> tuple[np
 
 
 def shingles(words: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """k-word shingles of all texts as (hash, text); a text of fewer words, but at least one, has its whole sequence as one."""
+    """k-word shingles of all texts as (hash, text), by text; a text of fewer words, but at least one, has its whole sequence as one."""
     h, of = grams(words, doc, tuple(range(k)))
-    count = np.bincount(doc, minlength=n_docs) if len(doc) else np.zeros(n_docs, np.int64)
-    short = np.flatnonzero((count > 0) & (count < k))
+    short, whole = short_texts(words, doc, n_docs, k)
     if len(short):
-        at = np.cumsum(count) - count
-        more = []
-        for d in short.tolist():
-            h1 = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for j in range(int(count[d])):
-                    h1 = h1 + words[at[d] + j] * _STEP[j] + _STEP[20 + int(count[d])]
-            more.append(h1)
-        h, of = np.concatenate([h, mix(np.array(more, np.uint64))]), np.concatenate([of, short])
+        h, of = np.concatenate([h, whole]), np.concatenate([of, short])
         order = np.argsort(of, kind="stable")
         h, of = h[order], of[order]
     return h, of
 
 
+def short_texts(words: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of at least one but fewer than k words, and the hash of each one's whole sequence."""
+    count = np.bincount(doc, minlength=n_docs) if len(doc) else np.zeros(n_docs, np.int64)
+    short = np.flatnonzero((count > 0) & (count < k))
+    at = np.cumsum(count) - count
+    whole = np.zeros(len(short), np.uint64)
+    for j in range(k - 1):
+        has = count[short] > j
+        whole[has] += words[at[short[has]] + j] * _STEP[j] + _STEP[20 + count[short[has]]]
+    return short, mix(whole)
+
+
+def weighted_sets(data: np.ndarray, offsets: np.ndarray, k: int, known: np.ndarray, weight: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The ascending distinct k-word shingles of each text, each with the sum of its words' weights (0 for words not in known)."""
+    n = len(offsets) - 1
+    words, doc = hash_words(data, offsets)
+    h, of = shingles(words, doc, n, k)
+    own = np.zeros(len(words), np.int64)
+    if len(known) and len(words):
+        p = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        own = np.where(known[p] == words, weight[p], 0)
+    m = max(len(words) - k + 1, 0)
+    same = doc[:m] == doc[k - 1 :] if m else np.zeros(0, bool)
+    total = sum((own[j : j + m] for j in range(k)), np.zeros(m, np.int64))[same]
+    short, _ = short_texts(words, doc, n, k)
+    if len(short):  # the single shingle of a short text keeps weight 0
+        at = np.searchsorted(doc[:m][same], short)
+        total = np.insert(total, at, 0)
+    bounds = np.searchsorted(of, np.arange(n + 1))
+    out = []
+    for i in range(n):
+        tokens, first = np.unique(h[bounds[i] : bounds[i + 1]], return_index=True)
+        out.append((tokens, total[bounds[i] : bounds[i + 1]][first]))
+    return out
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """The ascending distinct k-word shingles of each text."""
     n = len(offsets) - 1
