@@ -1,0 +1 @@
+"""Snapshot streams."""
