@@ -8,8 +8,9 @@ frequent class in combinations of k = 2. Sets over LONG tokens, for which combin
 many, index single frequent tokens; around LONG both are done, so that no pair within the length
 filter falls between. The order never decides what is found, only how fast.
 
-Links are made in two rounds, without all pairs of a bucket: first each document is verified
-against the first document of the bucket it shares most keys with; then, for what is not connected
+Links are made without all pairs of a bucket: first each document is verified against a central
+document of its buckets, the one it shares most keys with; in further turns, documents outside a
+bucket's largest class are verified against another member of it; then, for what is not connected
 yet, every pair of a bucket that lies in different classes is verified, minority classes against
 the rest. So all classes are exact.
 
@@ -36,6 +37,8 @@ FREQUENT = 256
 LONG = 256
 #: Tokens whose counts are sent to all tasks, the most frequent ones: 16 bytes each. The others count as rare.
 KNOWN = 1 << 18
+#: Turns in which documents meet single members of a class before all open pairs are verified.
+STARS = 3
 #: Shingles that a task counts before it passes on the repeated ones.
 WINDOW = 4_000_000
 
@@ -94,8 +97,11 @@ def repeated(docs: DataFrame, k: int) -> tuple[tuple[np.ndarray, np.ndarray], tu
     return out[0], out[1]
 
 
-def prefix_keys(tokens: np.ndarray, weight: np.ndarray, known: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of one set; weight is an estimate of each token's frequency."""
+def prefix_keys(tokens: np.ndarray, weight: np.ndarray, known: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of one set, and for each the most tokens it can share with a set whose first common tokens are the key's.
+
+    weight is an estimate of each token's frequency.
+    """
     n = len(tokens)
     need = -(-percent * n // 100)
     freq = np.zeros(n, np.int64)
@@ -104,20 +110,22 @@ def prefix_keys(tokens: np.ndarray, weight: np.ndarray, known: np.ndarray, count
         freq = np.where(known[p] == tokens, counts[p], 0)
     k = 2 if need >= 2 else 1
     first = np.lexsort((tokens, weight, freq))[: n - need + k]
-    rare = freq[first] < FREQUENT
-    keys = [tokens[first][rare]]
-    often = tokens[first][~rare]
-    if len(often):
-        if k == 1 or n >= LONG * percent // 100:
-            keys.append(often)
-        if k == 2 and n <= LONG:
-            i, j = np.triu_indices(len(often), 1)
-            keys.append(mix(often[i] * np.uint64(0x9E3779B97F4A7C15) + often[j] * np.uint64(0xC2B2AE3D27D4EB4F)))
-    return np.concatenate(keys)
+    rare = np.flatnonzero(freq[first] < FREQUENT)
+    often = np.flatnonzero(freq[first] >= FREQUENT)
+    single = rare
+    if k == 1 or n >= LONG * percent // 100:
+        single = np.concatenate([rare, often])
+    keys, rest = [tokens[first][single]], [n - single]
+    if k == 2 and n <= LONG and len(often) > 1:
+        i, j = np.triu_indices(len(often), 1)
+        own = tokens[first][often]
+        keys.append(mix(own[i] * np.uint64(0x9E3779B97F4A7C15) + own[j] * np.uint64(0xC2B2AE3D27D4EB4F)))
+        rest.append(n + 1 - often[j])
+    return np.concatenate(keys), np.concatenate(rest)
 
 
 def index(docs: DataFrame, k: int, percent: int, tokens: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, doc_id, n of every document's prefix keys, given counts of tokens and words."""
+    """key, doc_id, n, rest of every document's prefix keys, given counts of tokens and words."""
     sent = docs.sparkSession.sparkContext.broadcast((tokens, (words[0], np.rint(16 * np.log2(words[1])).astype(np.int64))))
 
     def run(batches):
@@ -125,12 +133,12 @@ def index(docs: DataFrame, k: int, percent: int, tokens: tuple[np.ndarray, np.nd
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = weighted_sets(*utf8(column(part, "text")), k, word, weight)
-                keys = [prefix_keys(s, w, *known, percent) if len(s) else s for s, w in sets]
-                size = [len(x) for x in keys]
+                keys = [prefix_keys(s, w, *known, percent) if len(s) else (s, w) for s, w in sets]
+                size = [len(x) for x, _ in keys]
                 ids = column(part, "doc_id").take(pa.array(np.repeat(np.arange(len(size)), size)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), ids, pa.array(np.repeat([len(s) for s, _ in sets], size), pa.int32())], names=["key", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in keys]).view(np.int64)), ids, pa.array(np.repeat([len(s) for s, _ in sets], size), pa.int32()), pa.array(np.concatenate([x for _, x in keys]), pa.int32())], names=["key", "doc_id", "n", "rest"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, n int")
+    return docs.mapInArrow(run, "key long, doc_id long, n int, rest int")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -150,6 +158,17 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return with_texts(pairs, docs).mapInArrow(run, "a long, b long")
 
 
+def _labelled(buckets: DataFrame, label: DataFrame) -> DataFrame:
+    named = label.withColumnRenamed("node", "doc_id")
+    return buckets.join(named, "doc_id", "left").select("key", "doc_id", "n", "rest", F.coalesce("label", "doc_id").alias("label"))
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """key, top (its most frequent class) of the buckets with more than one class."""
+    own = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
+    return own.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("top")).filter("labels > 1").select("key", "top")
+
+
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) for every row of docs."""
     spark = docs.sparkSession
@@ -159,27 +178,46 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     single = texts(docs).join(few, "doc_id", "left_semi")
     keys = settle(index(single, k, percent, *repeated(single, k)), "keys")
     release(spark)
-    heavy = settle(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("leader")).filter("c > 1").select("key", "leader"), "heavy")
+    heavy = settle(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "heavy")
     release(spark)
-    buckets = settle(keys.join(heavy, "key").select("key", "doc_id", "n", "leader"), "buckets")
+    met = settle(keys.join(heavy, "key").select("key", "doc_id", "n", "rest"), "met")
     forget(keys)
     release(spark)
-    # round 1: each document against one leader
-    shared = buckets.filter("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("c"))
-    stars = settle(shared.groupBy("doc_id").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("a")).select("a", F.col("doc_id").alias("b")), "stars")
-    links = settle(verified(stars, docs, k, percent), "links")
-    label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    release(spark)
-    # round 2: what shares a bucket but not a class
-    labelled = settle(buckets.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label")), "labelled")
-    mixed = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("top")).filter("labels > 1").select("key", "top")
-    mixed = settle(mixed, "mixed")
-    other = settle(labelled.join(mixed, "key").select("key", "doc_id", "n", "label", "top"), "other")
-    x = other.filter("label <> top").select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    y = other.select("key", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), "top")
-    close = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("top")) | (F.col("x") < F.col("y")))
+    # a document with few keys of its own shares most, so it's the likeliest centre of its buckets
+    degree = settle(met.groupBy("doc_id").agg(F.count("*").alias("degree")), "degrees")
+    buckets = settle(met.join(degree, "doc_id"), "buckets")
+    label, links, tried = None, None, None
+    for turn in range(STARS):
+        if label is None:
+            leaders = buckets.groupBy("key").agg(F.max_by("doc_id", F.struct("degree", -F.col("doc_id"))).alias("leader"))
+            open_rows = buckets
+        else:
+            labelled = settle(_labelled(buckets, label), "labelled")
+            mixed = settle(_mixed(labelled), "mixed")
+            inside = settle(labelled.join(mixed, "key"), "inside")
+            leaders = inside.filter("label = top").groupBy("key").agg(F.max_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("leader"))
+            open_rows = inside.filter("label <> top")
+        leaders = settle(leaders, "leaders")
+        shared = open_rows.join(leaders, "key").filter("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("c"))
+        stars = shared.groupBy("doc_id").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
+        stars = stars.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+        stars = settle(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
+        found = settle(verified(stars, docs, k, percent), "links")
+        tried = stars if tried is None else tried.unionByName(stars)
+        links = found if links is None else links.unionByName(found)
+        label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        release(spark)
+    # what shares a bucket but not a class
+    labelled = settle(_labelled(buckets, label), "labelled")
+    mixed = settle(_mixed(labelled), "mixed")
+    other = settle(labelled.join(mixed, "key").select("key", "doc_id", "n", "rest", "label", "top"), "other")
+    x = other.filter("label <> top").select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx"), F.col("label").alias("lx"))
+    y = other.select("key", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("ry"), F.col("label").alias("ly"), "top")
+    # at the row of a pair's first common tokens rest bounds what it shares, so a link passes there
+    most = F.least("rx", "ry")
+    close = (100 * most >= percent * (F.col("nx") + F.col("ny") - most)) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("top")) | (F.col("x") < F.col("y")))
     pairs = x.join(y, "key").filter(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = settle(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+    pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     more = settle(verified(pairs, docs, k, percent), "more-links")
     edges = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
     final = components(edges).withColumnRenamed("node", "rep") if more.limit(1).count() else label.withColumnRenamed("node", "rep")
