@@ -100,8 +100,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tup
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "y"), pa.ListArray.from_arrays(pa.array(at), pa.array(f.astype(np.int32)))], names=["doc_id", "y", "f"])
 
     got = texts(docs).join(few, "doc_id").mapInArrow(run, "doc_id long, y int, f array<int>").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    return [np.asarray(x, np.int64) for x in got["f"].to_pylist()], got["y"].to_numpy().astype(float)
+    ids, y = got["doc_id"].to_numpy(), got["y"].to_numpy().astype(float)
+    rows_of = []  # views into the collected buffers, never lists
+    for chunk in got["f"].chunks:
+        at, flat = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        rows_of += [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    order = np.lexsort((y, ids))
+    return [rows_of[i] for i in order.tolist()], y[order]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, params: Ftrl = Ftrl()) -> np.ndarray:
