@@ -72,3 +72,10 @@ def effort(prize: Column, freed: Column, potential: Column, pinned: Column, site
     held = pinned & (prize > freed)
     latent = (freed == 0) & (prize > 0)
     return F.when(held, "pinnedByDep").when((freed == 0) & (potential > 0), "coordinated").when(latent, "pinnedByDep").when(sites >= many, "core").otherwise("quickWin")
+
+
+def platform_label(os: Column, arch: Column, tags: Column) -> Column:
+    """os/arch and, after '+', the sorted distinct tags; blanks stand for the host."""
+    host = lambda c: F.when(c == "", "host").otherwise(c)
+    named = F.array_join(F.array_sort(F.array_distinct(tags)), ",")
+    return F.concat(host(os), F.lit("/"), host(arch), F.when(named != "", F.concat(F.lit("+"), named)).otherwise(""))

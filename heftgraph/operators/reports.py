@@ -52,3 +52,26 @@ def violations(modules: DataFrame, total: int | None, cap: int | None, deny, mod
     if module_cap is not None:
         out = out.unionByName(modules.filter(F.col("size") > module_cap).select(F.lit("max-module-size").alias("rule"), "module", F.col("size").alias("actual")))
     return out
+
+
+def verdict(floors: DataFrame) -> DataFrame:
+    """can_lower_now, lower_to, blocked_by, then_reaches: whether one's own modules declare more than the others need."""
+    own, need = version_key(F.col("owned_max")), version_key(F.col("version"))
+    can = (F.col("owned_max") != "") & ((F.col("version") == "") | F.coalesce(own > need, F.lit(False)))
+    return floors.select(can.alias("can_lower_now"), F.when(can, F.col("version")).otherwise("").alias("lower_to"), F.col("critical").alias("blocked_by"), F.col("next_version").alias("then_reaches"))
+
+
+def worst_floor(floors: DataFrame, by: str) -> DataFrame:
+    """by, version, pins: whether a platform's floor is the highest of all."""
+    worst = floors.agg(F.max_by("version", version_key(F.col("version"))).alias("worst"))
+    return floors.crossJoin(F.broadcast(worst)).select(by, "version", (F.col("version") == F.col("worst")).alias("pins"))
+
+
+def diff_floor(before: DataFrame, after: DataFrame) -> DataFrame:
+    """before, after, direction (-1, 0, 1), newly_critical of two floors."""
+    b, a = (x.select(F.col("version").alias(n), F.col("critical").alias(n + "_critical")) for x, n in ((before, "before"), (after, "after")))
+    kb, ka = version_key(F.col("before")), version_key(F.col("after"))
+    up = F.coalesce(ka > kb, ka.isNotNull() & kb.isNull())
+    down = F.coalesce(ka < kb, kb.isNotNull() & ka.isNull())
+    new = F.array_except(F.split("after_critical", ","), F.split("before_critical", ","))
+    return b.crossJoin(a).select("before", "after", F.when(up, 1).when(down, -1).otherwise(0).alias("direction"), F.array_join(F.array_sort(new), ",").alias("newly_critical"))
