@@ -169,6 +169,16 @@ def _mixed(labelled: DataFrame) -> DataFrame:
     return own.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("top")).filter("labels > 1").select("key", "top")
 
 
+def _merged(label: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The classes of label after the links found(a, b); a class enters as the star of its label."""
+    edges = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if label is None:
+        return components(edges)
+    if not found.limit(1).count():
+        return label
+    return components(label.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(edges))
+
+
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) for every row of docs."""
     spark = docs.sparkSession
@@ -186,7 +196,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # a document with few keys of its own shares most, so it's the likeliest centre of its buckets
     degree = settle(met.groupBy("doc_id").agg(F.count("*").alias("degree")), "degrees")
     buckets = settle(met.join(degree, "doc_id"), "buckets")
-    label, links, tried = None, None, None
+    label, tried = None, None
     for turn in range(STARS):
         if label is None:
             leaders = buckets.groupBy("key").agg(F.max_by("doc_id", F.struct("degree", -F.col("doc_id"))).alias("leader"))
@@ -194,6 +204,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         else:
             labelled = settle(_labelled(buckets, label), "labelled")
             mixed = settle(_mixed(labelled), "mixed")
+            if not mixed.limit(1).count():
+                break
             inside = settle(labelled.join(mixed, "key"), "inside")
             leaders = inside.filter("label = top").groupBy("key").agg(F.max_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("leader"))
             open_rows = inside.filter("label <> top")
@@ -204,8 +216,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         stars = settle(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
         found = settle(verified(stars, docs, k, percent), "links")
         tried = stars if tried is None else tried.unionByName(stars)
-        links = found if links is None else links.unionByName(found)
-        label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        label = _merged(label, found)
         release(spark)
     # what shares a bucket but not a class
     labelled = settle(_labelled(buckets, label), "labelled")
@@ -219,8 +230,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     pairs = x.join(y, "key").filter(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     more = settle(verified(pairs, docs, k, percent), "more-links")
-    edges = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    final = components(edges).withColumnRenamed("node", "rep") if more.limit(1).count() else label.withColumnRenamed("node", "rep")
+    final = _merged(label, more).withColumnRenamed("node", "rep")
     named = settle(reps.join(final, "rep", "left").select("sig", F.coalesce("label", "rep").alias("label")), "named")
     release(spark)
     joined = own.join(named, "sig", "left")

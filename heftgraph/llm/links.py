@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from heftgraph.llm.common import broadcast_if_small, forget, settle, texts
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u of edges(u > v) has one v, and no v is a u: then v is its component's smallest node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("us"), F.lit(0).alias("vs")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("us"), F.lit(1).alias("vs")))
+    return not ends.groupBy("node").agg(F.sum("us").alias("us"), F.max("vs").alias("vs")).filter("us > 1 or us > 0 and vs > 0").limit(1).count()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,8 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     raw = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u is not null and v is not null")
     alone = settle(raw.filter("u = v").select("u").distinct(), "loops")
     now = settle(raw.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = settle(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
@@ -30,10 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(floor, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = settle(small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct(), "edges")
         forget(now, least, large, floor)
-        now, before = new, mark
-        mark = _mark(now)
-        if mark == before:
-            break
+        now = new
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).unionByName(alone.select(F.col("u").alias("node"), F.col("u").alias("label")))
     return settle(nodes.groupBy("node").agg(F.min("label").alias("label")), "components")
 
