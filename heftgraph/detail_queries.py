@@ -36,7 +36,7 @@ def live_edges(spark, sf):
 @query()
 def plan_freed_coprune(spark, sf):
     g = graph(spark, sf)
-    return session.plan_freed(g, [r["module"] for r in g.plan(5).orderBy("step").collect()])
+    return session.plan_freed(g, [r["module"] for r in g.plan().orderBy("step").collect()])
 
 
 @query(_sql(_BASE + f", sr AS (SELECT 'app/main' AS node UNION SELECT dst FROM sr JOIN ce ON node = src AND ct IS DISTINCT FROM '{ONE}'), mr AS (SELECT t, 'app/main' AS node FROM tgt UNION SELECT t, dst FROM mr JOIN ce ON node = src AND ct IS DISTINCT FROM t AND ct IS DISTINCT FROM '{ONE}'), kb AS (SELECT sum(size) AS b FROM pkg JOIN sr ON pkg = node) SELECT t AS module, CAST((SELECT b FROM kb) - sum(size) AS BIGINT) AS marginal FROM mr JOIN pkg ON pkg = node GROUP BY 1"))
