@@ -61,6 +61,19 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def small(df: DataFrame, row_bytes: int, most: int = BROADCAST_ROWS * 16) -> DataFrame:
+    """df with a broadcast hint if its rows, of so many bytes each, are counted and stay within most bytes."""
+    return broadcast_if_small(df, most // row_bytes)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, lengthened until no column has it (in any case)."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -83,9 +96,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch of at most limit text bytes (or of one row), so that work arrays stay bounded."""
-    _, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20, *more: str) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch of at most limit text bytes over these columns (or of one row), so that work arrays stay bounded."""
+    offsets = sum(utf8(batch.column(batch.schema.get_field_index(c)))[1] for c in (column, *more))
     at, n = 0, batch.num_rows
     while at < n:
         end = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1

@@ -93,6 +93,16 @@ def grams(words: np.ndarray, doc: np.ndarray, gaps: tuple[int, ...]) -> tuple[np
     return mix(h[same]), doc[:n][same]
 
 
+def window_hashes(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the size words from each start on."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    _reserve(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _powers[: len(words)], out=sums[1:])
+    return mix((sums[starts + size] - sums[starts]) * _inverses[starts])
+
+
 def shingles(words: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """k-word shingles of all texts as (hash, text), by text; a text of fewer words, but at least one, has its whole sequence as one."""
     h, of = grams(words, doc, tuple(range(k)))
