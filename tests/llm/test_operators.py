@@ -34,22 +34,6 @@ def mixed(n=60):
     return base + near + base[:5] * 3 + ODD
 
 
-def test_exact_dedup(spark):
-    texts = mixed()
-    for largest in (True, False):
-        got = {r["doc_id"]: r for r in exact_dedup.dedup(table(spark, texts), largest).collect()}
-        groups = defaultdict(list)
-        for i, t in enumerate(texts):
-            groups[t or ""].append(i)
-        for t, ids in groups.items():
-            keep = max(ids) if largest else min(ids)
-            for i in ids:
-                assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"], got[i]["text_sha256"]) == (keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest())
-    assert exact_dedup.dedup(table(spark, [])).count() == 0
-    runs = exact_dedup.bloom([hashlib.sha256(b"x").digest()])
-    assert exact_dedup.may_hold(runs, hashlib.sha256(b"x").digest())
-
-
 def brute_classes(texts, k, percent):
     def tokens(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
