@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Results for odd input: null or empty texts have no ids (n_tokens 0, digests of no bytes); rows with
-equal doc_id are encoded each; other columns aren't read; an empty table gives an empty table.
+equal doc_id are encoded each; other columns aren't read; an empty table gives an empty table. Very
+long texts are cut at safe places first, and long runs of white space are encoded apart.
 """
 
 from __future__ import annotations
@@ -19,7 +20,11 @@ from heftgraph.llm.common import column, slices, texts
 
 #: Texts longer than this many characters are cut before the library's pattern runs over them.
 LONG_TEXT = 1 << 16
+#: Runs of white space from this length on are not shown to the pattern, which would track back through them.
+LONG_SPACE = 1 << 12
 _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
+#: The characters with Unicode's White_Space property.
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)
 
 
 def pre_split(text: str, size: int = LONG_TEXT) -> list[str]:
@@ -41,6 +46,22 @@ def pre_split(text: str, size: int = LONG_TEXT) -> list[str]:
     return [*out, text[at:]]
 
 
+def without_long_space(text: str) -> list[tuple[str, bool]]:
+    """text in pieces: long runs of white space (True), of each of which the pattern makes one match, and what lies between.
+
+    A match of other characters never takes in white space behind it. Of a run, the pattern matches
+    all at the end of the text, else all but the last character, which begins the next piece.
+    """
+    out, at = [], 0
+    for m in _SPACE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        if m.start() > at:
+            out.append((text[at : m.start()], False))
+        out.append((text[m.start() : end], True))
+        at = end
+    return [*out, (text[at:], False)] if at < len(text) else out
+
+
 class Codec:
     """Encoding by ranks; every match of the pattern separately, no special tokens."""
 
@@ -52,9 +73,16 @@ class Codec:
         self.library = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= LONG_TEXT:
+        if len(text) < LONG_SPACE:
             return self.library.encode_ordinary(text)
-        return [i for piece in pre_split(text) for i in self.library.encode_ordinary(piece)]
+        out: list[int] = []
+        for piece, space in without_long_space(text):
+            if space:
+                out += self.library._encode_single_piece(piece.encode())
+            else:
+                for part in pre_split(piece):
+                    out += self.library.encode_ordinary(part)
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         """The raw bytes; they needn't be whole UTF-8."""
