@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,11 +20,13 @@ _own_scratch: str | None = None
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir; where it is unset, a folder of our own in local mode (tests), an error on a cluster."""
     global _own_scratch
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_scratch is None:
         _own_scratch = tempfile.mkdtemp(prefix="heftgraph-")
     return _own_scratch
@@ -51,7 +54,7 @@ def forget(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are done."""
+    """Let Spark's cleaner drop the shuffle files of plans that are done, on all executors: it does so when the driver's references to them are collected."""
     gc.collect()
     spark._jvm.System.gc()
 
