@@ -3,7 +3,7 @@
 Documents longer than a sequence are cut; their first piece takes the remainder, all others are
 full and lie alone. The other pieces are dealt by hash into groups of bounded size, each packed
 best-fit in descending order; then pieces of underfull sequences are exchanged one for one or two
-for one, or moved, whenever that raises the sum of squared fills, until some sequences are empty.
+for one, or moved, whenever that raises the sum of squared fills, until no such change is left.
 Sequences that stay underfull are taken apart and packed again in groups of their own.
 
 Results for odd input: null or empty texts hold only the end id; documents of equal doc_id are
@@ -13,6 +13,7 @@ packed each, with pieces told apart by sequence_id and offset; an empty table gi
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -79,41 +80,61 @@ def best_fit(sizes: Sequence[int], room: int) -> list[list[int]]:
     return bins
 
 
-def local_search(sizes: Sequence[int], bins: list[list[int]], room: int, rounds: int = 3, partners: int = 64) -> list[list[int]]:
-    """Raise the sum of squared fills between pairs of underfull bins; emptied bins go.
+def _sets(sizes: Sequence[int], items: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """(size, items) of one item or two of a bin, one for every size of the parts."""
+    one = {sizes[i]: i for i in reversed(items)}
+    many = Counter(sizes[i] for i in items)
+    out = [(s, (i,)) for s, i in one.items()]
+    known = sorted(one)
+    for k, s in enumerate(known):
+        if many[s] > 1:
+            pair = [i for i in items if sizes[i] == s][:2]
+            out.append((2 * s, tuple(pair)))
+        out += [(s + t, (one[s], one[t])) for t in known[k + 1 :]]
+    return out
+
 
-    A change between bins a (fuller) and b moves d tokens from b to a, 0 < d <= the room in a, by
-    giving a an item of b outright, for one of its own, or for two; any such change raises the sum.
-    The largest d is taken. Each emptiest bin is tried against the partners with the most room.
+def local_search(sizes: Sequence[int], bins: list[list[int]], room: int, loose: float = LOOSE) -> list[list[int]]:
+    """Raise the sum of squared fills by changes between two bins until none is left that does; emptied bins go.
+
+    A change between a giving bin b and a taking bin a moves d tokens from b to a, 0 < d <= the room
+    in a: b gives one item or two outright, one for one, one for two, or two for one. It raises the
+    sum by 2 d (fill of a - fill of b + d). Givers are the bins filled less than loose, emptiest first;
+    every bin with room takes. Of all changes of a giver one that empties it comes first, then the one
+    that raises the sum most. Every pass looks at all bins; passes end when one changes nothing.
     """
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    for _ in range(rounds):
+    bins = [list(b) for b in bins]
+    fill = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
+    sets = [_sets(sizes, b) if f < room else [] for b, f in zip(bins, fill.tolist(), strict=True)]
+    while True:
+        # what the bins with room can give back: nothing, one item or two
+        taker = np.flatnonzero((fill > 0) & (fill < room))
+        if len(taker) < 2:
+            break
+        options = [(0, (), int(a)) for a in taker] + [(s, x, int(a)) for a in taker for s, x in sets[a]]
+        back, owner, number = np.array([o[0] for o in options]), np.array([o[2] for o in options]), np.array([len(o[1]) for o in options])
+        stale = np.zeros(len(bins), bool)
         changed = False
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < room), key=lambda b: fill[b])
-        for b in under:
-            for a in sorted((x for x in under[-4 * partners :] if x != b and fill[x] >= fill[b] and fill[x] < room), key=lambda x: fill[x])[:partners]:
-                if not bins[b] or fill[a] < fill[b] or not fill[a]:
-                    continue
-                space, best, how = room - fill[a], 0, None
-                for j in bins[b]:
-                    if best < sizes[j] <= space:
-                        best, how = sizes[j], ([], j)
-                    for k, i in enumerate(bins[a]):
-                        if best < sizes[j] - sizes[i] <= space:
-                            best, how = sizes[j] - sizes[i], ([i], j)
-                        for h in bins[a][k + 1 :]:
-                            if best < sizes[j] - sizes[i] - sizes[h] <= space:
-                                best, how = sizes[j] - sizes[i] - sizes[h], ([i, h], j)
-                if how:
-                    give, take = how
-                    bins[b].remove(take)
-                    bins[a].append(take)
-                    for i in give:
-                        bins[a].remove(i)
-                        bins[b].append(i)
-                    fill[a] += best
-                    fill[b] -= best
-                    changed = True
+        for b in sorted(taker[fill[taker] < loose * room].tolist(), key=lambda b: (fill[b], b)):
+            if stale[b]:
+                continue
+            gives = sets[b]
+            given, count = np.array([g[0] for g in gives])[:, None], np.array([len(g[1]) for g in gives])[:, None]
+            d = given - back
+            gain = 2 * d * (fill[owner] - fill[b] + d)
+            good = (d > 0) & (d <= room - fill[owner]) & (gain > 0) & (count + number <= 3) & (owner != b) & ~stale[owner]
+            if not good.any():
+                continue
+            value = np.where(good, gain + (d == fill[b]) * (1 << 40), -1)
+            y, x = np.unravel_index(int(value.argmax()), value.shape)
+            give, (_, take, a) = gives[y][1], options[x]
+            bins[b] = [i for i in bins[b] if i not in give] + list(take)
+            bins[a] = [i for i in bins[a] if i not in take] + list(give)
+            fill[a] += d[y, x]
+            fill[b] -= d[y, x]
+            for k in (a, b):
+                sets[k], stale[k] = _sets(sizes, bins[k]) if fill[k] < room else [], True
+            changed = True
         if not changed:
             break
     return [b for b in bins if b]
@@ -154,7 +175,8 @@ def pack(pieces: DataFrame, length: int, group: int = GROUP, rounds: int = ROUND
         groups = max(1, -(-n // group))
         last = k == rounds or groups == 1
 
-        key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(k)), F.lit(groups)).alias("group")
+        # dealt by the place of a row in its stored table, so that equal rows don't meet
+        key = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(k)), F.lit(groups)).alias("group")
         placed = settle(rest.select("*", key).groupBy("group").applyInArrow(_packer(k, last, length, rounds), PLACED), f"packed{k}")
         done.append(placed.filter("sequence_id >= 0"))
         rest = placed.filter("sequence_id < 0").drop("sequence_id", "offset")

@@ -106,22 +106,6 @@ def test_orc_round_trip(spark):
     assert orc_ids.read_ids(spark, path).filter("doc_id = 3").count() == 1
 
 
-def test_packing(spark):
-    rows = packing.pack_documents(table(spark, mixed()), P.path("byte_bpe_50k.json"), 2, 64, group=40).collect()
-    bins = defaultdict(list)
-    for r in rows:
-        bins[r["sequence_id"]].append((r["offset"], r["length"]))
-    for parts in bins.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at
-            at += length
-        assert at <= 64
-    assert len(bins) <= 1.05 * sum(r["length"] for r in rows) / 64 + 3
-    sizes = [random.Random(1).randint(1, 60) for _ in range(300)]
-    assert sorted(i for b in packing.pack_group(sizes, 64) for i in b) == list(range(300))
-
-
 def test_maxscore(spark):
     r = np.random.default_rng(0)
     vectors = r.standard_normal((300, 8)).round(3)
