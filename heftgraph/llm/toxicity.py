@@ -3,13 +3,15 @@
 Features are presence of word unigrams, bigrams and one-word skip-grams, and of unigrams of word
 stems (the first STEMS bytes of longer words, for inflected forms), hashed to 2**BITS places.
 FTRL-proximal gives each coordinate its own rate and, by its L1 term, leaves most weights at zero;
-the others are sent to all tasks as a dense array of 2**BITS floats, whatever the corpus holds.
+only the places and values of the others are sent to the tasks, 2**BITS of them at most.
 The model is fitted on a bounded sample of labelled rows (max_rows, by hash of doc_id); scores are
 made for all whole texts.
 
 Results for odd input: null, empty and wordless texts get the score of no features; labels that are
 null or other than 0 and 1 aren't learnt from; with repeated labels of a doc_id each row is learnt
-from; without any label all scores are 0.5; an empty table gives an empty result.
+from; without labels of both kinds nothing can be told apart, so all scores are 0.5 and no document
+is rejected; documents with a null doc_id have no label and aren't held out; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -58,8 +60,35 @@ def distinct(f: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key & ((1 << BITS) - 1), key >> BITS
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, params: Ftrl = Ftrl()) -> np.ndarray:
-    """Weights by feature, the bias last; rows are distinct feature ids."""
+@dataclass(frozen=True)
+class Model:
+    """The weights that aren't zero, by feature, and the bias; learnt tells whether there were labels of both kinds."""
+
+    places: np.ndarray
+    weights: np.ndarray
+    bias: float
+    learnt: bool
+
+    def scorer(self):
+        """A function of (data, offsets, texts) that scores many texts; it holds the weights by feature."""
+        dense = np.zeros(1 << BITS, np.float32)
+        dense[self.places] = self.weights
+        used = dense != 0
+
+        def score(data: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
+            f, of = features(data, offsets)
+            keep = used[f]
+            f, of = distinct(f[keep], of[keep])
+            total = np.bincount(of, weights=dense[f].astype(float), minlength=n) + self.bias
+            return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
+
+        return score
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, params: Ftrl = Ftrl()) -> Model:
+    """A model of rows of distinct feature ids, labelled 0 or 1."""
+    if len(np.unique(labels)) < 2:
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, False)
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     order = np.random.default_rng(1)
     for _ in range(params.epochs):
@@ -75,8 +104,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, params: Ftrl = Ftrl()) -> np
             n[at] = ni + g * g
     root = np.sqrt(n)
     w = np.where(np.abs(z) <= params.l1, 0.0, -(z - np.sign(z) * params.l1) / ((params.beta + root) / params.alpha + params.l2))
-    w[-1] = -z[-1] / ((params.beta + root[-1]) / params.alpha)
-    return w.astype(np.float32)
+    places = np.flatnonzero(w[:-1])
+    return Model(places, w[places].astype(np.float32), float(np.float32(-z[-1] / ((params.beta + root[-1]) / params.alpha))), True)
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -109,47 +138,39 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tup
     return [rows_of[i] for i in order.tolist()], y[order]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, params: Ftrl = Ftrl()) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, params: Ftrl = Ftrl()) -> Model:
     return fit(*sample(docs, labels, label, max_rows), params)
 
 
-def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        w = sent.value
-        used = w[:-1] != 0
+        score = sent.value.scorer()
         for batch in batches:
             for part in slices(batch, "text"):
-                f, of = features(*utf8(column(part, "text")))
-                keep = used[f]
-                f, of = distinct(f[keep], of[keep])
-                total = np.bincount(of, weights=w[f].astype(float), minlength=part.num_rows) + float(w[-1])
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500))))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(score(*utf8(column(part, "text")), part.num_rows))], names=["doc_id", "score"])
 
     out = texts(docs).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below threshold, in one pass, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below threshold, in one pass, with all their columns; all of them if nothing was learnt."""
+    if not model.learnt:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        w = sent.value
-        used = w[:-1] != 0
+        score = sent.value.scorer()
         for batch in batches:
             if not batch.num_rows:
                 continue
             named = batch.set_column(batch.schema.get_field_index("text"), "text", pa.compute.fill_null(column(batch, "text"), ""))
             at = 0
             for part in slices(named, "text"):
-                f, of = features(*utf8(column(part, "text")))
-                keep = used[f]
-                f, of = distinct(f[keep], of[keep])
-                total = np.bincount(of, weights=w[f].astype(float), minlength=part.num_rows) + float(w[-1])
-                good = 1 / (1 + np.exp(-np.clip(total, -500, 500))) < threshold
+                good = score(*utf8(column(part, "text")), part.num_rows) < threshold
                 yield batch.slice(at, part.num_rows).filter(pa.array(good))
                 at += part.num_rows
 
