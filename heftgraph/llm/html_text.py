@@ -31,7 +31,8 @@ _ATTRS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 #: HTML elements by how they are laid out.
 BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul ins".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template head title iframe object svg math canvas audio video textarea".split())
+#: Elements whose text is never shown, or is a form's.
+HIDDEN = set("script style noscript template head title iframe textarea".split())
 RAW = set("script style textarea title".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -86,7 +87,7 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
         if name in VOID:
             if name == "hr":
                 flush()
-            else:
+            elif name == "br":
                 text.append(" ")
             continue
         if is_block:
@@ -102,7 +103,7 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
                 if top >= 0 and stack[top][0] in ends:
                     pop(top)
         attrs = m[3]
-        if attrs.endswith("/") and not is_block:
+        if attrs.endswith("/") and not is_block and name not in RAW:
             continue
         names = (name, *[f"{name[0]}.{w}" if len(w) < 2 else w for v in _ATTRS.findall(attrs) for w in re.split(r"[^a-z0-9]+", "".join(v).lower()) if w]) if attrs else (name,)
         stack.append((name, names))
