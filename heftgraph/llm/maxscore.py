@@ -6,37 +6,40 @@ low-shifted contributions are non-negative and high_t - low_t bounds them. Terms
 bound; the longest run of small ones whose bounds sum to less than what the k-th best result so far
 asks for is non-essential. Essential postings are traversed for all vectors of the block, the
 others only probed for vectors that can still compete. Each shard keeps its own k best a query; the
-shards' results are merged. Queries come in blocks of bounded size, however many there are.
+shards' results are merged. Queries are rows of blocks of bounded size, and so are the vectors of a
+shard; every block meets every shard in some task, so nothing goes through the driver.
 
 Results for odd input: vectors that are null or hold null, NaN or infinite components take no part,
-neither as query nor as candidate; a query never finds its own row's id; missing components of a
-shorter vector count 0; of equal vec_ids each row is a candidate; a zero-length vector scores 0; an
-empty table gives an empty result. Scores are exact in 64 bits.
+neither as query nor as candidate; missing components of a shorter vector count 0; a zero-length
+vector scores 0; rows of equal vec_id are queries and candidates each, and a query's own row alone is
+not a candidate (its results stand under the same query_id as those of its twin, told apart by
+query_row); an empty table gives an empty result. Scores are exact in 64 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heftgraph.llm.common import column
+from heftgraph.llm.common import column, settle
 
-#: Queries that are sent to all shards at once: 4096 x 64 components are 2 MB.
+#: Queries of a block: 4096 x 64 components are 2 MB.
 QUERY_BLOCK = 4096
-#: Vectors that are scored together.
+#: Vectors that are scored together, and that a stored row of a shard holds.
 VECTOR_BLOCK = 2048
-FOUND = "query_id long, vec_id long, score long"
+#: Blocks of queries that are sent to all tasks at once; with more, blocks and shards are dealt out in pairs.
+SENT_BLOCKS = 8
+FOUND = "query_row long, query_id long, row long, vec_id long, score long"
+BLOCK = "rows binary, ids binary, width int, components binary"
 
 
-def quantized(vectors: DataFrame) -> DataFrame:
-    """vec_id and components floor(256 x) as longs; rows that take no part are left out."""
+def quantized(vectors: DataFrame, *more) -> DataFrame:
+    """vec_id, components floor(256 x) as longs, and more columns; rows that take no part are left out."""
     e = F.col("embedding").cast("array<double>")
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad).select("vec_id", F.transform(e, lambda x: F.floor(x * 256)).cast("array<long>").alias("v"))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", *more).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad).withColumn("v", F.transform(e, lambda x: F.floor(x * 256)).cast("array<long>")).drop("embedding")
 
 
 def _matrix(lists: list[list[int]], width: int) -> np.ndarray:
@@ -49,11 +52,12 @@ def _matrix(lists: list[list[int]], width: int) -> np.ndarray:
 class Shard:
     """The k best of each query over the blocks of one shard."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, queries, k
-        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.rows, self.ids, self.q, self.k = rows, ids, queries, k
+        none = np.zeros(0, np.int64)
+        self.best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, none, none) for _ in rows]
 
-    def add(self, ids: np.ndarray, block: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, ids: np.ndarray, block: np.ndarray) -> None:
         width = max(self.q.shape[1], block.shape[1])
         block = np.pad(block, ((0, 0), (0, width - block.shape[1])))
         q = np.pad(self.q, ((0, 0), (0, width - self.q.shape[1])))
@@ -62,13 +66,13 @@ class Shard:
             block, q = block.astype(np.float64), q.astype(np.float64)
         postings = np.ascontiguousarray(block.T)
         least, greatest = postings.min(axis=1, initial=0), postings.max(axis=1, initial=0)
-        for i in range(len(self.ids)):
-            self._one(i, q[i], ids, postings, least, greatest)
+        for i in range(len(self.rows)):
+            self._one(i, q[i], rows, ids, postings, least, greatest)
 
-    def _one(self, i: int, w: np.ndarray, ids: np.ndarray, postings: np.ndarray, least: np.ndarray, greatest: np.ndarray) -> None:
+    def _one(self, i: int, w: np.ndarray, rows: np.ndarray, ids: np.ndarray, postings: np.ndarray, least: np.ndarray, greatest: np.ndarray) -> None:
         low, high = np.minimum(w * least, w * greatest), np.maximum(w * least, w * greatest)
         bound = high - low
-        have, score = self.best[i]
+        had, have, score = self.best[i]
         need = score[-1] - low.sum() if len(have) == self.k else None  # asked of a shifted score
         order = np.argsort(bound, kind="stable")
         reach = np.cumsum(bound[order])
@@ -85,55 +89,61 @@ class Shard:
             probe, other = other[-8:], other[:-8]
             part = part + w[probe] @ postings[np.ix_(probe, live)] - low[probe].sum()
         total = np.rint(part + low.sum()).astype(np.int64) if part.dtype == np.float64 else part + low.sum()
-        keep = ids[live] != self.ids[i]
+        keep = rows[live] != self.rows[i]
         if need is not None:
             keep &= total >= score[-1]
-        ids, total = np.concatenate([have, ids[live][keep]]), np.concatenate([score, total[keep]])
+        rows, ids, total = np.concatenate([had, rows[live][keep]]), np.concatenate([have, ids[live][keep]]), np.concatenate([score, total[keep]])
         if len(ids) > 64:  # the k-th best and its ties, before the full sort
             edge = np.partition(total, len(total) - self.k)[len(total) - self.k]
-            ids, total = ids[total >= edge], total[total >= edge]
-        first = np.lexsort((ids, -total))[: self.k]
-        self.best[i] = (ids[first], total[first])
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, VECTOR_BLOCK):
-            part = batch.slice(at, VECTOR_BLOCK)
-            lists = column(part, "v").to_pylist()
-            yield column(part, "vec_id").to_numpy(), _matrix(lists, max(map(len, lists), default=0))
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best of every query; both inputs have vec_id and embedding."""
-    spark = vectors.sparkSession
-    rows = quantized(vectors)
-    found: DataFrame | None = None
-    block: list[tuple[int, list[int]]] = []
-
-    def search(block: list[tuple[int, list[int]]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array([b[0] for b in block], np.int64), _matrix([b[1] for b in block], max(len(b[1]) for b in block))))
-
-        def run(batches):
-            shard = Shard(*sent.value, k)
-            for ids, m in _blocks(batches):
-                shard.add(ids, m)
+            rows, ids, total = rows[total >= edge], ids[total >= edge], total[total >= edge]
+        first = np.lexsort((rows, ids, -total))[: self.k]
+        self.best[i] = (rows[first], ids[first], total[first])
+
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """BLOCK rows of at most size vectors each from (row, vec_id, v), packed within the partitions."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                lists = column(part, "v").to_pylist()
+                m = _matrix(lists, max(map(len, lists), default=0))
+                yield pa.RecordBatch.from_pydict({"rows": [column(part, "row").to_numpy().tobytes()], "ids": [column(part, "vec_id").to_numpy().tobytes()], "width": pa.array([m.shape[1]], pa.int32()), "components": [m.tobytes()]})
+
+    return rows.mapInArrow(run, BLOCK)
+
+
+def _unpacked(rows: bytes, ids: bytes, width: int, components: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    own = np.frombuffer(rows, np.int64)
+    return own, np.frombuffer(ids, np.int64), np.frombuffer(components, np.int64).reshape(len(own), width)
+
+
+def top_k(vectors: DataFrame, is_query: str, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score, query_row of the k best of every row of vectors(vec_id, embedding) for which is_query holds."""
+    stored = settle(quantized(vectors, F.expr(is_query).alias("is_query")).withColumn("row", F.monotonically_increasing_id()).select("row", "vec_id", "v", "is_query"), "vectors")
+    shards = _blocks(stored.select("row", "vec_id", "v"), VECTOR_BLOCK)
+    # whole blocks, so that they are few: as many partitions as queries fill
+    asked = stored.filter("is_query").select("row", "vec_id", "v")
+    many = -(-asked.count() // QUERY_BLOCK)
+    queries = settle(_blocks(asked.repartition(max(many, 1), "row"), QUERY_BLOCK), "queries")
+    queries = queries.select(F.monotonically_increasing_id().alias("block"), *(F.col(c).alias("q_" + c) for c in queries.columns))
+
+    def run(batches):
+        # a task's pairs come by shard; the shards so far give a block's queries their thresholds
+        held: dict[int, Shard] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["block"] not in held:
+                    held[r["block"]] = Shard(*_unpacked(r["q_rows"], r["q_ids"], r["q_width"], r["q_components"]), k)
+                held[r["block"]].add(*_unpacked(r["rows"], r["ids"], r["width"], r["components"]))
+        for shard in held.values():
             n = [len(b[0]) for b in shard.best]
             if sum(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(shard.ids, n)), pa.array(np.concatenate([b[0] for b in shard.best])), pa.array(np.concatenate([b[1] for b in shard.best]))], names=["query_id", "vec_id", "score"])
-
-        return rows.mapInArrow(run, FOUND)
-
-    # a repeated query id is one query, by its least vector
-    for r in quantized(queries).groupBy("vec_id").agg(F.min("v").alias("v")).toLocalIterator():
-        block.append((r["vec_id"], list(r["v"])))
-        if len(block) == QUERY_BLOCK:
-            part, block = search(block), []
-            found = part if found is None else found.unionByName(part)
-    if block:
-        part = search(block)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                cols = [np.repeat(shard.rows, n), np.repeat(shard.ids, n), *(np.concatenate([b[c] for b in shard.best]) for c in range(3))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_row", "query_id", "row", "vec_id", "score"])
+
+    # blocks of rows, not rows, are paired: each block of queries is held against each shard
+    found = shards.crossJoin(F.broadcast(queries) if many <= SENT_BLOCKS else queries).mapInArrow(run, FOUND)
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_row")

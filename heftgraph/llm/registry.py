@@ -17,8 +17,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return maxscore.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5).drop("query_row")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

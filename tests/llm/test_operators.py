@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from heftgraph.llm import byte_bpe, exact_dedup, html_text, jaccard_join, maxscore, orc_ids, packing, substring_dedup, token_counts, toxicity
+from heftgraph.llm import byte_bpe, html_text, jaccard_join, orc_ids, substring_dedup, token_counts, toxicity
 from heftgraph.llm.common import scratch_path
 
 ODD = ["", None, " ", "a", "it's 'twas\n\n  b\t c \r\n", "x <|endoftext|> y  <|endoftext|>", "naïve x  é　日本", "word " * 30_000, "A b C", "a B c", "½ ²³ 12\x1c3"]
@@ -106,21 +106,6 @@ def test_orc_round_trip(spark):
     assert orc_ids.read_ids(spark, path).filter("doc_id = 3").count() == 1
 
 
-def test_maxscore(spark):
-    r = np.random.default_rng(0)
-    vectors = r.standard_normal((300, 8)).round(3)
-    vectors[7] = vectors[50]
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(900, None), (950, [float("nan")] * 8), (1000, [1.0, None])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in maxscore.top_k(df, df.filter("vec_id % 50 = 0"), 5).collect())
-    q = np.floor(vectors * 256).astype(int)
-    want = []
-    for i in range(0, 300, 50):
-        scores = sorted((-int(q[i] @ q[j]), j) for j in range(300) if j != i)[:5]
-        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
-    assert got == want
-
-
 def test_toxicity(spark):
     r = random.Random(5)
     words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(400)]
@@ -146,3 +131,5 @@ def test_html():
     assert wrong <= 0.02 * total
     page = "<html><body><nav><ul><li><a href=/a>Menu</a></li></ul></nav><div class='ad'>Buy now.</div><article><h1>A &amp; B</h1><p>First  text\nhere, and more of it.</p><p><b>Second &eacute; part goes on for some words.<br></article><section class=comments><div class=comment><p>Nice one.</p></div></section><footer>&copy; X</footer></body></html>"
     assert html_text.main_texts([page, ""], model) == ["A & B\nFirst text here, and more of it.\nSecond é part goes on for some words.", ""]
+    inline = "<article><p>super<wbr>cali<img src=x>fragil <math><mi>x</mi></math> <b>bold</b>ness<br>next line of the text.</p><script src=a/>var x=1;</script><p>Formula <svg><text>drawn</text></svg> shown here, said the author.</p></article>"
+    assert [b[0] for b in html_text.blocks(inline)] == ["supercalifragil x boldness next line of the text.", "Formula drawn shown here, said the author."]
