@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, exact dedup, n-gram Jaccard join, substring dedup, best-fit packing.
 
 Every stage works on the rows that the one before has kept, and its decisions take effect; all but
-the last return the columns of documents. Rows with a null doc_id pass through the dedup stages.
+the last return the columns of documents. Rows with a null doc_id pass through the dedup stages, and
+without labels of both kinds all documents pass the first; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heftgraph.llm import exact_dedup, jaccard_join, packing, substring_dedup, toxicity
-from heftgraph.llm.common import broadcast_if_small, settle, table
+from heftgraph.llm.common import broadcast_if_small, free_name, settle, small, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,20 +22,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def _repeated_ids(docs: DataFrame) -> DataFrame:
+    return settle(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "repeated")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest doc_id stays, once."""
-    gone = settle(exact_dedup.dedup(docs).filter("not kept").select("doc_id", "keep_id"), "dropped")
+    gone = settle(exact_dedup.dedup(docs).filter("not kept").select("doc_id", "keep_id", "text_sha256"), "dropped")
+    later = gone.filter("doc_id <> keep_id").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest")).distinct()
+    text = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    others = docs.join(small(later, 64), (F.col("doc_id") == F.col("id")) & (F.unhex(text) == F.col("digest")), "left_anti")
+    # rows that repeat both doc_id and text
     repeated = settle(gone.filter("doc_id = keep_id").select("doc_id").distinct(), "repeated")
-    others = docs.join(broadcast_if_small(gone.filter("doc_id <> keep_id").select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
-    if not repeated.limit(1).count():
+    if repeated.isEmpty():
         return others
     again = broadcast_if_small(repeated)
-    return others.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(others.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    once = others.join(again, "doc_id", "left_semi").select(docs.columns)
+    held = free_name("digest", docs.columns)
+    return others.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.withColumn(held, text).dropDuplicates(["doc_id", held]).drop(held))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at similarity 0.8 of five-word shingles the smallest doc_id stays."""
-    gone = settle(jaccard_join.classes(docs, 5, 80).filter("doc_id <> component_id").select("doc_id"), "dropped").distinct()
+    """Of documents linked at similarity 0.8 of five-word shingles the smallest doc_id stays; rows whose doc_id has other rows stay too, since it doesn't tell which."""
+    gone = settle(jaccard_join.classes(docs, 5, 80).filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    gone = gone.join(broadcast_if_small(_repeated_ids(docs)), "doc_id", "left_anti")
     return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
 
 
