@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heftgraph.operators.prune import Graph
-from heftgraph.operators.reach import KERNEL_EDGES
+from heftgraph.operators.kernel import EDGES as KERNEL_EDGES
 
 TREE = "node string, kind string, module string, idom string, retained long"
 

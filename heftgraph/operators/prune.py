@@ -9,93 +9,157 @@ from math import factorial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heftgraph.operators import kernel
+from heftgraph.operators.kernel import Kernel
 from heftgraph.operators.policy import Policy, classify
-from heftgraph.operators.reach import checkpointed, reach
+from heftgraph.operators.reach import reach
+from heftgraph.operators.storage import stored
 
-#: Players up to which fair shares are exact: 2**12 sweeps.
+# Players up to which fair shares are exact (2**12 sweeps); sweeps, least and most orders of sampled ones; steps of a plan.
 EXACT_PLAYERS = 12
+SWEEPS, LEAST_ORDERS, MOST_ORDERS = 24_000, 64, 512
 PLAN_STEPS = 25
-EDIT_SITES = 20
+#: Modules of a policy's frontier whose names the driver may hold, counted before.
+MOST_TARGETS = 100_000
 
 
 @dataclass
 class Graph:
-    """packages(pkg, module, size), edges(src, dst), roots(pkg); module '' is the standard library."""
+    """packages(pkg, module, size), edges(src, dst), roots(pkg); module '' is the standard library.
+
+    Names that only edges or roots have are packages without a module ('') and of size 0; a null
+    size counts as 0 and a null module as ''.
+    """
 
     packages: DataFrame
     edges: DataFrame
     roots: DataFrame
     main: str
     policy: Policy
+    #: False: always by frontier joins.
+    small: bool = True
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """pkg, module, size of every name."""
+        listed = self.packages.select("pkg", F.coalesce("module", F.lit("")).alias("module"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.lit(1).alias("listed"))
+        other = self.edges.select(F.explode(F.array("src", "dst")).alias("pkg")).union(self.roots.select("pkg")).select("pkg", F.lit("").alias("module"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("listed"))
+        every = listed.union(other).groupBy("pkg").agg(F.max(F.struct("listed", "module", "size")).alias("x"))
+        return stored(every.select("pkg", "x.module", "x.size"))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return stored(self.edges.select("src", "dst").distinct())
 
     @cached_property
     def classes(self) -> DataFrame:
-        return checkpointed(classify(self.packages, self.edges, self.main, self.policy))
+        return stored(classify(self.nodes, self.links, self.main, self.policy))
 
     @cached_property
     def targets(self) -> DataFrame:
         return self.classes.filter("target").select(F.col("module").alias("target"))
 
+    def target_names(self) -> list[str]:
+        """The targets in order of their names."""
+        got = self.targets.orderBy("target").limit(MOST_TARGETS + 1).collect()
+        if len(got) > MOST_TARGETS:
+            raise ValueError(f"more than {MOST_TARGETS} targets")
+        return [r[0] for r in got]
+
     @cached_property
     def hops(self) -> DataFrame:
         """edges with their modules sm, dm and the target that a cut severs them for."""
-        own = self.packages.select("pkg", "module")
-        cls = F.broadcast(self.classes.select("module", "controlled", "target"))
-        out = self.edges.join(own.withColumnsRenamed({"pkg": "src", "module": "sm"}), "src").join(own.withColumnsRenamed({"pkg": "dst", "module": "dm"}), "dst")
-        out = out.join(cls.select(F.col("module").alias("sm"), F.col("controlled").alias("sc")), "sm", "left").join(cls.select(F.col("module").alias("dm"), F.col("target").alias("dt")), "dm", "left")
-        return checkpointed(out.select("src", "dst", "sm", "dm", F.when(F.col("sc") & F.col("dt"), F.col("dm")).alias("cut_target")))
-
-    def reached(self, severed: DataFrame, starts: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
-        """(cut_id, node) under severed(cut_id, target); a null target keeps a cut that severs nothing."""
+        own = self.nodes.select("pkg", "module")
+        out = self.links.join(own.withColumnsRenamed({"pkg": "src", "module": "sm"}), "src").join(own.withColumnsRenamed({"pkg": "dst", "module": "dm"}), "dst")
+        # one row a module; Spark broadcasts it if its files are small
+        cls = self.classes.select("module", "controlled", "target")
+        out = out.join(cls.filter("controlled").select(F.col("module").alias("sm"), F.col("controlled").alias("sc")), "sm", "left").join(cls.filter("target").select(F.col("module").alias("dm"), F.col("target").alias("dt")), "dm", "left")
+        return stored(out.select("src", "dst", "sm", "dm", F.when(F.col("sc") & F.col("dt"), F.col("dm")).alias("cut_target")))
+
+    @cached_property
+    def kernel(self) -> Kernel | None:
+        """The graph as the tasks share it, where it is within the kernel's bounds."""
+        found = kernel.build(self.nodes, self.hops, self.roots) if self.small else None
+        return Kernel(self.roots.sparkSession, found) if found else None
+
+    def _cuts(self, severed: DataFrame) -> DataFrame:
+        """cut_id, targets; a null target keeps a cut that severs nothing."""
+        return severed.groupBy("cut_id").agg(F.collect_set("target").alias("targets"))
+
+    def reached(self, severed: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+        """(cut_id, pkg, module, size) reached in each cut of severed(cut_id, target), from the roots or from starts(cut_id, node)."""
+        if self.kernel:
+            cuts = self._cuts(severed)
+            if starts is None:
+                return self.kernel.reached(cuts.withColumn("starts", F.lit(None).cast("array<string>")))
+            return self.kernel.reached(cuts.join(starts.groupBy("cut_id").agg(F.collect_set("node").alias("starts")), "cut_id"))
         if starts is None:
-            starts = severed.select("cut_id").distinct().crossJoin(F.broadcast(self.roots)).select("cut_id", F.col("pkg").alias("node"))
-        return reach(self.hops if edges is None else edges, starts, severed.filter("target is not null"))
+            starts = severed.select("cut_id").distinct().crossJoin(self.roots.select(F.col("pkg").alias("node")))
+        return self._joined(severed, starts, self.hops)
+
+    def _joined(self, severed: DataFrame, starts: DataFrame, edges: DataFrame) -> DataFrame:
+        found = reach(edges, starts, severed.filter("target is not null")).withColumnRenamed("node", "pkg")
+        return found.join(self.nodes, "pkg").select("cut_id", "pkg", "module", "size")
+
+    def _by_roots(self, severed: DataFrame, kind: str) -> DataFrame:
+        starts = severed.select("cut_id").distinct().crossJoin(self.roots.select(F.col("pkg").alias("node")))
+        outer = F.when(F.col("sm") != F.col("dm"), F.col("dm"))
+        return self._joined(severed, starts, self.hops if kind == "cut" else self.hops.withColumn("cut_target", outer))
 
     @cached_property
     def base(self) -> DataFrame:
         """Reachable packages with module and size."""
         none = self.roots.sparkSession.createDataFrame([("base", None)], "cut_id string, target string")
-        return checkpointed(self.reached(none).select(F.col("node").alias("pkg")).join(self.packages, "pkg"))
+        return stored(self.reached(none).select("pkg", "module", "size"))
 
     @cached_property
     def single_cuts(self) -> DataFrame:
         return self.targets.select(F.col("target").alias("cut_id"), "target")
 
-    def leaving(self, severed: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-        """(cut_id, pkg, module, size) of what each cut makes unreachable."""
-        kept = self.reached(severed, edges=edges).select("cut_id", F.col("node").alias("pkg"))
-        every = self.base.join(F.broadcast(severed.select("cut_id").distinct()))
-        return every.join(kept, ["cut_id", "pkg"], "left_anti")
+    def leaving(self, severed: DataFrame, kind: str = "cut") -> DataFrame:
+        """(cut_id, pkg, module, size) of what each cut makes unreachable; of kind 'prize' all edges into a target from outside are severed."""
+        if self.kernel:
+            return self.kernel.leaving(self._cuts(severed), kind)
+        kept = self._by_roots(severed, kind).select("cut_id", "pkg")
+        # every cut against what is reachable at all: as many rows as the sweeps themselves may give
+        every = self.base.crossJoin(severed.select("cut_id").distinct())
+        return every.join(kept, ["cut_id", "pkg"], "left_anti").select("cut_id", "pkg", "module", "size")
+
+    def freed_by(self, severed: DataFrame, kind: str = "cut") -> DataFrame:
+        """cut_id, bytes, packages of what each cut frees."""
+        if self.kernel:
+            return self.kernel.freed(self._cuts(severed), kind)
+        # what is reached lies within the base, so sums by cut tell the rest
+        kept = self._by_roots(severed, kind).groupBy("cut_id").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+        total = self.base.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("packages"))
+        return kept.crossJoin(total).select("cut_id", (F.col("bytes") - F.col("b")).alias("bytes"), (F.col("packages") - F.col("n")).alias("packages"))
 
     @cached_property
     def exclusive(self) -> DataFrame:
         """(cut_id = target, pkg, module, size) that leave with one target alone."""
-        return checkpointed(self.leaving(self.single_cuts))
+        return stored(self.leaving(self.single_cuts))
 
     def exclusive_freed(self) -> DataFrame:
         """module, freed_bytes, freed_packages of every target."""
-        own = self.exclusive.groupBy("cut_id").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-        return self.targets.join(own, self.targets["target"] == own["cut_id"], "left").select(F.col("target").alias("module"), F.coalesce("b", F.lit(0)).alias("freed_bytes"), F.coalesce("n", F.lit(0)).alias("freed_packages"))
+        return self.freed_by(self.single_cuts).select(F.col("cut_id").alias("module"), F.col("bytes").alias("freed_bytes"), F.col("packages").alias("freed_packages"))
 
     def prize(self) -> DataFrame:
         """module, prize_bytes: what leaves if nothing outside a target imported it."""
-        into = self.hops.withColumn("cut_target", F.when(F.col("sm") != F.col("dm"), F.col("dm")))
-        gone = self.leaving(self.single_cuts, into).groupBy("cut_id").agg(F.sum("size").alias("b"))
-        return self.targets.join(gone, self.targets["target"] == gone["cut_id"], "left").select(F.col("target").alias("module"), F.coalesce("b", F.lit(0)).alias("prize_bytes"))
+        return self.freed_by(self.single_cuts, "prize").select(F.col("cut_id").alias("module"), F.col("bytes").alias("prize_bytes"))
 
     @cached_property
     def closures(self) -> DataFrame:
         """(target, pkg) reachable from any package of a target, without cuts."""
-        starts = self.packages.join(F.broadcast(self.targets), F.col("module") == F.col("target")).select(F.col("target").alias("cut_id"), F.col("pkg").alias("node"))
+        starts = self.nodes.join(self.targets, F.col("module") == F.col("target")).select(F.col("target").alias("cut_id"), F.col("pkg").alias("node"))
         none = starts.select("cut_id").distinct().withColumn("target", F.lit(None).cast("string"))
-        return checkpointed(self.reached(none, starts).select(F.col("cut_id").alias("target"), F.col("node").alias("pkg")))
+        return stored(self.reached(none, starts).select(F.col("cut_id").alias("target"), "pkg"))
 
     @cached_property
     def blockers(self) -> DataFrame:
         """(pkg, module, size, target): packages that only targets hold, with each target whose closure has them."""
         every = self.targets.select(F.lit("all").alias("cut_id"), "target")
         freeable = self.leaving(every).select("pkg", "module", "size")
-        return checkpointed(freeable.join(self.closures, "pkg"))
+        return stored(freeable.join(self.closures, "pkg"))
 
     def potential(self) -> DataFrame:
         """module, potential_bytes, shared_bytes of every target."""
@@ -120,7 +184,7 @@ class Graph:
     def pinned_by(self) -> DataFrame:
         """module, pinned_by: locked, uncontrolled modules that import a target directly."""
         pins = self.classes.filter("locked and not controlled").select(F.col("module").alias("sm"))
-        hit = self.hops.filter("sm <> '' and dm <> '' and sm <> dm").join(F.broadcast(pins), "sm", "left_semi").join(F.broadcast(self.targets), F.col("dm") == F.col("target"), "left_semi")
+        hit = self.hops.filter("sm <> '' and dm <> '' and sm <> dm").join(pins, "sm", "left_semi").join(self.targets, F.col("dm") == F.col("target"), "left_semi")
         return hit.groupBy("dm").agg(F.array_join(F.array_sort(F.collect_set("sm")), ",").alias("pinned_by")).select(F.col("dm").alias("module"), "pinned_by")
 
     def candidates(self) -> DataFrame:
@@ -139,62 +203,91 @@ class Graph:
         hop = self.hops.join(live.withColumnRenamed("pkg", "src"), "src", "left_semi").join(live.withColumnRenamed("pkg", "dst"), "dst", "left_semi")
         return hop.filter("dm <> '' and sm <> dm").groupBy(F.col("dm").alias("module")).agg(F.count_distinct("sm").alias("importers"))
 
-    def freed_by(self, severed: DataFrame) -> DataFrame:
-        """cut_id, bytes of what each cut frees; cuts that free nothing are left out."""
-        return self.leaving(severed).groupBy("cut_id").agg(F.sum("size").alias("bytes"))
-
     def plan(self, steps: int = PLAN_STEPS) -> DataFrame:
         """step, module, marginal, cumulative: each step takes the target that adds most, ties by name."""
-        spark = self.base.sparkSession
-        names = [r[0] for r in self.targets.orderBy("target").collect()]  # modules of the policy's frontier
+        spark = self.roots.sparkSession
+        names = self.target_names()
         chosen: list[str] = []
         rows, total = [], 0
         while len(chosen) < min(steps, len(names)):
-            left = [n for n in names if n not in chosen]
-            cuts = spark.createDataFrame([(n, t) for n in left for t in [*chosen, n]], "cut_id string, target string")
+            left = [(n,) for n in names if n not in chosen]
+            held = F.array(*map(F.lit, chosen)).cast("array<string>")
+            # every remaining target with those chosen so far, in one job
+            cuts = spark.createDataFrame(left, "cut_id string").select("cut_id", F.explode(F.concat(held, F.array("cut_id"))).alias("target"))
             best = self.freed_by(cuts).orderBy(F.desc("bytes"), "cut_id").first()
-            if best is None or best["bytes"] <= total:
+            if best["bytes"] <= total:
                 break
             rows.append((len(rows) + 1, best["cut_id"], best["bytes"] - total, best["bytes"]))
             total = best["bytes"]
             chosen.append(best["cut_id"])
         return spark.createDataFrame(rows, "step int, module string, marginal long, cumulative long")
 
+    def plan_steps(self, steps: int = PLAN_STEPS) -> DataFrame:
+        """plan() with the bytes of the step's own module that leave, its share in percent, and the module's importers."""
+        plan = stored(self.plan(steps))
+        chosen = [r["module"] for r in plan.orderBy("step").collect()]
+        spark = self.roots.sparkSession
+        cuts = spark.createDataFrame([(str(k), t) for k in range(1, len(chosen) + 1) for t in chosen[:k]], "cut_id string, target string")
+        gone = self.leaving(cuts).groupBy(F.col("cut_id").cast("int").alias("step"), "module").agg(F.sum("size").alias("bytes"))
+        before = gone.select((F.col("step") + 1).alias("step"), "module", F.col("bytes").alias("was"))
+        own = plan.select("step", "module").join(gone, ["step", "module"], "left").join(before, ["step", "module"], "left").select("step", (F.coalesce("bytes", F.lit(0)) - F.coalesce("was", F.lit(0))).alias("own_bytes"))
+        return plan.join(own, "step").join(self.fan_in(), "module", "left").select("step", "module", "marginal", "cumulative", "own_bytes", F.coalesce("importers", F.lit(0)).alias("importers"))
+
     def shapley(self) -> DataFrame:
         """module, blame, alone, exact: fair share of each target in what all targets free together."""
-        spark = self.base.sparkSession
-        names = [r[0] for r in self.targets.orderBy("target").collect()]
+        spark = self.roots.sparkSession
+        names = self.target_names()
         n = len(names)
+        if not n:
+            return spark.createDataFrame([], "module string, blame long, alone long, exact boolean")
         if n > EXACT_PLAYERS:
             return self._sampled(names)
-        cuts = spark.createDataFrame([(str(m), t) for m in range(1, 1 << n) for i, t in enumerate(names) if m >> i & 1], "cut_id string, target string")
-        value = checkpointed(self.freed_by(cuts).select(F.col("cut_id").cast("int").alias("mask"), F.col("bytes").cast("decimal(38,0)").alias("v")))
-        masks = spark.range(1 << n).select(F.col("id").cast("int").alias("mask")).join(F.broadcast(value), "mask", "left").withColumn("v", F.coalesce("v", F.lit(0).cast("decimal(38,0)")))
-        weight = F.element_at(F.array(*[F.lit(factorial(s) * factorial(n - s - 1)) for s in range(n)]), F.bit_count("mask") + 1)
+        masks = spark.range(1 << n).select(F.col("id").cast("int").alias("mask"))
         players = spark.createDataFrame(list(enumerate(names)), "i int, module string")
-        without = masks.crossJoin(F.broadcast(players)).filter("mask & shiftleft(1, i) = 0").withColumn("other", F.expr("mask | shiftleft(1, i)"))
-        gain = without.join(F.broadcast(masks.select(F.col("mask").alias("other"), F.col("v").alias("w"))), "other")
+        listed = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(names)))
+        members = F.expr("transform(filter(listed, p -> mask & shiftleft(1, p.i) <> 0), p -> p.t)")
+        cuts = masks.withColumn("listed", listed).select(F.col("mask").cast("string").alias("cut_id"), F.explode_outer(members).alias("target"))
+        value = stored(self.freed_by(cuts).select(F.col("cut_id").cast("int").alias("mask"), F.col("bytes").cast("decimal(38,0)").alias("v")))
+        weight = F.element_at(F.array(*[F.lit(factorial(s) * factorial(n - s - 1)) for s in range(n)]), F.bit_count("mask") + 1)
+        # 2**12 masks at most, and 12 players
+        without = value.crossJoin(F.broadcast(players)).filter("mask & shiftleft(1, i) = 0").withColumn("other", F.expr("mask | shiftleft(1, i)"))
+        gain = without.join(F.broadcast(value.select(F.col("mask").alias("other"), F.col("v").alias("w"))), "other")
         share = gain.groupBy("module").agg(F.sum((F.col("w") - F.col("v")) * weight).alias("num"), F.max(F.when(F.col("mask") == 0, F.col("w"))).alias("alone"))
         blame = F.expr(f"cast((2 * num + {factorial(n)}) div {2 * factorial(n)} as long)")
         return share.select("module", F.greatest(blame, F.lit(0)).alias("blame"), F.col("alone").cast("long").alias("alone"), F.lit(True).alias("exact"))
 
     def _sampled(self, names: list[str]) -> DataFrame:
+        """Mean gains along random orders of the targets; only the orders are sent, gains telescope within the tasks."""
         import numpy as np
 
-        spark, n = self.base.sparkSession, len(names)
-        samples = min(max(24_000 // n, 64), 512)
+        spark, n = self.roots.sparkSession, len(names)
+        samples = min(max(SWEEPS // n, LEAST_ORDERS), MOST_ORDERS)
         rng = np.random.default_rng(1)
-        order = [rng.permutation(n).tolist() for _ in range(samples)]
-        cuts = [(f"{s}/{p}", names[i]) for s, o in enumerate(order) for p in range(1, n + 1) for i in o[:p]]
-        value = self.freed_by(spark.createDataFrame(cuts, "cut_id string, target string"))
-        spots = spark.createDataFrame([(f"{s}/{p + 1}", s, p, names[i]) for s, o in enumerate(order) for p, i in enumerate(o)], "cut_id string, s int, p int, module string")
-        v = spots.join(value, "cut_id", "left").withColumn("v", F.coalesce("bytes", F.lit(0)))
-        step = v.selectExpr("module", "v - lag(v, 1, 0) over (partition by s order by p) as d")
-        return step.groupBy("module").agg(F.floor(F.sum("d") / samples + 0.5).cast("long").alias("blame")).select("module", "blame", F.lit(None).cast("long").alias("alone"), F.lit(False).alias("exact"))
+        order = [(s, [names[i] for i in rng.permutation(n).tolist()]) for s in range(samples)]
+        orders = spark.createDataFrame(order, "sample int, targets array<string>").repartition(spark.sparkContext.defaultParallelism, "sample")
+        if self.kernel:
+            gain = self.kernel.along(orders)
+        else:
+            spots = orders.select("sample", "targets", F.posexplode("targets").alias("p", "module"))
+            value = self.freed_by(spots.select(F.concat_ws("/", "sample", "p").alias("cut_id"), F.explode(F.expr("slice(targets, 1, p + 1)")).alias("target")))
+            step = spots.select("sample", "p", "module", F.concat_ws("/", "sample", "p").alias("cut_id")).join(value, "cut_id")
+            gain = step.selectExpr("module", "bytes - lag(bytes, 1, 0L) over (partition by sample order by p) as d").groupBy("module").agg(F.sum("d").alias("gain"))
+        blame = F.greatest(F.expr(f"cast((2 * gain + {samples}) div {2 * samples} as long)"), F.lit(0))
+        return gain.select("module", blame.alias("blame"), F.lit(None).cast("long").alias("alone"), F.lit(False).alias("exact"))
 
     def what_if(self, selected: list[str]) -> DataFrame:
         """original_size, freed_bytes, projected_size when the selected targets are cut."""
-        spark = self.base.sparkSession
-        cut = spark.createDataFrame([("cut", s) for s in selected], "cut_id string, target string").join(F.broadcast(self.targets), "target", "left_semi").select("cut_id", "target")
-        freed = self.freed_by(cut).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("freed_bytes"))
-        return self.base.agg(F.sum("size").alias("original_size")).crossJoin(freed).select("original_size", "freed_bytes", F.greatest(F.col("original_size") - F.col("freed_bytes"), F.lit(0)).alias("projected_size"))
+        spark = self.roots.sparkSession
+        named = spark.createDataFrame([(s,) for s in selected], "target string").join(self.targets, "target", "left_semi")
+        cut = named.select(F.lit("cut").alias("cut_id"), "target").union(spark.createDataFrame([("cut", None)], "cut_id string, target string"))
+        freed = self.freed_by(cut).select(F.col("bytes").alias("freed_bytes"))
+        whole = self.base.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("original_size"))
+        return whole.crossJoin(freed).select("original_size", "freed_bytes", F.greatest(F.col("original_size") - F.col("freed_bytes"), F.lit(0)).alias("projected_size"))
+
+    def freed_list(self, selected: list[str]) -> DataFrame:
+        """module, bytes, whole: what a selection frees of each module, and whether all of its reachable bytes (more than none) leave."""
+        spark = self.roots.sparkSession
+        cut = spark.createDataFrame([("cut", s) for s in selected] or [("cut", None)], "cut_id string, target string")
+        gone = self.leaving(cut).groupBy("module").agg(F.sum("size").alias("bytes"))
+        total = self.base.groupBy("module").agg(F.sum("size").alias("total"))
+        return gone.join(total, "module").select("module", "bytes", ((F.col("total") > 0) & (F.col("bytes") >= F.col("total")) & (F.col("module") != "")).alias("whole"))

@@ -1,80 +1,35 @@
-"""Reachability under edge cuts, for many cuts at once.
+"""Reachability under edge cuts by frontier joins, for many cuts at once and graphs of any size.
 
 Inputs: edges(src, dst, cut_target), starts(cut_id, node), severed(cut_id, target). An edge is
 severed in a cut when its non-null cut_target is among the cut's targets. Output: (cut_id, node).
-Graphs of at most KERNEL_EDGES edges are sent to all tasks, which sweep one cut after the other;
-larger ones are met by frontier joins, checkpointed each round.
+Every round's new rows are written as a partition of their own; what has been reached is never
+written twice. Graphs within the kernel's bounds are swept by kernel.py instead.
 """
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edges of a graph that may be broadcast, counted before: three integers each in the kernel.
-KERNEL_EDGES = 1_000_000
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="heftgraph-"))
-    return df.checkpoint()
-
-
-def reach(edges: DataFrame, starts: DataFrame, severed: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
-    edges = edges.select("src", "dst", "cut_target").distinct()
-    if edges.limit(kernel_edges + 1).count() <= kernel_edges:
-        return _sweep(edges, starts, severed)
-    return _frontier(edges, starts, severed)
-
-
-def _sweep(edges: DataFrame, starts: DataFrame, severed: DataFrame) -> DataFrame:
-    rows = edges.toPandas()
-    names = pd.Index(pd.unique(pd.concat([rows["src"], rows["dst"]])))
-    targets = pd.Index(rows["cut_target"].dropna().unique())
-    src, dst = names.get_indexer(rows["src"]), names.get_indexer(rows["dst"])
-    cut = targets.get_indexer(rows["cut_target"].fillna("\0"))  # -1: never severed
-    sent = edges.sparkSession.sparkContext.broadcast((names, targets, src, dst, cut))
-    cuts = starts.groupBy("cut_id").agg(F.collect_set("node").alias("nodes")).join(severed.groupBy("cut_id").agg(F.collect_set("target").alias("targets")), "cut_id", "left")
-
-    def run(frames):
-        names, targets, src, dst, cut = sent.value
-        out: list[list[tuple[int, int]]] = [[] for _ in names]
-        for s, d, c in zip(src.tolist(), dst.tolist(), cut.tolist(), strict=True):
-            out[s].append((d, c))
-        for frame in frames:
-            for cut_id, nodes, gone in zip(frame["cut_id"], frame["nodes"], frame["targets"], strict=True):
-                dead = set(targets.get_indexer(list(gone)).tolist()) - {-1} if gone is not None else set()
-                at = names.get_indexer(list(nodes))
-                seen = set(at[at >= 0].tolist())
-                todo = list(seen)
-                while todo:
-                    for d, c in out[todo.pop()]:
-                        if d not in seen and c not in dead:
-                            seen.add(d)
-                            todo.append(d)
-                found = [n for n, i in zip(nodes, at.tolist(), strict=True) if i < 0] + names[list(seen)].tolist()
-                yield pd.DataFrame({"cut_id": cut_id, "node": found})
-
-    return cuts.mapInPandas(run, "cut_id string, node string")
-
-
-def _frontier(edges: DataFrame, starts: DataFrame, severed: DataFrame) -> DataFrame:
-    edges = checkpointed(edges)
-    severed = checkpointed(severed.select("cut_id", F.col("target").alias("cut_target")).distinct())
-    seen = new = checkpointed(starts.select("cut_id", "node").distinct())
-    while not new.isEmpty():
+from heftgraph.operators.storage import root, stored
+
+
+def reach(edges: DataFrame, starts: DataFrame, severed: DataFrame) -> DataFrame:
+    spark = edges.sparkSession
+    edges = stored(edges.select("src", "dst", "cut_target").distinct())
+    severed = stored(severed.select("cut_id", F.col("target").alias("cut_target")).distinct())
+    path, schema = f"{root(spark)}/reached-{uuid.uuid4().hex}", "cut_id string, node string"
+    starts.select(F.col("cut_id").cast("string"), "node").distinct().write.parquet(f"{path}/round=0")
+    rounds = 0
+    while True:
+        new = spark.read.schema(schema).parquet(f"{path}/round={rounds}")
+        if new.isEmpty():
+            break
+        seen = spark.read.schema(schema).parquet(*(f"{path}/round={k}" for k in range(rounds + 1)))
         step = new.join(edges, new["node"] == edges["src"]).select("cut_id", F.col("dst").alias("node"), "cut_target")
         step = step.join(severed, ["cut_id", "cut_target"], "left_anti").select("cut_id", "node").distinct()
-        new = checkpointed(step.join(seen, ["cut_id", "node"], "left_anti"))
-        seen = checkpointed(seen.unionByName(new))
-    return seen
-
-
-def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+        rounds += 1
+        step.join(seen, ["cut_id", "node"], "left_anti").write.parquet(f"{path}/round={rounds}")
+    return spark.read.schema(schema).parquet(*(f"{path}/round={k}" for k in range(rounds + 1)))

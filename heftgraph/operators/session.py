@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heftgraph.operators.prune import Graph
-from heftgraph.operators.reach import checkpointed
+from heftgraph.operators.storage import stored
 
+# Nodes of a tree, and shown importers of each.
 WHY_NODES, WHY_BREADTH = 8, 3
 #: Module edges that may be broadcast for why trees, counted before.
 WHY_EDGES = 1_000_000
@@ -17,17 +18,17 @@ RANK = {"main": 0, "1st": 1, "2nd": 2, "3rd": 3}
 
 def _cuts(g: Graph, cuts: dict[str, list[str]]) -> DataFrame:
     rows = [(c, t) for c, members in cuts.items() for t in (members or [None])]
-    return g.base.sparkSession.createDataFrame(rows, "cut_id string, target string")
+    return g.roots.sparkSession.createDataFrame(rows, "cut_id string, target string")
 
 
 def marginals(g: Graph, selected: list[str]) -> DataFrame:
     """module, marginal: what cutting each target frees beyond the selection."""
-    own = g.single_cuts
-    chosen = _cuts(g, {"": selected}).select("target").filter("target is not null")
-    cuts = own.union(own.select("cut_id").crossJoin(F.broadcast(chosen))).distinct()
-    before = g.freed_by(_cuts(g, {"": selected})).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("v"))
-    after = own.select("cut_id").join(g.freed_by(cuts), "cut_id", "left")
-    return after.crossJoin(F.broadcast(before)).select(F.col("cut_id").alias("module"), (F.coalesce("bytes", F.lit(0)) - F.col("v")).alias("marginal"))
+    # the selection goes with every target; '' is the selection alone
+    cuts = g.single_cuts.select("cut_id").union(_cuts(g, {"": []}).select("cut_id"))
+    chosen = F.array(*map(F.lit, selected)).cast("array<string>")
+    cuts = cuts.select("cut_id", F.explode_outer(F.when(F.col("cut_id") == "", chosen).otherwise(F.concat(chosen, F.array("cut_id")))).alias("target"))
+    freed = stored(g.freed_by(cuts))
+    return freed.filter("cut_id <> ''").crossJoin(freed.filter("cut_id = ''").select(F.col("bytes").alias("v"))).select(F.col("cut_id").alias("module"), (F.col("bytes") - F.col("v")).alias("marginal"))
 
 
 def importers(g: Graph) -> DataFrame:
@@ -37,14 +38,13 @@ def importers(g: Graph) -> DataFrame:
     return hops.select(F.col("dm").alias("module"), F.col("sm").alias("importer")).distinct()
 
 
-def drag_out(g: Graph, module: str) -> DataFrame:
-    """module, bytes, freed, needed_by: what a module pulls in, and who keeps it when the module is cut."""
-    spark = g.base.sparkSession
-    start = g.packages.filter(F.col("module") == module).select(F.lit("m").alias("cut_id"), F.col("pkg").alias("node"))
-    inside = g.reached(spark.createDataFrame([("m", None)], "cut_id string, target string"), start).select(F.col("node").alias("pkg"))
+def drag_out(g: Graph, module: str, selected: list[str] | None = None) -> DataFrame:
+    """module, bytes, freed, needed_by: what a module pulls in, and who keeps it when the selection (the module itself, unless given) is cut."""
+    spark = g.roots.sparkSession
+    start = g.nodes.filter(F.col("module") == module).select(F.lit("m").alias("cut_id"), F.col("pkg").alias("node"))
+    inside = g.reached(spark.createDataFrame([("m", None)], "cut_id string, target string"), start).select("pkg")
     deps = g.base.join(inside, "pkg", "left_semi").filter((F.col("module") != "") & (F.col("module") != module)).select("module").distinct()
-    after = g.reached(_cuts(g, {"m": [module]})).select(F.col("node").alias("pkg"))
-    left = checkpointed(g.packages.join(after, "pkg", "left_semi").select("module").distinct())
+    left = stored(g.reached(_cuts(g, {"m": [module] if selected is None else selected})).select("module").distinct())
     by = importers(g).filter(F.col("importer") != module).join(left.withColumnRenamed("module", "importer"), "importer", "left_semi")
     by = by.join(left, "module", "left_semi").groupBy("module").agg(F.array_join(F.array_sort(F.collect_set("importer")), ",").alias("needed_by"))
     size = g.base.groupBy("module").agg(F.sum("size").alias("bytes"))
@@ -61,9 +61,9 @@ def plan_freed(g: Graph, plan: list[str]) -> DataFrame:
         for j, other in enumerate(plan[: k - 1]):
             cuts[f"w{k}/{j}"] = plan[:j] + plan[j + 1 : k]
             pairs.append((k, f"w{k}/{j}", other))
-    spark = g.base.sparkSession
+    spark = g.roots.sparkSession
     unit = F.when(F.col("module") == "", F.col("pkg")).otherwise(F.col("module")).alias("unit")
-    freed = checkpointed(g.leaving(_cuts(g, cuts)).groupBy("cut_id", unit).agg(F.sum("size").alias("bytes")))
+    freed = stored(g.leaving(_cuts(g, cuts)).groupBy("cut_id", unit).agg(F.sum("size").alias("bytes")))
     at = freed.filter("startswith(cut_id, 'p')").select(F.expr("cast(substring(cut_id, 2) as int)").alias("step"), "unit", "bytes")
     earlier = at.select((F.col("step") + 1).alias("step"), "unit", F.col("bytes").alias("was"))
     gain = at.join(earlier, ["step", "unit"], "left").withColumn("bytes", F.col("bytes") - F.coalesce("was", F.lit(0))).filter("bytes > 0").select("step", "unit", "bytes")
@@ -76,7 +76,7 @@ def plan_freed(g: Graph, plan: list[str]) -> DataFrame:
 
 def import_why(g: Graph, nodes: int = WHY_NODES, breadth: int = WHY_BREADTH) -> DataFrame:
     """root, place, module, via (place of the node it hangs on), more: who imports each module, up to code of one's own."""
-    spark = g.base.sparkSession
+    spark = g.roots.sparkSession
     edges = importers(g)
     if edges.limit(WHY_EDGES + 1).count() > WHY_EDGES:
         raise ValueError(f"more than {WHY_EDGES} module edges")

@@ -127,8 +127,7 @@ def pinned_by(spark, sf):
     """With brands controlled by a pattern that is unlocked again, and nations locked, nations pin brands."""
     policy = Policy(controlled=("region/...", "brand/..."), locked=("nation/...",), unlock=("brand/...",))
     g = graph(spark, sf, policy)
-    pins = g.classes.filter("locked and not controlled").select(F.col("module").alias("sm"))
-    return g.hops.filter("sm <> '' and dm <> sm and dm like 'brand/%'").join(F.broadcast(pins), "sm", "left_semi").groupBy(F.col("dm").alias("module")).agg(F.array_join(F.array_sort(F.collect_set("sm")), ",").alias("pinned_by"))
+    return g.pinned_by()
 
 
 _CAND = _EXCL + ", " + _FREED + ", " + _PRIZE + ", " + _BLOCK + ", " + _POT
@@ -230,8 +229,7 @@ def go_floor(spark, sf):
 @query(_sql("wr AS (SELECT 'app/main' AS node UNION SELECT dst FROM wr JOIN ce ON node = src AND ct IS NULL), kept AS (SELECT pkg.* FROM pkg JOIN wr ON pkg = node), " + _VER.replace("{src}", "kept") + _FLOOR))
 def floor_after_cut(spark, sf):
     g = graph(spark, sf)
-    kept = g.reached(g.targets.select(F.lit("all").alias("cut_id"), "target")).select(F.col("node").alias("pkg"))
-    return reports.floor(_versions(g.packages.join(kept, "pkg", "left_semi")))
+    return reports.floor(_versions(g.reached(g.targets.select(F.lit("all").alias("cut_id"), "target"))))
 
 
 def _cells(spark, sf):
