@@ -1,71 +1,182 @@
-"""Scenario numbers: app imports stereo and syft, both import gcr; gcr imports docker and oci; shared adds syft to oci."""
+"""The graph operators against plain sets and recursion, on drawn graphs, in both ways of sweeping."""
 
 import random
+from itertools import combinations, permutations
 
 import pytest
 
 from heftgraph.operators.policy import Policy
 from heftgraph.operators.prune import Graph
-from heftgraph.operators.reach import reach
-from heftgraph.operators.reports import diff, floor, violations
-
-SIZES = {"app/main": 10, "stereo": 100, "syft": 100, "gcr": 1000, "docker": 500, "oci": 300}
-EDGES = [("app/main", "stereo"), ("app/main", "syft"), ("stereo", "gcr"), ("syft", "gcr"), ("gcr", "docker"), ("gcr", "oci")]
-
-
-def scenario(spark, policy, shared=True):
-    pkgs = spark.createDataFrame([(p, "app" if p == "app/main" else p, s) for p, s in SIZES.items()], "pkg string, module string, size long")
-    edges = spark.createDataFrame(EDGES + [("syft", "oci")] * shared, "src string, dst string")
-    return Graph(pkgs, edges, spark.createDataFrame([("app/main",)], "pkg string"), "app", policy)
-
-
-def rows(df):
-    return sorted(tuple(r) for r in df.collect())
-
-
-@pytest.mark.parametrize("policy,shared,targets", [
-    (Policy(), False, {"stereo", "syft"}),
-    (Policy(("stereo", "syft")), False, {"gcr"}),
-    (Policy(("stereo", "syft"), ("gcr",)), False, set()),
-    (Policy(("stereo", "syft"), (), ("stereo",)), False, {"gcr", "stereo"}),
-    (Policy(("stereo", "syft")), True, {"gcr", "oci"}),
-])
-def test_targets(spark, policy, shared, targets):
-    assert {r[0] for r in scenario(spark, policy, shared).targets.collect()} == targets
-
-
-def test_prune_numbers(spark):
-    g = scenario(spark, Policy(("stereo", "syft")))
-    assert rows(g.exclusive_freed().select("module", "freed_bytes")) == [("gcr", 1500), ("oci", 0)]
-    assert rows(g.prize()) == [("gcr", 1800 - 300), ("oci", 300)]
-    assert rows(g.potential()) == [("gcr", 1800, 300), ("oci", 300, 300)]
-    assert ("gcr", "oci", 300, "oci") in rows(g.shared_with())
-    assert rows(g.plan()) == [(1, "gcr", 1500, 1500), (2, "oci", 300, 1800)]
-    assert rows(g.shapley().select("module", "blame")) == [("gcr", 1650), ("oci", 150)]
-    assert rows(g.fan_in()) == [("docker", 1), ("gcr", 2), ("oci", 2), ("stereo", 1), ("syft", 1)]
-
-
-def test_pinned(spark):
-    g = scenario(spark, Policy(("stereo",), ("syft",)))
-    assert rows(g.exclusive_freed().select("module", "freed_bytes")) == [("gcr", 0)]
-    assert rows(g.pinned_by()) == [("gcr", "syft")]
-    assert rows(g.prize()) == [("gcr", 1500)]
-
-
-def test_sweep_equals_frontier(spark):
-    r = random.Random(4)
-    edges = [(f"p{r.randrange(i)}", f"p{i}", f"t{i % 3}" if r.random() < 0.4 else None) for i in range(1, 30) for _ in range(2)]
-    e = spark.createDataFrame(edges, "src string, dst string, cut_target string")
-    starts = spark.createDataFrame([(c, "p0") for c in "abc"], "cut_id string, node string")
-    cut = spark.createDataFrame([("a", "t0"), ("b", "t1"), ("b", "t2")], "cut_id string, target string")
-    assert rows(reach(e, starts, cut)) == rows(reach(e, starts, cut, kernel_edges=0))
-
-
-def test_floor_diff_budget(spark):
-    m = spark.createDataFrame([("g", "app", "1.21", True), ("g", "gcr", "1.24.0", False), ("g", "docker", "1.23.0", False), ("g", "oci", "", False)], "graph_id string, module string, version string, owned boolean")
-    assert rows(floor(m)) == [("g", "1.24.0", "gcr", "1.23.0", "1.21")]
+from heftgraph.operators.reports import diff, floor
+
+POLICY = Policy(controlled=("ours/...", "m2"), locked=("m4", "m5/..."), unlock=("m2",))
+
+
+class Drawn:
+    """A random graph: modules of one to three packages, main, two controlled ones, a standard library, unlisted names."""
+
+    def __init__(self, seed, modules=9):
+        r = random.Random(seed)
+        names = ["home", "ours/a", "ours/b", *(f"m{i}" for i in range(modules))]
+        self.module = {f"{m}/p{k}": m for m in names for k in range(1 if m == "home" else r.randint(1, 3))}
+        self.module |= {"fmt": "", "os": ""}
+        self.size = {p: r.choice([0, 1, 7, 30, 200]) for p in self.module}
+        nodes = list(self.module)
+        self.edges = {("home/p0", p) for p in nodes if p.startswith("ours/")}
+        for p in nodes:
+            for q in r.sample(nodes, 3):
+                if p != q and not (p in ("fmt", "os") and self.module[q]) and r.random() < 0.6:
+                    self.edges.add((p, q))
+        self.edges |= {("ours/a/p0", "unlisted"), ("unlisted", "m0/p0")}
+        self.module["unlisted"], self.size["unlisted"] = "", 0
+
+    def graph(self, spark, small=True):
+        rows = [(p, m, self.size[p]) for p, m in self.module.items() if p != "unlisted"]
+        pkgs = spark.createDataFrame(rows, "pkg string, module string, size long")
+        return Graph(pkgs, spark.createDataFrame(sorted(self.edges) * 2, "src string, dst string"), spark.createDataFrame([("home/p0",)], "pkg string"), "home", POLICY, small)
+
+    # the rules, spelt out
+    def controlled(self, m):
+        return m == "home" or m.startswith("ours/") or m == "m2"
+
+    def locked(self, m):
+        return m == "home" or (m != "m2" and (m == "m4" or m == "m5" or self.controlled(m)))
+
+    @property
+    def targets(self):
+        direct = {self.module[d] for s, d in self.edges if self.controlled(self.module[s]) and self.module[d] not in ("", self.module[s])}
+        return sorted(m for m in direct if not self.locked(m))
+
+    def reach(self, gone=(), prize=None, starts=("home/p0",)):
+        seen, todo = set(), list(starts)
+        while todo:
+            p = todo.pop()
+            if p in seen:
+                continue
+            seen.add(p)
+            for s, d in self.edges:
+                cut = self.controlled(self.module[s]) and self.module[d] in gone
+                outer = prize and self.module[d] == prize != self.module[s]
+                if s == p and not cut and not outer:
+                    todo.append(d)
+        return seen
+
+    def freed(self, gone):
+        return self.reach() - self.reach(gone)
+
+    def bytes(self, pkgs):
+        return sum(self.size[p] for p in pkgs)
+
+
+def rows(df, *columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+@pytest.fixture(scope="module", params=[(26, True), (29, True), (29, False)], ids=["a", "b", "b-joins"])
+def both(request, spark):
+    seed, small = request.param
+    d = Drawn(seed)
+    assert len(d.targets) >= 3
+    return d, d.graph(spark, small)
+
+
+def test_targets_and_classes(both):
+    d, g = both
+    got = {r["module"]: r for r in g.classes.collect()}
+    assert set(got) == {m for m in d.module.values() if m}
+    assert all(r["locked"] == d.locked(m) and r["controlled"] == d.controlled(m) for m, r in got.items())
+    assert [r[0] for r in rows(g.targets, "target")] == d.targets
+
+
+def test_what_leaves(both):
+    d, g = both
+    base = d.reach()
+    assert rows(g.base, "pkg", "module", "size") == sorted((p, d.module[p], d.size[p]) for p in base)
+    assert rows(g.exclusive_freed(), "module", "freed_bytes", "freed_packages") == [(t, d.bytes(d.freed({t})), len(d.freed({t}))) for t in d.targets]
+    assert rows(g.exclusive, "cut_id", "pkg") == sorted((t, p) for t in d.targets for p in d.freed({t}))
+    assert rows(g.prize(), "module", "prize_bytes") == [(t, d.bytes(base - d.reach(prize=t))) for t in d.targets]
+    freeable = base - d.reach(set(d.targets))
+    closure = {t: d.reach(starts=[p for p, m in d.module.items() if m == t]) for t in d.targets}
+    assert rows(g.closures, "target", "pkg") == sorted((t, p) for t, c in closure.items() for p in c)
+    want = [(t, d.bytes(freeable & closure[t]), d.bytes(freeable & closure[t]) - d.bytes(d.freed({t}))) for t in d.targets]
+    assert rows(g.potential(), "module", "potential_bytes", "shared_bytes") == want
+    shared = {}
+    for t in d.targets:
+        for p in (freeable & closure[t]) - d.freed({t}):
+            held = shared.setdefault((t, d.module[p] or "std"), [0, set()])
+            held[0] += d.size[p]
+            held[1] |= {o for o in d.targets if o != t and p in closure[o]}
+    assert rows(g.shared_with(), "module", "holder", "bytes", "also_via") == sorted((t, h, b, ",".join(sorted(v))) for (t, h), (b, v) in shared.items() if b)
+    whole = [(t, m) for t in d.targets for m in set(d.module.values()) - {""} if (own := {p for p in base if d.module[p] == m}) and own <= d.freed({t})]
+    assert rows(g.freed_modules(), "module", "freed_module") == sorted(whole)
+
+
+def test_pins_and_importers(both):
+    d, g = both
+    pins = {}
+    for s, e in d.edges:
+        a, b = d.module[s], d.module[e]
+        if a and a != b and b in d.targets and d.locked(a) and not d.controlled(a):
+            pins.setdefault(b, set()).add(a)
+    assert rows(g.pinned_by(), "module", "pinned_by") == sorted((m, ",".join(sorted(x))) for m, x in pins.items())
+    base, into = d.reach(), {}
+    for s, e in d.edges:
+        if s in base and e in base and d.module[e] and d.module[s] != d.module[e]:
+            into.setdefault(d.module[e], set()).add(d.module[s])
+    assert rows(g.fan_in(), "module", "importers") == sorted((m, len(x)) for m, x in into.items())
+
+
+def greedy(d):
+    chosen, out, total = [], [], 0
+    while True:
+        best = max(((d.bytes(d.freed({*chosen, t})), t) for t in reversed(d.targets) if t not in chosen), key=lambda x: x[0], default=(0, ""))
+        if best[0] <= total:
+            return out
+        own = sum(d.size[p] for p in d.freed({*chosen, best[1]}) - d.freed(chosen) if d.module[p] == best[1])
+        chosen.append(best[1])
+        out.append((len(chosen), best[1], best[0] - total, best[0], own))
+        total = best[0]
+
+
+def test_plan(both):
+    d, g = both
+    assert rows(g.plan_steps(), "step", "module", "marginal", "cumulative", "own_bytes") == greedy(d)
+
+
+def test_fair_shares(both):
+    d, g = both
+    names, total = d.targets, {t: 0 for t in d.targets}
+    value = {frozenset(c): d.bytes(d.freed(set(c))) for k in range(len(names) + 1) for c in combinations(names, k)}
+    orders = list(permutations(names)) if len(names) <= 6 else None
+    if orders is None:
+        pytest.skip("too many orders")
+    for o in orders:
+        for k, t in enumerate(o):
+            total[t] += value[frozenset(o[: k + 1])] - value[frozenset(o[:k])]
+    n = len(orders)
+    assert rows(g.shapley(), "module", "blame", "alone", "exact") == [(t, (2 * total[t] + n) // (2 * n), value[frozenset([t])], True) for t in names]
+    sampled = {r["module"]: r["blame"] for r in g._sampled(names).collect()}
+    assert set(sampled) == set(names)
+    assert abs(sum(sampled.values()) - value[frozenset(names)]) <= len(names)
+    assert all(abs(sampled[t] - total[t] / n) <= 0.15 * value[frozenset(names)] + 1 for t in names)
+
+
+def test_selections(both):
+    d, g = both
+    gone = set(d.targets[:2])
+    freed, base = d.freed(gone), d.reach()
+    assert rows(g.what_if([*gone, "no-target"]), "original_size", "freed_bytes", "projected_size") == [(d.bytes(base), d.bytes(freed), d.bytes(base) - d.bytes(freed))]
+    own, total = {}, {}
+    for p in base:
+        total[d.module[p]] = total.get(d.module[p], 0) + d.size[p]
+        if p in freed:
+            own[d.module[p]] = own.get(d.module[p], 0) + d.size[p]
+    assert rows(g.freed_list(sorted(gone)), "module", "bytes", "whole") == sorted((m, b, bool(m) and 0 < total[m] <= b) for m, b in own.items())
+
+
+def test_floor_and_diff(spark):
+    m = spark.createDataFrame([("g", "home", "1.20", True), ("g", "x", "1.25.1", False), ("g", "y", "1.25.1", False), ("g", "z", "1.25rc1", False), ("g", "w", "", False)], "graph_id string, module string, version string, owned boolean")
+    assert rows(floor(m), "version", "critical", "next_version", "owned_max") == [("1.25.1", "x,y", "1.25rc1", "1.20")]
     s = "module string, size long"
-    base = spark.createDataFrame([("app", 400), ("keep", 300), ("grow", 200), ("gone", 100)], s)
-    head = spark.createDataFrame([("app", 500), ("keep", 300), ("grow", 350), ("new", 250), ("newdirect", 50)], s)
-    assert rows(diff(base, head, "app").select("module", "status", "delta")) == [("gone", "removed", -100), ("grow", "changed", 150), ("new", "added", 250), ("newdirect", "added", 50)]
-    assert rows(violations(head, None, 1450, None, 350)) == [("max-module-size", "app", 500)]
+    before, after = spark.createDataFrame([("home", 1), ("a", 5), ("b", 6), ("c", 7)], s), spark.createDataFrame([("home", 2), ("a", 5), ("b", 4), ("d", 9)], s)
+    assert rows(diff(before, after, "home"), "module", "status", "delta") == [("b", "changed", -2), ("c", "removed", -7), ("d", "added", 9)]
