@@ -37,11 +37,12 @@ def humanize_bytes(n: Column) -> Column:
 
 
 def parse_bytes(text: Column) -> Column:
-    """Inverse of humanize_bytes; null for what isn't a size."""
+    """Inverse of humanize_bytes, in doubles and cut to whole bytes; an error for what isn't a size, null for null."""
+    rx = r"^([0-9]+(?:\.[0-9]+)?|\.[0-9]+)\s*([KMGT]?B)$"
     t = F.upper(F.trim(text))
-    number, unit = F.regexp_extract(t, r"^([0-9]+(?:\.[0-9]+)?)\s*([KMGT]?B)$", 1), F.regexp_extract(t, r"^([0-9]+(?:\.[0-9]+)?)\s*([KMGT]?B)$", 2)
+    number, unit = F.regexp_extract(t, rx, 1), F.regexp_extract(t, rx, 2)
     factor = F.when(unit == "B", 1).when(unit == "KB", 10**3).when(unit == "MB", 10**6).when(unit == "GB", 10**9).when(unit == "TB", 10**12)
-    return F.when(number != "", (number.cast("double") * factor).cast("long"))
+    return F.when(number != "", (number.cast("double") * factor).cast("long")).when(text.isNotNull(), F.raise_error(F.concat(F.lit("not a size: "), text)).cast("long"))
 
 
 def version_key(v: Column) -> Column:

@@ -41,19 +41,6 @@ def presence(cells: DataFrame, n_cells: int) -> DataFrame:
     return cells.select("label", "module").distinct().groupBy("module").agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("in_cells"), (F.count("*") == n_cells).alias("universal"))
 
 
-def violations(modules: DataFrame, total: int | None, cap: int | None, deny, module_cap: int | None) -> DataFrame:
-    """rule, module, actual of every broken rule; exactly at a cap passes."""
-    spark = modules.sparkSession
-    out = spark.createDataFrame([], "rule string, module string, actual long")
-    if cap is not None:
-        out = out.unionByName(modules.agg(F.sum("size").alias("actual")).filter(F.col("actual") > cap).select(F.lit("max-binary-size").alias("rule"), F.lit("").alias("module"), "actual"))
-    if deny is not None:
-        out = out.unionByName(modules.filter(deny).select(F.lit("deny").alias("rule"), "module", F.col("size").alias("actual")))
-    if module_cap is not None:
-        out = out.unionByName(modules.filter(F.col("size") > module_cap).select(F.lit("max-module-size").alias("rule"), "module", F.col("size").alias("actual")))
-    return out
-
-
 def verdict(floors: DataFrame) -> DataFrame:
     """can_lower_now, lower_to, blocked_by, then_reaches: whether one's own modules declare more than the others need."""
     own, need = version_key(F.col("owned_max")), version_key(F.col("version"))
@@ -75,3 +62,39 @@ def diff_floor(before: DataFrame, after: DataFrame) -> DataFrame:
     down = F.coalesce(ka < kb, kb.isNotNull() & ka.isNull())
     new = F.array_except(F.split("after_critical", ","), F.split("before_critical", ","))
     return b.crossJoin(a).select("before", "after", F.when(up, 1).when(down, -1).otherwise(0).alias("direction"), F.array_join(F.array_sort(new), ",").alias("newly_critical"))
+
+
+def worst(floors: DataFrame) -> DataFrame:
+    """One row: version, critical, next_version, owned_max over the floors of all platforms.
+
+    The highest version counts, with the modules that ask for it on any platform; next is the
+    highest that is left when those go.
+    """
+    own = version_key(F.col("version"))
+    top = floors.agg(F.max_by("version", own).alias("worst"), F.max_by("owned_max", version_key(F.col("owned_max"))).alias("owned"))
+    tied = (F.col("version") == F.col("worst")) & (F.col("worst") != "")
+    at = floors.crossJoin(top).withColumn("left", F.when(tied, F.col("next_version")).otherwise(F.col("version")))
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(tied, F.split("critical", ","))))))
+    out = at.agg(F.max("worst").alias("version"), F.array_join(F.array_remove(names, ""), ",").alias("critical"), F.max_by("left", version_key(F.col("left"))).alias("next_version"), F.max("owned").alias("owned_max"))
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return out.select(*map(blank, ("version", "critical", "next_version", "owned_max")))
+
+
+def matrix_rows(cells: DataFrame, versions: DataFrame) -> DataFrame:
+    """module, version, in_cells, universal, size_by_cell, max_size over cells(label, module, pkg, size) of the platforms that were built."""
+    n = cells.agg(F.count_distinct("label").alias("n"))
+    own = cells.groupBy("module", "label").agg(F.sum("size").alias("size"))
+    by = own.groupBy("module").agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("in_cells"), F.count("*").alias("k"), F.map_from_entries(F.collect_list(F.struct("label", "size"))).alias("size_by_cell"), F.max("size").alias("max_size"))
+    named = by.join(versions, "module", "left").crossJoin(n)
+    return named.select("module", F.coalesce("version", F.lit("")).alias("version"), "in_cells", (F.col("k") == F.col("n")).alias("universal"), "size_by_cell", "max_size")
+
+
+def diff_totals(changes: DataFrame, direct: DataFrame) -> DataFrame:
+    """status, modules, net, transitive (modules that aren't in direct(module)) of diff() rows."""
+    named = changes.join(direct.select("module", F.lit(True).alias("direct")).distinct(), "module", "left")
+    return named.groupBy("status").agg(F.count("*").alias("modules"), F.sum("delta").alias("net"), F.count_if(F.col("direct").isNull()).alias("transitive"))
+
+
+def headline(candidates: DataFrame) -> DataFrame:
+    """targets, easiest (most freed alone), easiest_bytes, biggest (largest prize), biggest_bytes of candidates(module, freed_bytes, prize_bytes)."""
+    return candidates.agg(F.count("*").alias("targets"), F.max_by("module", F.struct("freed_bytes", "module")).alias("easiest"), F.max("freed_bytes").alias("easiest_bytes"), F.max_by("module", F.struct("prize_bytes", "module")).alias("biggest"), F.max("prize_bytes").alias("biggest_bytes"))

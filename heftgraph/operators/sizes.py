@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 from heftgraph.functions.scalars import symbol_package
 
 
-def symbol_sizes(symbols: DataFrame, sections: DataFrame) -> DataFrame:
-    """symbols(sect, addr, name) with bytes up to the next symbol, or to the section's end."""
-    order = Window.partitionBy("sect").orderBy("addr", "name")
-    s = symbols.join(F.broadcast(sections.filter("file_backed and not is_pclntab and not contains(name, 'debug') and not contains(name, 'DWARF')").select("sect", F.col("size").alias("end"), "is_text")), "sect")
+def symbol_sizes(symbols: DataFrame, sections: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """symbols(*by, sect, addr, name) with bytes up to the next symbol, or to the section's end; by names the executable."""
+    # a window holds the symbols of one section of one executable
+    order = Window.partitionBy(*by, "sect").orderBy("addr", "name")
+    held = sections.filter("file_backed and not is_pclntab and not contains(name, 'debug') and not contains(name, 'DWARF')")
+    s = symbols.join(held.select(*by, "sect", F.col("size").alias("end"), "is_text"), [*by, "sect"])
     s = s.withColumn("bytes", F.coalesce(F.lead("addr").over(order), F.col("end")) - F.col("addr"))
-    return s.filter("bytes >= 0").select("sect", "addr", "name", "is_text", "bytes")
-
-
-def package_sizes(sized: DataFrame, pclntab: int) -> DataFrame:
-    """pkg, bytes, code_bytes, with each package's share of the line table by its code."""
-    own = sized.groupBy(symbol_package(F.col("name")).alias("pkg")).agg(F.sum("bytes").alias("b"), F.sum(F.when(F.col("is_text"), F.col("bytes")).otherwise(0)).alias("code_bytes"))
-    total = own.agg(F.sum("code_bytes").alias("t"))
-    share = F.when(F.col("t") > 0, F.expr(f"cast(cast({pclntab} as decimal(38,0)) * code_bytes div t as long)")).otherwise(0)
-    return own.crossJoin(F.broadcast(total)).select("pkg", (F.col("b") + share).alias("bytes"), "code_bytes")
+    return s.filter("bytes >= 0").select(*by, "sect", "addr", "name", "is_text", "bytes")
+
+
+def package_sizes(sized: DataFrame, pclntab: int | DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """*by, pkg, bytes, code_bytes, with each package's share of the line table, of pclntab(*by, pclntab) bytes, by its code."""
+    own = sized.groupBy(*by, symbol_package(F.col("name")).alias("pkg")).agg(F.sum("bytes").alias("b"), F.sum(F.when(F.col("is_text"), F.col("bytes")).otherwise(0)).alias("code_bytes"))
+    total = own.groupBy(*by).agg(F.sum("code_bytes").alias("t"))
+    if isinstance(pclntab, DataFrame):
+        total = total.join(pclntab, list(by), "left").withColumn("p", F.coalesce("pclntab", F.lit(0)))
+    else:
+        total = total.withColumn("p", F.lit(pclntab))
+    share = F.when(F.col("t") > 0, F.expr("cast(cast(p as decimal(38,0)) * code_bytes div t as long)")).otherwise(0)
+    joined = own.join(total, list(by)) if by else own.crossJoin(total)
+    return joined.select(*by, "pkg", (F.col("b") + share).alias("bytes"), "code_bytes")
 
 
 def module_sizes(packages: DataFrame) -> DataFrame:

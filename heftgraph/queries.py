@@ -274,12 +274,6 @@ def diff_summary(spark, sf):
     return diff_modules(spark, sf).groupBy("status").agg(F.count("*").alias("modules"), F.sum("delta").alias("delta"))
 
 
-@query(_sql(_BASE + ", ms AS (SELECT module, CAST(sum(size) AS BIGINT) AS size FROM live GROUP BY 1) SELECT 'max-binary-size' AS rule, '' AS module, CAST(sum(size) AS BIGINT) AS actual FROM ms HAVING sum(size) > 25000000 UNION ALL SELECT 'deny', module, size FROM ms WHERE module LIKE 'brand/Brand#1%' UNION ALL SELECT 'max-module-size', module, size FROM ms WHERE size > 3000000"))
-def budget_check(spark, sf):
-    m = graph(spark, sf).base.groupBy("module").agg(F.sum("size").alias("size"))
-    return reports.violations(m, None, 25_000_000, matches(F.col("module"), ["brand/Brand#1..."]), 3_000_000)
-
-
 _SYM = """WITH sec0 AS (SELECT * FROM (VALUES (0, '.text', true, true, false), (1, '.rodata', true, false, false), (2, '.gopclntab', true, false, true), (3, '.debug_info', true, false, false), (4, '.bss', false, false, false), (5, '.data', true, false, false), (6, '.noptrdata', true, false, false)) s(sect, sname, backed, is_text, tab)),
 sym AS (SELECT l_linenumber - 1 AS sect, l_orderkey * 64 + l_suppkey % 64 AS addr, 'mod%2eorg/' || lower(regexp_replace(p_type, '[^A-Za-z]', '', 'g')) || '.S' || l_partkey AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
 sec AS (SELECT sec0.*, e FROM sec0 JOIN (SELECT sect, max(addr) + 64 AS e FROM sym GROUP BY 1) x ON sec0.sect = x.sect),
@@ -320,13 +314,6 @@ def humanize_bytes(spark, sf):
     return derived.read(spark, sf, "orders").select("o_orderkey", fn.humanize_bytes(n).alias("text"))
 
 
-@query("SELECT p_brand AS module, count(*) AS import_sites, count(DISTINCT o_custkey) AS importing_packages, count(DISTINCT p_brand || '.' || l_suppkey) AS distinct_symbols FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
-def coupling(spark, sf):
-    line, part, orders = (derived.read(spark, sf, t) for t in ("lineitem", "part", "orders"))
-    j = line.select("l_orderkey", "l_partkey", "l_suppkey").join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.groupBy(F.col("p_brand").alias("module")).agg(F.count("*").alias("import_sites"), F.count_distinct("o_custkey").alias("importing_packages"), F.count_distinct(F.concat("p_brand", F.lit("."), "l_suppkey")).alias("distinct_symbols"))
-
-
 @query("SELECT r_name AS goos, n_name AS goarch FROM region CROSS JOIN nation WHERE NOT (r_name = 'AFRICA' OR n_nationkey % 5 = 0 AND r_regionkey = n_regionkey)")
 def build_cells(spark, sf):
     """All platforms but the ignored ones; an empty field of a rule stands for any."""

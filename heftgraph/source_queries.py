@@ -25,7 +25,7 @@ def listed_imports(spark, sf):
     return modules.imports(_listing(spark, sf))
 
 
-@query("SELECT 'app/' || n_nationkey || '.go' AS path, 'region/' || n_regionkey || '/v2' AS import, 'r' AS alias, CASE WHEN n_nationkey % 2 = 0 THEN 'Load' ELSE 'Load,Save' || n_nationkey END AS symbols FROM nation WHERE n_nationkey % 5 <> 4")
+@query("SELECT 'app/' || n_nationkey || '.go' AS path, 5 AS line, 'region/' || n_regionkey || '/v2' AS import, 'r' AS alias, CASE WHEN n_nationkey % 2 = 0 THEN 'Load' ELSE 'Load,Save' || n_nationkey END AS symbols FROM nation WHERE n_nationkey % 5 <> 4")
 def import_sites(spark, sf):
     text = F.expr("""concat('package app\n\nimport (\n\t"fmt"\n\tr "region/', n_regionkey, '/v2" // r.Hidden\n)\n\nfunc F() { fmt.Println(r.Load(), x.r.Other', if(n_nationkey % 2 = 0, '', concat(', r.Save', n_nationkey, '{}')), ') }\n/* r.Gone */\n')""")
     path = F.expr("concat(if(n_nationkey % 5 = 4, 'vendor/', 'app/'), n_nationkey, '.go')")
@@ -48,10 +48,10 @@ def joined_modules(spark, sf):
     return by_region.select("r_regionkey", labels.join_modules(F.col("a")).alias("names"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'locked' WHEN p_size % 2 = 0 THEN 'direct' ELSE 'indirect' END AS kind, CASE WHEN p_size % 2 = 0 THEN 'direct' ELSE 'transitive' END AS reach, CASE WHEN p_partkey % 3 = 0 THEN 'main' WHEN p_partkey % 3 = 1 THEN substr(md5(p_name), 1, 12) ELSE 'v' || p_size END AS rev, CASE WHEN p_partkey % 2 = 0 THEN '-' ELSE '+' END || (p_partkey % 1000) || ' B' AS delta FROM part WHERE p_partkey % 1000 > 0")
+@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'locked' WHEN p_size % 2 = 0 THEN 'direct' ELSE 'indirect' END AS kind, CASE WHEN p_size % 2 = 0 THEN 'direct' ELSE 'transitive' END AS reach, CASE WHEN p_partkey % 3 = 0 THEN 'main' WHEN p_partkey % 3 = 1 THEN substr(md5(p_name), 1, 12) ELSE 'v' || p_size END AS rev, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 1000 > 0 THEN '-' ELSE '+' END || (p_partkey % 1000) || ' B' AS delta FROM part")
 def report_labels(spark, sf):
     commit = F.expr("case p_partkey % 3 when 0 then '' when 1 then md5(p_name) else concat('v', p_size) end")
     locked, direct = F.expr("p_size % 5 = 0"), F.expr("p_size % 2 = 0")
     delta = F.expr("cast(if(p_partkey % 2 = 0, -1, 1) * (p_partkey % 1000) as bigint)")
-    part = derived.read(spark, sf, "part").filter("p_partkey % 1000 > 0")
+    part = derived.read(spark, sf, "part")
     return part.select("p_partkey", labels.kind_label(locked, direct).alias("kind"), labels.direct_label(direct).alias("reach"), labels.short_commit(commit, F.lit("main")).alias("rev"), labels.signed_bytes(delta).alias("delta"))
