@@ -12,7 +12,9 @@ Links are made without all pairs of a bucket: first each document is verified ag
 document of its buckets, the one it shares most keys with; in further turns, documents outside a
 bucket's largest class are verified against another member of it; then, for what is not connected
 yet, every pair of a bucket that lies in different classes is verified, minority classes against
-the rest. So all classes are exact.
+the rest. A bucket that is large even then is that of a token that counts as rare and isn't: its
+documents are indexed anew, by that token together with every other one of their prefixes. Since
+linked sets share two prefix tokens, they meet there. So all classes are exact.
 
 Results for odd input: null, empty and wordless texts have no shingles and stay alone; repeated
 rows of a document appear each; a null doc_id stays alone; an empty table gives an empty result.
@@ -39,8 +41,10 @@ LONG = 256
 KNOWN = 1 << 18
 #: Turns in which documents meet single members of a class before all open pairs are verified.
 STARS = 3
+#: Documents of one bucket in different classes from which its single token is indexed in combinations.
+SPLIT = 256
 #: Shingles that a task counts before it passes on the repeated ones.
-WINDOW = 4_000_000
+WINDOW = 2_000_000
 
 
 def _sets(batches, k: int):
@@ -97,6 +101,34 @@ def repeated(docs: DataFrame, k: int) -> tuple[tuple[np.ndarray, np.ndarray], tu
     return out[0], out[1]
 
 
+def _pair_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return mix(x * np.uint64(0x9E3779B97F4A7C15) + y * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _ordered(tokens: np.ndarray, weight: np.ndarray, known: np.ndarray, counts: np.ndarray, need: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix in the one order of all tokens, as places in tokens, and the counts of all."""
+    freq = np.zeros(len(tokens), np.int64)
+    if len(known):
+        p = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        freq = np.where(known[p] == tokens, counts[p], 0)
+    return np.lexsort((tokens, weight, freq))[: len(tokens) - need + k], freq
+
+
+def split_keys(tokens: np.ndarray, weight: np.ndarray, known: np.ndarray, counts: np.ndarray, percent: int, large: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each large token of a set's prefix with every other token of it, and what each lets share at most."""
+    n = len(tokens)
+    need = -(-percent * n // 100)
+    if need < 2:  # such a set is linked with equal ones only
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first, _ = _ordered(tokens, weight, known, counts, need, 2)
+    own = tokens[first]
+    i, j = np.nonzero(np.isin(own, large)[:, None] & (np.arange(len(own))[:, None] != np.arange(len(own))))
+    lo, hi = np.minimum(i, j), np.maximum(i, j)
+    once = np.unique(lo * len(own) + hi)
+    lo, hi = once // len(own), once % len(own)
+    return _pair_key(own[lo], own[hi]) ^ np.uint64(0x5851F42D4C957F2D), n + 1 - hi
+
+
 def prefix_keys(tokens: np.ndarray, weight: np.ndarray, known: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index keys of one set, and for each the most tokens it can share with a set whose first common tokens are the key's.
 
@@ -104,12 +136,8 @@ def prefix_keys(tokens: np.ndarray, weight: np.ndarray, known: np.ndarray, count
     """
     n = len(tokens)
     need = -(-percent * n // 100)
-    freq = np.zeros(n, np.int64)
-    if len(known):
-        p = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-        freq = np.where(known[p] == tokens, counts[p], 0)
     k = 2 if need >= 2 else 1
-    first = np.lexsort((tokens, weight, freq))[: n - need + k]
+    first, freq = _ordered(tokens, weight, known, counts, need, k)
     rare = np.flatnonzero(freq[first] < FREQUENT)
     often = np.flatnonzero(freq[first] >= FREQUENT)
     single = rare
@@ -119,13 +147,17 @@ def prefix_keys(tokens: np.ndarray, weight: np.ndarray, known: np.ndarray, count
     if k == 2 and n <= LONG and len(often) > 1:
         i, j = np.triu_indices(len(often), 1)
         own = tokens[first][often]
-        keys.append(mix(own[i] * np.uint64(0x9E3779B97F4A7C15) + own[j] * np.uint64(0xC2B2AE3D27D4EB4F)))
+        keys.append(_pair_key(own[i], own[j]))
         rest.append(n + 1 - often[j])
     return np.concatenate(keys), np.concatenate(rest)
 
 
 def index(docs: DataFrame, k: int, percent: int, tokens: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, doc_id, n, rest of every document's prefix keys, given counts of tokens and words."""
+    """key, doc_id, n, rest of every document's prefix keys, given counts of tokens and words.
+
+    With a column large (an array of keys) of docs, the keys are those of split_keys() for them.
+    """
+    split = "large" in docs.columns
     sent = docs.sparkSession.sparkContext.broadcast((tokens, (words[0], np.rint(16 * np.log2(words[1])).astype(np.int64))))
 
     def run(batches):
@@ -133,7 +165,11 @@ def index(docs: DataFrame, k: int, percent: int, tokens: tuple[np.ndarray, np.nd
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = weighted_sets(*utf8(column(part, "text")), k, word, weight)
-                keys = [prefix_keys(s, w, *known, percent) if len(s) else (s, w) for s, w in sets]
+                if split:
+                    large = [np.array(x, np.int64).view(np.uint64) for x in column(part, "large").to_pylist()]
+                    keys = [split_keys(s, w, *known, percent, x) if len(s) else (s, w) for (s, w), x in zip(sets, large, strict=True)]
+                else:
+                    keys = [prefix_keys(s, w, *known, percent) if len(s) else (s, w) for s, w in sets]
                 size = [len(x) for x, _ in keys]
                 ids = column(part, "doc_id").take(pa.array(np.repeat(np.arange(len(size)), size)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in keys]).view(np.int64)), ids, pa.array(np.repeat([len(s) for s, _ in sets], size), pa.int32()), pa.array(np.concatenate([x for _, x in keys]), pa.int32())], names=["key", "doc_id", "n", "rest"])
@@ -169,6 +205,26 @@ def _mixed(labelled: DataFrame) -> DataFrame:
     return own.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("top")).filter("labels > 1").select("key", "top")
 
 
+def _open_rows(buckets: DataFrame, label: DataFrame) -> DataFrame:
+    """key, doc_id, n, rest, label, top of the buckets whose documents lie in different classes."""
+    labelled = settle(_labelled(buckets, label), "labelled")
+    return settle(labelled.join(settle(_mixed(labelled), "mixed"), "key").select("key", "doc_id", "n", "rest", "label", "top"), "other")
+
+
+def index_tokens(docs: DataFrame, k: int) -> DataFrame:
+    """key: those of the keys large (an array) of docs that are tokens of the document."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = shingle_sets(*utf8(column(part, "text")), k)
+                large = [np.array(x, np.int64).view(np.uint64) for x in column(part, "large").to_pylist()]
+                found = [x[np.isin(x, s)] for s, x in zip(sets, large, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.zeros(0, np.uint64), *found])).view(np.int64))], names=["key"])
+
+    return docs.mapInArrow(run, "key long").distinct()
+
+
 def _merged(label: DataFrame | None, found: DataFrame) -> DataFrame:
     """The classes of label after the links found(a, b); a class enters as the star of its label."""
     edges = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -186,7 +242,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     reps = settle(own.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "reps")
     few = broadcast_if_small(reps.select(F.col("rep").alias("doc_id")))
     single = texts(docs).join(few, "doc_id", "left_semi")
-    keys = settle(index(single, k, percent, *repeated(single, k)), "keys")
+    counts = repeated(single, k)
+    keys = settle(index(single, k, percent, *counts), "keys")
     release(spark)
     heavy = settle(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "heavy")
     release(spark)
@@ -219,9 +276,17 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         label = _merged(label, found)
         release(spark)
     # what shares a bucket but not a class
-    labelled = settle(_labelled(buckets, label), "labelled")
-    mixed = settle(_mixed(labelled), "mixed")
-    other = settle(labelled.join(mixed, "key").select("key", "doc_id", "n", "rest", "label", "top"), "other")
+    other = _open_rows(buckets, label)
+    large = settle(other.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > SPLIT).select("key"), "large")
+    if not large.isEmpty():
+        large_rows = other.join(broadcast_if_small(large), "key", "left_semi")
+        # the large tokens of one document's prefix
+        again = settle(large_rows.groupBy("doc_id").agg(F.collect_set("key").alias("large")), "again")
+        finer = settle(index(single.join(again, "doc_id"), k, percent, *counts), "finer")
+        # keys that are combinations already have no finer ones; they stay
+        tokens = settle(index_tokens(single.join(again, "doc_id"), k), "tokens")
+        rest = other.join(broadcast_if_small(tokens), "key", "left_anti").select("key", "doc_id", "n", "rest")
+        other = _open_rows(rest.unionByName(finer.select(rest.columns)), label)
     x = other.filter("label <> top").select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx"), F.col("label").alias("lx"))
     y = other.select("key", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("ry"), F.col("label").alias("ly"), "top")
     # at the row of a pair's first common tokens rest bounds what it shares, so a link passes there

@@ -61,6 +61,28 @@ def test_jaccard_join(spark, k, percent, monkeypatch):
     assert got == brute_classes(texts, k, percent)
 
 
+def test_jaccard_join_splits_large_buckets(spark, monkeypatch):
+    """Many different documents share rare-looking tokens; those that are linked are still all found."""
+    r = random.Random(12)
+    words = ["".join(r.choices("abcdefgh", k=4)) for _ in range(60)]
+    common = [r.choices(words, k=12) for _ in range(4)]
+    texts = []
+    for _ in range(70):
+        parts = [*r.sample(common, 2)[0], *r.choices(words, k=r.randint(2, 12)), *r.choice(common)]
+        texts.append(" ".join(parts))
+        if r.random() < 0.5:
+            parts[r.randrange(len(parts))] = "edit"
+            texts.append(" ".join(parts))
+    monkeypatch.setattr(jaccard_join, "SPLIT", 3)
+    monkeypatch.setattr(jaccard_join, "STARS", 1)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 1000)
+    split = []
+    plain = jaccard_join.index_tokens
+    monkeypatch.setattr(jaccard_join, "index_tokens", lambda *a: split.append(1) or plain(*a))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.classes(table(spark, texts), 3, 60).collect()}
+    assert split and got == brute_classes(texts, 3, 60)
+
+
 def test_substring_dedup(spark):
     r = random.Random(3)
     word = lambda: "".join(r.choices("abcdefghij", k=5))
