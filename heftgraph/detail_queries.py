@@ -70,7 +70,10 @@ def session_detail(spark, sf):
     return own.filter(F.col("module") == ONE).join(g.exclusive_freed(), "module").join(g.prize(), "module").crossJoin(held).select("module", "bytes", F.col("freed_bytes").alias("exclusive_bytes"), "prize_bytes", (F.col("freed_bytes") + F.col("held")).alias("pulls_in"))
 
 
-@query()
+_FLOW = _BASE + ", fl AS (SELECT '' AS s, 'app/main' AS d UNION SELECT src, dst FROM ce JOIN base ON node = src WHERE ct IS NULL UNION SELECT src, 'gw:' || ct FROM ce JOIN base ON node = src WHERE ct IS NOT NULL UNION SELECT 'gw:' || ct, dst FROM ce JOIN base ON node = src WHERE ct IS NOT NULL), nd AS (SELECT DISTINCT d AS v FROM fl), rm AS (SELECT v AS x, '' AS node FROM nd UNION SELECT x, d FROM rm JOIN fl ON node = s AND d <> x), dm AS (SELECT a.v AS x, b.v AS v FROM nd a JOIN nd b ON a.v <> b.v WHERE NOT EXISTS (SELECT 1 FROM rm WHERE rm.x = a.v AND rm.node = b.v)), ct2 AS (SELECT v, count(*) AS c FROM dm GROUP BY 1)"
+
+
+@query(_sql(_FLOW + ", im AS (SELECT dm.v AS v, max_by(x, coalesce(c, 0)) AS idom FROM dm LEFT JOIN ct2 ON dm.x = ct2.v GROUP BY 1), sb AS (SELECT x, CAST(sum(size) AS BIGINT) AS b FROM dm JOIN pkg ON pkg = dm.v GROUP BY 1) SELECT nd.v AS node, CASE WHEN pkg IS NULL THEN 'gateway' ELSE 'package' END AS kind, coalesce(module, substr(nd.v, 4)) AS module, coalesce(idom, '') AS idom, CAST(coalesce(size, 0) + coalesce(b, 0) AS BIGINT) AS retained FROM nd LEFT JOIN pkg ON pkg = nd.v LEFT JOIN im ON im.v = nd.v LEFT JOIN sb ON sb.x = nd.v"))
 def dominator_tree(spark, sf):
     return entry.dominator_tree(graph(spark, sf))
 

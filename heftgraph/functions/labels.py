@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from heftgraph.functions.scalars import humanize_bytes
+from heftgraph.functions.scalars import humanize_bytes, one_decimal
 
 # Fixed values of the reports.
 JOINED = 3
@@ -38,3 +38,21 @@ def direct_label(direct: Column) -> Column:
 def short_commit(commit: Column, ref: Column) -> Column:
     """Twelve digits of a hexadecimal commit; another commit as it is; ref if there is none."""
     return F.when(commit.rlike(rf"^[0-9a-f]{{{COMMIT},}}$"), F.substring(commit, 1, COMMIT)).when(commit != "", commit).otherwise(ref)
+
+
+def percent_text(part: Column, whole: Column) -> Column:
+    """A share with one decimal, its exact value rounded half to even."""
+    return F.concat(one_decimal(percent(part, whole)), F.lit("%"))
+
+
+def without_templates(text: Column) -> Column:
+    """Template actions become '0'."""
+    return F.regexp_replace(text, r"\{\{.*?\}\}", "0")
+
+
+def snapshot_key(layout: Column, commit: Column, target: Column, tags: Column, env: Column) -> Column:
+    """Hash of all that changes a build; tags and variables count in order, once, without blanks."""
+    named = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != ""))), ",")
+    flat = F.array_join(F.array_sort(F.transform(F.map_entries(env), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    parts = [layout, commit, target, named, flat]
+    return F.sha2(F.concat(*(F.concat(p, F.lit("\0")) for p in parts)), 256)

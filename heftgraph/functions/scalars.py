@@ -19,8 +19,8 @@ def is_aux_symbol(name: Column) -> Column:
     return name.rlike(r"\.(argliveinfo|args_stackmap|stkobj|opendefer|arginfo[0-9]+)$")
 
 
-def _one_decimal(x: Column) -> Column:
-    """x (1 <= x < 2048, a double) with one decimal, its exact binary value rounded half to even."""
+def one_decimal(x: Column) -> Column:
+    """x (0 <= x < 2048, a double) with one decimal, its exact binary value rounded half to even."""
     scaled = (x * float(1 << 52)).cast("long").cast("decimal(20,0)") * 10
     whole = F.floor(scaled / (1 << 52)).cast("long")
     rest = (scaled - whole.cast("decimal(20,0)") * (1 << 52)).cast("long")
@@ -32,7 +32,7 @@ def humanize_bytes(n: Column) -> Column:
     """SI units with one decimal; below 1000 exact."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for power, unit in ((3, "kB"), (6, "MB"), (9, "GB")):
-        out = F.when(n >= 10**power, F.concat(_one_decimal(n.cast("double") / 10**power), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 10**power, F.concat(one_decimal(n.cast("double") / 10**power), F.lit(f" {unit}"))).otherwise(out)
     return F.when(n >= 10**12, F.format_string("%.1f TB", n.cast("double") / 10**12)).otherwise(out)
 
 

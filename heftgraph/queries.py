@@ -168,8 +168,8 @@ def _greedy_sql(steps: int) -> str:
         chosen = "".join(f" AND ct IS DISTINCT FROM (SELECT t FROM b{j})" for j in before)
         skip = "".join(f" AND t <> (SELECT t FROM b{j})" for j in before)
         parts.append(f"r{k} AS (SELECT t, 'app/main' AS node FROM tgt WHERE true{skip} UNION SELECT t, dst FROM r{k} JOIN ce ON node = src AND ct IS DISTINCT FROM t{chosen})")
-        parts.append(f"f{k} AS (SELECT t, (SELECT s FROM tot) - sum(size) AS v FROM r{k} JOIN pkg ON node = pkg GROUP BY 1)")
-        parts.append(f"b{k} AS (SELECT t, v FROM f{k} ORDER BY v DESC, t LIMIT 1)")
+        parts.append(f"f{k} AS MATERIALIZED (SELECT t, (SELECT s FROM tot) - sum(size) AS v FROM r{k} JOIN pkg ON node = pkg GROUP BY 1)")
+        parts.append(f"b{k} AS MATERIALIZED (SELECT t, v FROM f{k} ORDER BY v DESC, t LIMIT 1)")
         before.append(k)
     rows = [f"SELECT CAST({k} AS INTEGER) AS step, t AS module, CAST(v - {f'(SELECT v FROM b{k - 1})' if k > 1 else 0} AS BIGINT) AS marginal, CAST(v AS BIGINT) AS cumulative FROM b{k}" for k in before]
     return ", ".join(parts) + " " + " UNION ALL ".join(rows)
@@ -180,7 +180,7 @@ def greedy_plan_3(spark, sf):
     return graph(spark, sf).plan(3)
 
 
-@query()
+@query(_sql(_greedy_sql(25).replace(" SELECT CAST(1 AS INTEGER)", ", pl AS (SELECT CAST(1 AS INTEGER)", 1) + ") SELECT * FROM pl WHERE marginal > 0"))
 def greedy_plan_full(spark, sf):
     return graph(spark, sf).plan()
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from heftgraph.functions import labels
+from heftgraph.functions.scalars import short_module
 from heftgraph.operators import anatomy, budget, order, prefix, reports, sizes
 from heftgraph.operators import inspect as inspection
 from heftgraph.operators.storage import stored
@@ -240,3 +242,30 @@ def matrix_module_rows(spark, sf):
 def prune_headline(spark, sf):
     g = graph(spark, sf)
     return reports.headline(g.exclusive_freed().join(g.prize(), "module"))
+
+
+@query("SELECT p_partkey, printf('%.1f%%', 100.0 * p_size / 32) AS share, split_part(p_type, ' ', -1) AS last FROM part")
+def share_labels(spark, sf):
+    part = derived.read(spark, sf, "part")
+    path = F.replace("p_type", F.lit(" "), F.lit("/"))
+    return part.select("p_partkey", labels.percent_text(F.col("p_size"), F.lit(32)).alias("share"), short_module(path).alias("last"))
+
+
+@query("SELECT n_nationkey, '-X main.v=0 -tags=' || n_name || '-0' AS flags FROM nation")
+def template_blanks(spark, sf):
+    text = F.expr("concat('-X main.v={{.Version}} -tags=', n_name, '-{{ if .Env.A }}x{{end}}')")
+    return derived.read(spark, sf, "nation").select("n_nationkey", labels.without_templates(F.replace(text, F.lit("x{{end}}"), F.lit(""))).alias("flags"))
+
+
+@query("SELECT n_nationkey, sha256('1' || chr(0) || md5(n_name) || chr(0) || n_name || chr(0) || 'a,b' || chr(0) || 'A=' || n_regionkey || ',B=x' || chr(0)) AS key FROM nation")
+def snapshot_keys(spark, sf):
+    """Keys don't depend on the order in which tags and variables are given."""
+    nation = derived.read(spark, sf, "nation")
+    tags = F.expr("if(n_nationkey % 2 = 0, array('b', 'a', ' b '), array('a', '', 'b'))")
+    env = F.expr("if(n_nationkey % 3 = 0, map('B', 'x', 'A', cast(n_regionkey as string)), map('A', cast(n_regionkey as string), 'B', 'x'))")
+    return nation.select("n_nationkey", labels.snapshot_key(F.lit("1"), F.md5(F.col("n_name").cast("binary")), F.col("n_name"), tags, env).alias("key"))
+
+
+@query(_sql(_BASE + ", " + _EXCL.split("live AS (SELECT pkg.* FROM pkg JOIN base ON pkg = node), ", 1)[1] + f", g AS (SELECT module, CAST(sum(size) AS BIGINT) AS bytes FROM ex WHERE t = '{ONE}' GROUP BY 1), w AS (SELECT module, sum(size) AS total FROM live GROUP BY 1) SELECT g.module AS module, bytes, total > 0 AND bytes >= total AND g.module <> '' AS whole FROM g JOIN w ON g.module = w.module"))
+def whatif_freed(spark, sf):
+    return graph(spark, sf).freed_list([ONE])

@@ -5,6 +5,7 @@ from itertools import combinations, permutations
 
 import pytest
 
+from heftgraph.operators import session
 from heftgraph.operators.policy import Policy
 from heftgraph.operators.prune import Graph
 from heftgraph.operators.reports import diff, floor
@@ -143,6 +144,34 @@ def test_plan(both):
     assert rows(g.plan_steps(), "step", "module", "marginal", "cumulative", "own_bytes") == greedy(d)
 
 
+def units(d, gone):
+    out = {}
+    for p in d.freed(gone):
+        unit = d.module[p] or p
+        out[unit] = out.get(unit, 0) + d.size[p]
+    return out
+
+
+def test_plan_names_what_each_step_needs(both):
+    d, g = both
+    plan = [r[1] for r in greedy(d)]
+    want = []
+    for k, best in enumerate(plan, 1):
+        now, before, alone = units(d, set(plan[:k])), units(d, set(plan[: k - 1])), units(d, {best})
+        for u, b in now.items():
+            if b > before.get(u, 0):
+                need = [] if u in alone else sorted(o for o in plan[: k - 1] if u not in units(d, set(plan[:k]) - {o}))
+                want.append((k, u, b - before.get(u, 0), ",".join(need)))
+    assert rows(session.plan_freed(g, plan), "step", "unit", "bytes", "co_prune") == sorted(want)
+
+
+def test_marginals(both):
+    d, g = both
+    for chosen in ([], d.targets[:1], d.targets[:2]):
+        v = d.bytes(d.freed(set(chosen)))
+        assert rows(session.marginals(g, chosen), "module", "marginal") == [(t, d.bytes(d.freed({*chosen, t})) - v) for t in d.targets]
+
+
 def test_fair_shares(both):
     d, g = both
     names, total = d.targets, {t: 0 for t in d.targets}
