@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import gc
 import re
 import tempfile
@@ -99,7 +101,21 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20, *more: str) -> Iterator[pa.RecordBatch]:
+_libc = None
+
+
+def give_back() -> None:
+    """Return what this worker has freed to the system: workers are reused, and keep it otherwise."""
+    global _libc
+    pa.default_memory_pool().release_unused()
+    if _libc is None:
+        name = ctypes.util.find_library("c")
+        _libc = ctypes.CDLL(name) if name else False
+    if _libc and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20, *more: str) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch of at most limit text bytes over these columns (or of one row), so that work arrays stay bounded."""
     offsets = sum(utf8(batch.column(batch.schema.get_field_index(c)))[1] for c in (column, *more))
     at, n = 0, batch.num_rows
@@ -108,6 +124,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20, *more: str)
         end = min(n, max(end, at + 1))
         yield batch.slice(at, end - at)
         at = end
+    give_back()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

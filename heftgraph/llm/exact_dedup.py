@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heftgraph.llm.common import broadcast_if_small, column, settle, texts
+from heftgraph.llm.common import broadcast_if_small, column, give_back, settle, texts
 
 #: Bytes of distinct texts that a memtable may hold before it is flushed.
 MEMTABLE_BYTES = 24 << 20
@@ -112,8 +112,10 @@ def runs(docs: DataFrame, prefer_largest: bool) -> DataFrame:
                 if table.full():
                     yield table.flush(f"{part}-{k}")
                     k += 1
+            give_back()
         if table.rows:
             yield table.flush(f"{part}-{k}")
+        give_back()
 
     return docs.mapInArrow(fill, ENTRY)
 
@@ -165,7 +167,10 @@ def compact(entries: DataFrame, filters: DataFrame, prefer_largest: bool) -> tup
     """All levels over entries (run, variant, digest, best, n) and filters (run, filter): the last run, and the losing entries with their winners."""
 
     def merge(a: pa.Table, b: pa.Table) -> pa.Table:
-        return merge_runs(a, b, prefer_largest)
+        try:
+            return merge_runs(a, b, prefer_largest)
+        finally:
+            give_back()
 
     level, left = 0, filters.count()
     now = entries.withColumn("level_run", F.xxhash64("run"))

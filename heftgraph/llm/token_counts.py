@@ -43,6 +43,9 @@ class RankMerger:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        split = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or spec["model"].get("type", "BPE") != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError(f"{path} isn't a plain byte-level file")
         vocab = spec["model"]["vocab"]
         self.special = [t["content"] for t in spec["added_tokens"]]
         alphabet = byte_alphabet()
