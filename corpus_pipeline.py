@@ -29,16 +29,16 @@ def _repeated_ids(docs: DataFrame) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest doc_id stays, once."""
     gone = settle(exact_dedup.dedup(docs).filter("not kept").select("doc_id", "keep_id", "text_sha256"), "dropped")
-    later = gone.filter("doc_id <> keep_id").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest")).distinct()
     text = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    others = docs.join(small(later, 64), (F.col("doc_id") == F.col("id")) & (F.unhex(text) == F.col("digest")), "left_anti")
+    held = free_name("digest", docs.columns)
+    later = gone.filter("doc_id <> keep_id").select("doc_id", F.unhex("text_sha256").alias(held)).distinct()
+    others = docs.withColumn(held, F.unhex(text)).join(small(later, 64), ["doc_id", held], "left_anti").select(docs.columns)
     # rows that repeat both doc_id and text
     repeated = settle(gone.filter("doc_id = keep_id").select("doc_id").distinct(), "repeated")
     if repeated.isEmpty():
         return others
     again = broadcast_if_small(repeated)
     once = others.join(again, "doc_id", "left_semi").select(docs.columns)
-    held = free_name("digest", docs.columns)
     return others.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.withColumn(held, text).dropDuplicates(["doc_id", held]).drop(held))
 
 
