@@ -11,7 +11,8 @@ GENERATED = "<generated>"
 def symbol_package(name: Column) -> Column:
     """Package of a linker symbol: the text before the first '.' after the last '/'; others are generated."""
     raw = F.regexp_extract(name, r"^((?:.*/)?[^./]*)\.", 1)
-    plain = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+    whole = F.replace(F.regexp_replace(raw, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    plain = F.coalesce(F.try_url_decode(whole), raw)
     return F.when((raw == "") | raw.contains(":") | raw.startswith("_"), GENERATED).otherwise(plain)
 
 
@@ -78,5 +79,5 @@ def effort(prize: Column, freed: Column, potential: Column, pinned: Column, site
 def platform_label(os: Column, arch: Column, tags: Column) -> Column:
     """os/arch and, after '+', the sorted distinct tags; blanks stand for the host."""
     host = lambda c: F.when(c == "", "host").otherwise(c)
-    named = F.array_join(F.array_sort(F.array_distinct(tags)), ",")
+    named = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != ""))), ",")
     return F.concat(host(os), F.lit("/"), host(arch), F.when(named != "", F.concat(F.lit("+"), named)).otherwise(""))

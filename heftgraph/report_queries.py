@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heftgraph.functions import labels
-from heftgraph.functions.scalars import short_module
+from heftgraph.functions.scalars import short_module, symbol_package
 from heftgraph.operators import anatomy, budget, order, prefix, reports, sizes
 from heftgraph.operators import inspect as inspection
 from heftgraph.operators.storage import stored
 from heftgraph.plans import derived, executables
 from heftgraph.plans.derived import graph
-from heftgraph.queries import _BASE, _CELL, _DIFF, _EXCL, _FREED, _POT, _PRIZE, _BLOCK, _cells, _sql, diff_modules, query
+from heftgraph import detail_queries  # noqa: F401  (some queries here build on its)
+from heftgraph.queries import ORACLE_SQL, QUERIES, _BASE, _CELL, _DIFF, _EXCL, _FREED, _POT, _PRIZE, _BLOCK, _cells, _sql, diff_modules, query
 from heftgraph.sources import binaries, imports
 
 ONE = "nation/NATION_7"
@@ -269,3 +270,35 @@ def snapshot_keys(spark, sf):
 @query(_sql(_BASE + ", " + _EXCL.split("live AS (SELECT pkg.* FROM pkg JOIN base ON pkg = node), ", 1)[1] + f", g AS (SELECT module, CAST(sum(size) AS BIGINT) AS bytes FROM ex WHERE t = '{ONE}' GROUP BY 1), w AS (SELECT module, sum(size) AS total FROM live GROUP BY 1) SELECT g.module AS module, bytes, total > 0 AND bytes >= total AND g.module <> '' AS whole FROM g JOIN w ON g.module = w.module"))
 def whatif_freed(spark, sf):
     return graph(spark, sf).freed_list([ONE])
+
+
+def _placed(name: str, by: str) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY {by}) AS place FROM ({ORACLE_SQL[name]})"
+
+
+@query(_placed("shapley_exact", "blame DESC, module"))
+def ranked_blame(spark, sf):
+    return order.ranked(QUERIES["shapley_exact"](spark, sf), order.named("blame"))
+
+
+@query(_placed("entry_weights", "retained DESC, pkg"))
+def ranked_entries(spark, sf):
+    return order.ranked(QUERIES["entry_weights"](spark, sf), order.named("entries"))
+
+
+@query(_placed("inspect_sites", "path, line, \"import\""))
+def ranked_sites(spark, sf):
+    return order.ranked(QUERIES["inspect_sites"](spark, sf), order.named("sites"))
+
+
+@query(_placed("session_modules", "prize_bytes DESC, bytes DESC, module"))
+def ranked_session(spark, sf):
+    found = QUERIES["session_modules"](spark, sf).withColumnRenamed("bytes", "size")
+    return order.ranked(found, order.named("explorer")).withColumnRenamed("size", "bytes")
+
+
+@query("SELECT s_suppkey, 'a%/b c+d.org/x' || s_suppkey || '%z' AS pkg FROM supplier")
+def unescaped_packages(spark, sf):
+    """Only whole escapes are decoded; a '+' stays."""
+    name = F.expr("concat('a%/b%20c+d%2eorg/x', s_suppkey, '%z.F')")
+    return derived.read(spark, sf, "supplier").select("s_suppkey", symbol_package(name).alias("pkg"))
