@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Rows of (id, flag) that may be broadcast after they have been counted: 16 bytes each, so 16 MB.
 BROADCAST_ROWS = 1_000_000
 
+#: Bytes of a batch of texts on its way to a Python worker. A batch of 10,000 long texts would be held several times over, outside the heap.
+BATCH_BYTES = 8 << 20
+
 _own_scratch: str | None = None
 
 
@@ -79,12 +82,21 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the batches of this session by bytes too, unless it sets a bound itself."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id as long, text with null as empty, and the extra columns; all others are left unread."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
