@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from heftgraph.functions import scalars as fn
@@ -19,7 +20,11 @@ def test_symbols_sizes_names(spark):
     assert one(spark, fn.symbol_package, "go:itab.x") == fn.GENERATED
     assert one(spark, fn.is_aux_symbol, "a/b.f.arginfo1") is True
     assert one(spark, fn.parse_bytes, "25MB") == 25_000_000
-    assert one(spark, fn.parse_bytes, "nope") is None
+    assert one(spark, fn.parse_bytes, " .5 kb ") == 500 and one(spark, fn.parse_bytes, None) is None
+    for bad in ("nope", "", "-1 MB", "5"):  # an error, not null
+        with pytest.raises(Exception, match="not a size"):
+            one(spark, fn.parse_bytes, bad)
+    assert one(spark, fn.symbol_package, "a%/b%2ec.F") == "a%/b.c"
     assert one(spark, lambda x: fn.humanize_bytes(x.cast("long")), "1234567") == "1.2 MB"
     assert one(spark, fn.package_alias, "example.org/cli/v2") == "cli"
 

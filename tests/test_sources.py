@@ -41,7 +41,7 @@ def test_source_trees(spark, tmp_path):
     (tmp_path / "x/a_test.go").write_text('package x\nimport "m.org/lib"\n')
     (tmp_path / "vendor/v.go").write_text('package v\nimport "m.org/lib"\n')
     got = imports.sites_of(imports.read(spark, str(tmp_path)), "m.org/lib").orderBy("import").collect()
-    assert [tuple(r) for r in got] == [("x/a.go", "m.org/lib", "lib", ["A", "B"]), ("x/a.go", "m.org/lib/side", "_", [])]
+    assert [tuple(r) for r in got] == [("x/a.go", 2, "m.org/lib", "lib", ["A", "B"]), ("x/a.go", 3, "m.org/lib/side", "_", [])]
 
 
 def test_platforms_and_rendering(spark):
