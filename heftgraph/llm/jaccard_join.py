@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heftgraph.llm.common import broadcast_if_small, column, forget, release, settle, slices, texts, utf8
-from heftgraph.llm.links import components, with_texts
+from heftgraph.llm.links import compared, components
 from heftgraph.llm.words import hash_words, mix, shingle_sets, shingles, weighted_sets
 
 #: Repetitions from which a token belongs to the frequent class.
@@ -191,7 +191,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                     good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([column(part, "a"), column(part, "b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return with_texts(pairs, docs).mapInArrow(run, "a long, b long")
+    return compared(pairs, docs, run, "a long, b long", "links")
 
 
 def _labelled(buckets: DataFrame, label: DataFrame) -> DataFrame:
@@ -253,6 +253,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # a document with few keys of its own shares most, so it's the likeliest centre of its buckets
     degree = settle(met.groupBy("doc_id").agg(F.count("*").alias("degree")), "degrees")
     buckets = settle(met.join(degree, "doc_id"), "buckets")
+    forget(heavy, met, degree)
+    release(spark)
     label, tried = None, None
     for turn in range(STARS):
         if label is None:
@@ -271,7 +273,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         stars = shared.groupBy("doc_id").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
         stars = stars.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
         stars = settle(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
-        found = settle(verified(stars, docs, k, percent), "links")
+        found = verified(stars, docs, k, percent)
         tried = stars if tried is None else tried.unionByName(stars)
         label = _merged(label, found)
         release(spark)
@@ -294,9 +296,10 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     close = (100 * most >= percent * (F.col("nx") + F.col("ny") - most)) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("top")) | (F.col("x") < F.col("y")))
     pairs = x.join(y, "key").filter(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = settle(verified(pairs, docs, k, percent), "more-links")
+    more = verified(pairs, docs, k, percent)
     final = _merged(label, more).withColumnRenamed("node", "rep")
     named = settle(reps.join(final, "rep", "left").select("sig", F.coalesce("label", "rep").alias("label")), "named")
+    forget(buckets, other, pairs, tried, reps)
     release(spark)
     joined = own.join(named, "sig", "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull() | F.col("label").isNull()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heftgraph.llm.common import broadcast_if_small, forget, settle, texts
+from heftgraph.llm.common import broadcast_if_small, forget, release, settle, texts
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -36,10 +36,13 @@ def components(edges: DataFrame) -> DataFrame:
     return settle(nodes.groupBy("node").agg(F.min("label").alias("label")), "components")
 
 
-def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs(a, b) with text_a and text_b; only texts of paired documents are moved."""
+def compared(pairs: DataFrame, docs: DataFrame, compare, schema: str, tag: str) -> DataFrame:
+    """What compare (for mapInArrow) makes of pairs(a, b) with text_a and text_b, stored; only texts of paired documents are moved, and they go when it is done."""
     ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
     own = settle(texts(docs).join(broadcast_if_small(ids), "doc_id", "left_semi"), "paired-texts")
     left = own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b")
+    out = settle(pairs.join(left, "a").join(right, "b").mapInArrow(compare, schema), tag)
+    forget(ids, own)
+    release(pairs.sparkSession)
+    return out
