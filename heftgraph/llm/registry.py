@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heftgraph.llm import byte_bpe, exact_dedup, html_text, jaccard_join, maxscore, orc_ids, packing, substring_dedup, token_counts, toxicity
+from heftgraph.llm import byte_bpe, exact_dedup, html_text, jaccard_join, maxscore, minhash_forest, orc_ids, packing, resampling, substring_dedup, token_counts, toxicity, whitening
 from heftgraph.llm.common import scratch_path, table
 
 
@@ -54,6 +54,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, 1024)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 4)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, buckets=10_000, seed=7, least_words=20)
+
+
+def op13_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.classes(table(spark, sf_dir, "documents"), 2, 80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_maxscore": op2_maxscore,
@@ -65,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_orc_ids": op9_orc_ids,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_whitening": op11_whitening,
+    "op12_resampling": op12_resampling,
+    "op13_minhash_forest": op13_minhash_forest,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -58,12 +58,12 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: n
     return mix(out)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of every word."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, within: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every word, a run of the bytes within."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    inside = _IS_WORD[data]
+    inside = within[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     first = inside.copy()
