@@ -2,8 +2,9 @@
 
 The pre-tokens of many texts lie one after the other in one array of symbols. In each round every
 sequence applies its own lowest-rank pair, wherever it stands in it, all sequences at once; when no
-sequence has a pair with a rank left, the symbols that survive are counted. Counts are kept per
-chunk of text in a bounded memo, so each distinct chunk is merged about once in a worker.
+sequence has a pair with a rank left, the symbols that survive are counted. A sequence of more than
+LONG bytes has rounds of its own, which touch only the places of the rank that they merge. Counts are
+kept per chunk of text in a bounded memo, so each distinct chunk is merged about once in a worker.
 
 Results for odd input: null or empty texts count 0; equal doc_ids are counted each; other columns
 aren't read; an empty table gives an empty table.
@@ -11,6 +12,7 @@ aren't read; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -26,6 +28,8 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The split pattern of byte-level vocabularies.
 _PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 _NONE = np.int64(1 << 40)
+#: Bytes from which on a sequence is merged by itself.
+LONG = 2048
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -54,7 +58,9 @@ class RankMerger:
         key = np.array([(vocab[a] << 20) | vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(key, kind="stable")
         self.key, self.rank = key[order], order.astype(np.int64)
-        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+        made = [vocab[a + b] for a, b in pairs]
+        self.made = np.array(made, np.int64)[order]
+        self.parts = [(vocab[a], vocab[b], m) for (a, b), m in zip(pairs, made, strict=True)]
         self.pattern = regex.compile(_PRE_TOKEN)
         self.known: dict[str, int] = {}
 
@@ -99,6 +105,50 @@ class RankMerger:
             result[seq[0]] = 1
         return result
 
+    def count_long(self, sequence: bytes) -> int:
+        """Symbols left of one sequence: a round a rank over the places that wait for it, with links between the symbols that live."""
+        n = len(sequence)
+        sym = self.symbol[np.frombuffer(sequence, np.uint8)]
+        after, before = np.arange(1, n + 1), np.arange(-1, n)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+        left = n
+
+        def wait(at: np.ndarray) -> None:
+            rank, _ = self.ranks(sym[at], sym[after[at]])
+            some = np.flatnonzero(rank < _NONE)
+            order = some[np.argsort(rank[some], kind="stable")]
+            rank, at = rank[order], at[order]
+            cut = [0, *(np.flatnonzero(np.diff(rank)) + 1).tolist(), len(rank)]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if a < b:
+                    own = int(rank[a])
+                    if own not in waiting:
+                        waiting[own] = []
+                        heapq.heappush(queue, own)
+                    waiting[own].append(at[a:b])
+
+        wait(np.arange(n - 1))
+        while queue:
+            rank = heapq.heappop(queue)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            x, y, made = self.parts[rank]
+            at = at[(sym[at] == x) & (after[at] < n)]
+            at = at[sym[after[at]] == y]
+            if x == y and len(at) > 1:  # of overlapping places every second one
+                start = np.concatenate([[True], at[1:] != after[at[:-1]]])
+                at = at[(np.arange(len(at)) - np.flatnonzero(start)[np.cumsum(start) - 1]) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            sym[at], sym[gone] = made, -1
+            after[at] = after[gone]
+            before[after[at]] = at
+            left -= len(at)
+            near = np.unique(np.concatenate([at, before[at]]))
+            wait(near[(near >= 0) & (after[near] < n)])
+        return left
+
     def count_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """One value a chunk: the tokens of all its pre-tokens."""
         split = [self.pattern.findall(c) for c in chunks]
@@ -106,10 +156,13 @@ class RankMerger:
             self.known.clear()
         known = self.known
         new = list({p for parts in split for p in parts if p not in known})
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            known.update(zip(some, self.count([p.encode() for p in some]).tolist(), strict=True))
-        return np.array([sum([known[p] for p in parts]) for parts in split], np.uint32), np.ones(len(chunks), np.int64)
+        raw = [p.encode() for p in new]
+        short = [i for i, r in enumerate(raw) if len(r) <= LONG]
+        for lo in range(0, len(short), 20_000):
+            some = short[lo : lo + 20_000]
+            known.update(zip([new[i] for i in some], self.count([raw[i] for i in some]).tolist(), strict=True))
+        once = {p: self.count_long(r) for p, r in zip(new, raw, strict=True) if len(r) > LONG}  # too large to be kept
+        return np.array([sum([once[p] if p in once else known[p] for p in parts]) for parts in split], np.uint32), np.ones(len(chunks), np.int64)
 
     def count_whole(self, text: str) -> int:
         """Tokens of a text that may hold special strings; each counts as one."""
