@@ -1,13 +1,14 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into leaf blocks, the texts between block-level tags. Each block has hashed vectors of
-its tag path (tags, classes and ids of all open elements) and of its words, and a few figures. A
-bidirectional LSTM in numpy reads a page's blocks in order and labels every one with the whole page
-as context; the blocks it keeps make the text. The model is trained here, on made-up pages.
+its tag path (tags, classes and ids of the elements around all of its text) and of its words, and a few
+figures. A bidirectional LSTM in numpy reads a page's blocks in order and labels every one with the
+whole page as context; the blocks it keeps make the text. The model is trained here, on made-up pages.
+Time grows with a page's length, however it nests; a page of more than WINDOW blocks is read in windows.
 
 Results for odd input: null or empty html, and pages without a main block, give an empty text;
-broken or cut-off markup is read as far as it goes; repeated rows are extracted each; an empty
-table gives an empty result.
+broken or cut-off markup is read as far as it goes; repeated rows and null ids are extracted each; other
+columns aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,60 +30,120 @@ from heftgraph.llm.words import hash_words
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _ATTRS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: HTML elements by how they are laid out.
-BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul ins".split())
+BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown, or is a form's.
 HIDDEN = set("script style noscript template head title iframe textarea".split())
 RAW = set("script style textarea title".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-PATH, WORD, FIGURES, HIDDEN_UNITS = 160, 16, 8, 24
+PATH, WORD, FIGURES, HIDDEN_UNITS = 512, 16, 8, 24
 WIDTH = PATH + WORD + FIGURES
+#: Blocks that are labelled at once; a page of more is read in windows.
+WINDOW = 8192
 
 
-def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, path, characters in links) of every leaf block with text, in page order."""
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Element:
+    """An open element: what it and those around it say, as bits of the path vector."""
+
+    __slots__ = ("name", "bits", "last", "names")
+
+    def __init__(self, name: str, own: list[str], around: Element | None):
+        self.name = name
+        self.bits, self.names = (around.bits, around.names + len(own)) if around else (0, len(own))
+        for n in own:
+            h = zlib.crc32(n.encode())
+            self.bits |= 1 << h % PATH | 1 << (h >> 12) % PATH
+        self.last = 1 << (h >> 20) % PATH
+
+    def path(self) -> tuple[int, int]:
+        return self.bits | self.last, self.names
+
+
+class Open:
+    """The stack of open elements, with the places of each name and of the block elements."""
+
+    def __init__(self):
+        self.stack: list[Element] = []
+        self.blocks: list[int] = []
+        self.hidden = 0
+        self._at: dict[str, list[int]] = {}
+
+    def last(self, name: str) -> int | None:
+        at = self._at.get(name)
+        return at[-1] if at else None
+
+    def push(self, name: str, own: list[str]) -> None:
+        self._at.setdefault(name, []).append(len(self.stack))
+        if name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.hidden += name in HIDDEN
+        self.stack.append(Element(name, own, self.stack[-1] if self.stack else None))
+
+    def pop(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            name = self.stack.pop().name
+            self._at[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+            self.hidden -= name in HIDDEN
+
+
+def _said(name: str, attrs: str) -> list[str]:
+    """The name of an element and the words of its classes and ids."""
+    if not attrs:
+        return [name]
+    return [name, *[f"{name[0]}.{w}" if len(w) < 2 else w for v in _ATTRS.findall(attrs) for w in re.split(r"[^a-z0-9]+", "".join(v).lower()) if w]]
+
+
+def blocks(html: str) -> list[tuple[str, tuple[int, int], int]]:
+    """(text, path, characters in links) of every leaf block with text, in page order.
+
+    The path, (bits, number of names), is that of the innermost element around all of the text.
+    """
+    out: list[tuple[str, tuple[int, int], int]] = []
+    now = Open()
     text: list[str] = []
-    linked, hidden, at = 0, 0, 0
+    linked, at, n = 0, 0, len(html)
+    around: Element | None = None
+    depth = low = 0  # of around, and the lowest since
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, around
         if text:
             t = " ".join(html_lib.unescape("".join(text)).split())
             if t:
-                out.append((t, tuple(x for _, names in stack for x in names), min(linked, len(t))))
+                out.append((t, around.path() if around else (0, 0), min(linked, len(t))))
             text.clear()
-        linked = 0
+        linked, around = 0, None
 
-    def pop(depth: int) -> None:
-        nonlocal hidden
-        while len(stack) > depth:
-            hidden -= stack.pop()[0] in HIDDEN
+    def pop(to: int) -> None:
+        nonlocal low
+        now.pop(to)
+        low = min(low, to)
 
-    n = len(html)
     while at < n:
         m = _TOKEN.match(html, at)
         at = m.end()
         name = m[2]
         if name is None:
             piece = m[0]
-            if not hidden and (piece[0] != "<" or len(piece) == 1):
+            if not now.hidden and (piece[0] != "<" or len(piece) == 1):
+                if piece.strip():
+                    if around is None or low < depth:
+                        depth = min(low, depth) if around else len(now.stack)
+                        low, around = depth, now.stack[depth - 1] if depth else None
+                    linked += len(piece.strip()) if now.last("a") is not None else 0
                 text.append(piece)
-                if any(t == "a" for t, _ in stack):
-                    linked += len(piece.strip())
             continue
         name = name.lower()
         is_block = name in BLOCK
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                if is_block:
-                    flush()
-                pop(depth)
-            elif is_block:
+            if is_block:
                 flush()
+            to = now.last(name)
+            if to is not None:
+                pop(to)
             continue
         if name in VOID:
             if name == "hr":
@@ -92,43 +153,25 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
             continue
         if is_block:
             flush()
-            p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
+            p = now.last("p")
             if p is not None:
                 pop(p)
-            ends = CLOSES.get(name)
-            if ends:
-                top = len(stack) - 1
-                while top >= 0 and stack[top][0] not in BLOCK:
-                    top -= 1
-                if top >= 0 and stack[top][0] in ends:
-                    pop(top)
+            if now.blocks and now.stack[now.blocks[-1]].name in CLOSES.get(name, ()):
+                pop(now.blocks[-1])
         attrs = m[3]
         if attrs.endswith("/") and not is_block and name not in RAW:
             continue
-        names = (name, *[f"{name[0]}.{w}" if len(w) < 2 else w for v in _ATTRS.findall(attrs) for w in re.split(r"[^a-z0-9]+", "".join(v).lower()) if w]) if attrs else (name,)
-        stack.append((name, names))
-        hidden += name in HIDDEN
+        now.push(name, _said(name, attrs))
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, at)
             at = end.end() if end else n
-            pop(len(stack) - 1)
+            pop(len(now.stack) - 1)
     flush()
     return out
 
 
-@lru_cache(maxsize=20_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH, np.float32)
-    for k, name in enumerate(path):
-        h = zlib.crc32(name.encode())
-        v[h % PATH] = v[(h >> 12) % PATH] = 1
-        if k == len(path) - 1:
-            v[(h >> 20) % PATH] = 1
-    return v
-
-
-def vectors(page_blocks: list[list[tuple[str, tuple[str, ...], int]]]) -> np.ndarray:
-    """The feature rows of the blocks of many pages, one after the other."""
+def vectors(page_blocks: list[list[tuple[str, tuple[int, int], int]]], places: np.ndarray | None = None) -> np.ndarray:
+    """The feature rows of the blocks of many pages, one after the other; places: of the blocks in their pages, from 0 to 1."""
     flat = [b for page in page_blocks for b in page]
     x = np.zeros((len(flat), WIDTH), np.float32)
     if not flat:
@@ -139,15 +182,16 @@ def vectors(page_blocks: list[list[tuple[str, tuple[str, ...], int]]]) -> np.nda
     bins = np.bincount(of * WORD + (words >> np.uint64(60)).astype(np.int64), minlength=len(flat) * WORD).reshape(-1, WORD)
     x[:, PATH : PATH + WORD] = bins / np.maximum(count, 1)[:, None]
     chars = np.array([len(b[0]) for b in flat], float)
-    place = np.concatenate([np.arange(len(p)) / max(len(p), 1) for p in page_blocks])
-    x[:, PATH + WORD :] = np.stack([np.log1p(chars) / 8, np.log1p(count) / 6, np.array([b[2] for b in flat]) / np.maximum(chars, 1), np.array([b[0][-1] in ".!?" for b in flat]), place, np.array([len(b[1]) for b in flat]) / 16, np.array(["\xa9" in b[0] for b in flat]), np.ones(len(flat))], axis=1)
-    for i, b in enumerate(flat):
-        x[i, :PATH] = _path_vector(b[1])
+    if places is None:
+        places = np.concatenate([np.arange(len(p)) / max(len(p), 1) for p in page_blocks])
+    x[:, PATH + WORD :] = np.stack([np.log1p(chars) / 8, np.log1p(count) / 6, np.array([b[2] for b in flat]) / np.maximum(chars, 1), np.array([b[0][-1] in ".!?" for b in flat]), places, np.minimum([b[1][1] for b in flat], 64) / 16, np.array(["\xa9" in b[0] for b in flat]), np.ones(len(flat))], axis=1)
+    raw = np.frombuffer(b"".join(b[1][0].to_bytes(PATH // 8, "little") for b in flat), np.uint8).reshape(len(flat), -1)
+    x[:, :PATH] = np.unpackbits(raw, axis=1, bitorder="little")
     return x
 
 
 def _sigmoid(a: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(a, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * a)
 
 
 class Labeller:
@@ -172,7 +216,8 @@ class Labeller:
         ht, ct = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
         for t in range(t_max) if d == "f" else range(t_max - 1, -1, -1):
             a = z[t] + ht @ self.p[d + "h"]
-            i, f, o, g = _sigmoid(a[:, :h]), _sigmoid(a[:, h : 2 * h]), _sigmoid(a[:, 2 * h : 3 * h]), np.tanh(a[:, 3 * h :])
+            gates, g = _sigmoid(a[:, : 3 * h]), np.tanh(a[:, 3 * h :])
+            i, f, o = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
             m = mask[t][:, None]
             c_new = (f * ct + i * g) * m
             tc = np.tanh(c_new)
@@ -183,6 +228,29 @@ class Labeller:
             hs[t] = ht
         return hs, trail
 
+    def long_scores(self, page: list[tuple[str, tuple[int, int], int]]) -> np.ndarray:
+        """Scores of one page's blocks in windows; both directions step together, each from its own end."""
+        h, n = HIDDEN_UNITS, len(page)
+        out = np.zeros(n, np.float32)
+        halved = np.concatenate([np.full(3 * h, 0.5, np.float32), np.ones(h, np.float32)])  # tanh makes all four gates
+        wh = np.stack([self.p["fh"], self.p["bh"]]) * halved
+        state, cell = np.zeros((2, 1, h), np.float32), np.zeros((2, h), np.float32)
+        for lo in range(0, n, WINDOW):
+            hi = min(lo + WINDOW, n)
+            x = [vectors([page[a:b]], np.arange(a, b) / n) for a, b in ((lo, hi), (n - hi, n - lo))]
+            x[1] = x[1][::-1]
+            z = np.stack([(own @ self.p[d + "x"] + self.p[d + "c"]) * halved for d, own in zip("fb", x, strict=True)], axis=1)
+            seen = np.empty((hi - lo, 2, h), np.float32)
+            for t in range(hi - lo):
+                a = np.tanh(z[t] + (state @ wh)[:, 0])
+                gates = a[:, : 3 * h] * 0.5 + 0.5
+                cell = gates[:, h : 2 * h] * cell + gates[:, :h] * a[:, 3 * h :]
+                seen[t] = gates[:, 2 * h :] * np.tanh(cell)
+                state[:, 0] = seen[t]
+            out[lo:hi] += seen[:, 0] @ self.p["o"][:h] + x[0] @ self.p["o"][2 * h :]
+            out[n - hi : n - lo] += (seen[:, 1] @ self.p["o"][h : 2 * h])[::-1]
+        return out
+
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         f, _ = self._run("f", x, mask, False)
         b, _ = self._run("b", x, mask, False)
@@ -257,27 +325,35 @@ def made_up(seed: int, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 700, epochs: int = 14) -> Labeller:
+def trained(pages: int = 1300, epochs: int = 14) -> Labeller:
     model = Labeller()
     model.fit(made_up(11, pages), epochs)
     return model
 
 
-def main_texts(pages: list[str], model: Labeller, cells: int = 8192) -> list[str]:
+def main_texts(pages: list[str], model: Labeller) -> list[str]:
     """The main text of every page; pages are labelled together while padding stays small."""
     cut = [blocks(p) for p in pages]
     out = [""] * len(pages)
+
+    def put(i: int, scores: np.ndarray) -> None:
+        out[i] = "\n".join(b[0] for b, good in zip(cut[i], scores > 0, strict=True) if good)
+
     order = [i for i in sorted(range(len(cut)), key=lambda i: len(cut[i])) if cut[i]]
     while order:
+        if len(cut[order[-1]]) > WINDOW:
+            i = order.pop()
+            put(i, model.long_scores(cut[i]))
+            continue
         take, longest = [], 0
-        while order and (not take or max(longest, len(cut[order[-1]])) * (len(take) + 1) <= cells):
+        while order and max(longest, len(cut[order[-1]])) * (len(take) + 1) <= WINDOW:
             take.append(order.pop())
             longest = max(longest, len(cut[take[-1]]))
         x = vectors([cut[i] for i in take])
         at = np.cumsum([0] + [len(cut[i]) for i in take])
         s = model.scores(*padded([x[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]))
         for k, i in enumerate(take):
-            out[i] = "\n".join(b[0] for b, good in zip(cut[i], s[: len(cut[i]), k] > 0, strict=True) if good)
+            put(i, s[: len(cut[i]), k])
     return out
 
 

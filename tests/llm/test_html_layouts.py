@@ -1,6 +1,12 @@
 """Pages in layouts that the training pages don't have: written by hand, with their main blocks stated."""
 
+import time
+from html.parser import HTMLParser
+
+import numpy as np
+
 from heftgraph.llm import html_text
+from heftgraph.llm.html_pages import Maker
 
 P = [
     "The harbour was quiet when the first boats came in, and nobody on the pier spoke of the storm.",
@@ -19,6 +25,36 @@ PAGES = [
     (f"<html><body><div id=masthead><a href=/>Logo</a></div><div class=breadcrumb-trail><a href=/>Home</a> / <a href=/n>News</a></div><div class=story-container><h2>Storm over</h2><div class=story-copy><p>{P[0]}</p><p>{P[1]}</p><p>{P[2]}</p></div></div><div class=sponsored-links><p>Buy boat insurance now.</p></div><div class=reader-feedback><p>Anna says: lovely report.</p></div><div class=site-info>Copyright the paper</div></body></html>", ["Storm over", *P]),
     # sections, a list and a side box
     (f"<html><body><section role=banner><p>The Gazette</p></section><section role=main><h1>Storm over</h1><p>{P[0]}</p><ul><li>Two boats were lost in the night.</li><li>All crews are safe and well.</li></ul><p>{P[2]}</p></section><aside><h3>Most read</h3><a href=/x>Other things</a></aside><section role=contentinfo><p>Contact us</p></section></body></html>", ["Storm over", P[0], "Two boats were lost in the night.", "All crews are safe and well.", P[2]]),
+    # a wiki: contents, text, a box beside it, categories
+    (f"<html><body><div id=mw-head><a href=/t>Talk</a> <a href=/e>Edit</a></div><div id=bodyContent><h1>Harbour</h1><p>{P[0]}</p><h2>History</h2><p>{P[1]}</p><p>{P[2]}</p></div><div id=catlinks><a href=/c>Ports</a> <a href=/d>Towns</a></div><div id=mw-panel><a href=/r>Random page</a></div></body></html>", ["Harbour", P[0], "History", P[1], P[2]]),
+    # a blog with a byline, tags and a box to subscribe
+    (f"<html><body><div class=blog-title><a href=/>My blog</a></div><div class=hentry><h2 class=title>Storm over</h2><div class=body><p>{P[0]}</p><p>{P[1]}</p></div></div><div class=mailing-list><form action=/s><label>Your address</label><input name=m><button>Join</button></form></div><div class=blogroll><ul><li><a href=/1>A friend</a></li><li><a href=/2>Another</a></li></ul></div></body></html>", ["Storm over", P[0], P[1]]),
+    # a forum post with replies
+    (f"<html><body><ul class=crumb><li><a href=/>Boards</a></li><li><a href=/b>Boats</a></li></ul><article><h1>Storm over</h1><p>{P[0]}</p><p>{P[2]}</p></article><section class=comments><div class=comment><p>Thanks for this.</p></div><div class=comment><p>Same here, what a night.</p></div></section><footer>Powered by boards</footer></body></html>", ["Storm over", P[0], P[2]]),
+    # text in plain line breaks, one container
+    (f"<html><body><div class=navi><a href=/a>One</a> | <a href=/b>Two</a> | <a href=/c>Three</a></div><div class=text><h1>Storm over</h1>{P[0]}<br><br>{P[1]}<br><br>{P[2]}</div><div class=footer>Imprint</div></body></html>", ["Storm over", " ".join(P)]),
+    # a documentation page
+    (f"<html><body><nav class=toctree><ul><li><a href=/1>Install</a></li><li><a href=/2>Usage</a></li></ul></nav><main class=doc><h1>Usage</h1><p>{P[0]}</p><pre>boat --start now</pre><p>{P[1]}</p><h2>Options</h2><dl><dt>start</dt><dd>{P[2]}</dd></dl></main><div class=prev-next><a href=/1>Previous</a><a href=/3>Next</a></div></body></html>", ["Usage", P[0], "boat --start now", P[1], "Options", "start", P[2]]),
+    # an announcement bar and a consent box before everything
+    (f"<html><body><div class=announcement-bar><a href=/x>New edition out now</a></div><div class=cookie-consent-dialog><p>We use cookies. Accept all cookies?</p><button>Accept</button></div><div class=page><article class=news-item><h1>Storm over</h1><p>{P[0]}</p><p>{P[1]}</p><p>{P[2]}</p></article></div><footer class=global-footer><ul><li><a href=/t>Terms</a></li><li><a href=/p>Privacy</a></li></ul></footer></body></html>", ["Storm over", *P]),
+    # a recipe with lists
+    (f"<html><body><header><nav><a href=/>Food</a><a href=/f>Fish</a></nav></header><div class=recipe><h1>Fish soup</h1><p>{P[1]}</p><h3>Ingredients</h3><ul><li>Two large fish from the market</li><li>One onion, cut in small pieces</li></ul><h3>Method</h3><ol><li>Boil the water and add the fish.</li><li>Wait until it is soft, then serve.</li></ol></div><aside class=ads><a href=/buy>Buy pots</a></aside></body></html>", ["Fish soup", P[1], "Ingredients", "Two large fish from the market", "One onion, cut in small pieces", "Method", "Boil the water and add the fish.", "Wait until it is soft, then serve."]),
+    # letters for classes everywhere
+    (f"<html><body><div class=aa><div class=ab><a href=/1>Politics</a><a href=/2>Culture</a><a href=/3>Weather</a></div></div><div class=ba><div class=bb><h1 class=bc>Storm over</h1><div class=bd><p class=be>{P[0]}</p><p class=be>{P[1]}</p><p class=be>{P[2]}</p></div></div></div><div class=ca><div class=cb><a href=/4>Contact</a><a href=/5>Jobs</a></div></div></body></html>", ["Storm over", *P]),
+    # an interview with quotes and emphasis
+    (f"<html><body><div id=header><a href=/>The paper</a></div><div id=content><h1>A talk</h1><p><b>{P[0]}</b></p><blockquote><p>{P[1]}</p></blockquote><p><em>{P[2]}</em></p></div><div id=sidebar><h4>More talks</h4><ul><li><a href=/1>One more</a></li></ul></div><div id=footer>Copyright</div></body></html>", ["A talk", *P]),
+    # a table of facts within the text
+    (f"<html><body><header class=top>Port news</header><article><h1>Ships</h1><p>{P[0]}</p><table><tr><td>Anna</td><td>1920</td></tr><tr><td>Berta</td><td>1934</td></tr></table><p>{P[2]}</p></article><aside class=related><a href=/1>Other ships</a></aside></body></html>", ["Ships", P[0], "Anna", "1920", "Berta", "1934", P[2]]),
+    # roles only
+    (f"<html><body><div role=navigation><a href=/a>Start</a><a href=/b>Search</a></div><div role=main><h1>Storm over</h1><p>{P[0]}</p><p>{P[1]}</p></div><div role=complementary><p>Read this too.</p></div><div role=contentinfo>Rights reserved</div></body></html>", ["Storm over", P[0], P[1]]),
+    # a page that is nothing but the text
+    (f"<html><body><h1>Storm over</h1><p>{P[0]}</p><p>{P[1]}</p><p>{P[2]}</p></body></html>", ["Storm over", *P]),
+    # two columns of divs, advert between the paragraphs
+    (f"<html><body><div class=grid><div class=col-main><h1>Storm over</h1><p>{P[0]}</p><div class=advert>Buy now.</div><p>{P[1]}</p><p>{P[2]}</p></div><div class=col-right><h3>Popular</h3><ul><li><a href=/1>First</a></li><li><a href=/2>Second</a></li><li><a href=/3>Third</a></li></ul></div></div></body></html>", ["Storm over", *P]),
+    # a shop's description
+    (f"<html><body><div class=shop-nav><ul><li><a href=/1>Nets</a></li><li><a href=/2>Ropes</a></li></ul></div><div class=product-description><h1>Rope</h1><p>{P[1]}</p><p>{P[2]}</p></div><div class=newsletter-signup><p>Subscribe to our newsletter.</p></div><div class=copyright>Copyright the shop</div></body></html>", ["Rope", P[1], P[2]]),
+    # an old home page in one cell, centred
+    (f"<html><body><center><table border=1><tr><td><a href=/1>Boats</a></td><td><a href=/2>Nets</a></td></tr></table></center><table><tr><td><h2>Storm over</h2><p>{P[0]}</p><p>{P[1]}</p></td></tr></table><hr><a href=/m>Mail me</a></body></html>", ["Storm over", P[0], P[1]]),
 ]
 
 
@@ -30,4 +66,64 @@ def test_other_layouts():
         found, wanted, right = found + len(got), wanted + len(blocks), right + len(set(got) & set(blocks))
         whole += got == blocks
     print(f"precision {right}/{found}, recall {right}/{wanted}, whole pages {whole}/{len(PAGES)}")
-    assert right >= 0.8 * found and right >= 0.8 * wanted
+    assert len(PAGES) >= 20 and right >= 0.9 * found and right >= 0.9 * wanted
+
+
+class Plain(HTMLParser):
+    """All text that isn't hidden, in order, cut at the tags of block elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.hidden = [[]], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in html_text.HIDDEN
+        if tag in html_text.BLOCK or tag == "hr":
+            self.blocks.append([])
+        elif tag == "br":
+            self.blocks[-1].append(" ")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in html_text.HIDDEN
+        if tag in html_text.BLOCK:
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.blocks[-1].append(data)
+
+
+def test_blocks_are_those_of_the_standard_parser():
+    maker = Maker(5)
+    pages = [p for p, _ in PAGES] + [p for p in (maker.page() for _ in range(300)) if p.endswith("</html>")]
+    for page in pages:
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        assert [b[0] for b in html_text.blocks(page)] == [t for t in (" ".join("".join(b).split()) for b in plain.blocks) if t]
+
+
+def test_long_and_deep_pages():
+    """Time and memory grow with the length of a page; windows give what one reading gives."""
+    model = html_text.trained()
+    assert [b[0] for b in html_text.blocks("<p>The price is <ins>ten</ins> pounds now.</p>")] == ["The price is ten pounds now."]
+    for page, n in (("<div>" * 200_000, 0), ("<b>" * 60_000 + "<li>x" * 60_000, 60_000), ("<div>a" * 30_000, 30_000)):
+        began = time.process_time()
+        assert len(html_text.blocks(page)) == n
+        assert time.process_time() - began < 20
+    maker = Maker(9)
+    many = [b for _ in range(60) for b in html_text.blocks(maker.page())]
+    whole = model.scores(*html_text.padded([html_text.vectors([many])]))[:, 0]
+    for window in (len(many) + 1, 100, 64):
+        html_text.WINDOW, held = window, html_text.WINDOW
+        try:
+            assert np.allclose(model.long_scores(many), whole, atol=1e-3)
+        finally:
+            html_text.WINDOW = held
+
+
+def test_path_is_of_what_holds_all_the_text():
+    (ad,) = html_text.blocks("<div><ins class=ads>Buy now</ins></div>")
+    (other,) = html_text.blocks("<div><ins class=ads>Buy</ins> now</div>")
+    (bare,) = html_text.blocks("<div>Buy now</div>")
+    assert ad[1] != bare[1] and other[1] == bare[1]
