@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from heftgraph.functions import scalars
 from heftgraph.operators import anatomy, budget, entry, order, reports, session
 from heftgraph.operators import inspect as inspection
-from heftgraph.operators.policy import Policy
+from heftgraph.operators.build import together
+from heftgraph.operators.policy import Policy, matches
 from heftgraph.operators.prune import Graph
 from heftgraph.operators.storage import stored
 from heftgraph.sources import binaries, imports, modules, references
@@ -60,6 +62,12 @@ class Analysis:
         sized = self.packages.select("pkg", "module").join(bytes_, "pkg", "left").select("pkg", "module", F.coalesce("size", F.lit(0)).alias("size"))
         return Graph(sized, edges, roots, self.main, self.policy)
 
+    @cached_property
+    def session(self) -> session.Session:
+        """The build as one that can be asked under other policies."""
+        g = self.graph
+        return session.Session(g.build, self.main, self.policy, self.versions, self.coupling)
+
     @cached_property
     def size(self) -> DataFrame:
         return stored(anatomy.summary(self.files, self.owned))
@@ -117,7 +125,7 @@ class Analysis:
         out = {"summary": inspection.inspect(self.graph, module, self.versions), "entries": inspection.entries(self.graph, module, sites), "drags": inspection.drags(self.graph, module)}
         if sites is not None:
             out["sites"] = sites.select("path", "line", "from_package", "import")
-        out["why"] = session.import_why(self.graph).filter(F.col("root") == module)
+        out["why"] = session.import_why(self.graph, roots=[module])
         return out
 
     def diff(self, before: Analysis) -> dict[str, DataFrame]:
@@ -128,19 +136,37 @@ class Analysis:
         return {"modules": changes, "totals": reports.diff_totals(changes, direct), "floor": reports.diff_floor(before.floor(), self.floor())}
 
 
-def matrix(cells: dict[str, Analysis]) -> dict[str, DataFrame]:
-    """modules, cells, floor over the platforms that were built."""
-    sizes = floors = versions = None
-    for label, a in cells.items():
-        live = a.graph.base.filter("module <> ''").select(F.lit(label).alias("label"), "module", "pkg", "size")
-        floor = a.floor().withColumn("label", F.lit(label))
-        sizes = live if sizes is None else sizes.unionByName(live)
-        floors = floor if floors is None else floors.unionByName(floor)
-        versions = a.versions if versions is None else versions.unionByName(a.versions)
-    if sizes is None:
-        raise ValueError("no platform was built")
-    sizes, floors = stored(sizes), stored(floors)
+def matrix(cells: dict[str, Analysis | Callable[[], Analysis]]) -> dict[str, DataFrame]:
+    """modules, cells, floor, failed over the platforms.
+
+    A cell may be a function that makes the analysis. One that can't be read has a row in failed(label,
+    error), and the others count; if none is left, that is an error. What is reachable is found for all
+    cells in one set of jobs, and so are their floors.
+    """
+    builds, versions, owned, failed = {}, None, None, []
+    for label, cell in cells.items():
+        try:
+            a = cell() if callable(cell) else cell
+            g = a.graph
+            a.owned.limit(1).count()
+        except Exception as e:  # whatever a cell's files do, the others are reported
+            failed.append((label, (str(e).strip().splitlines() or [type(e).__name__])[0]))
+            continue
+        builds[label] = (g.packages, g.edges, g.roots)
+        mine = a.packages.filter("module <> ''").select("module").distinct().select(F.lit(label).alias("label"), "module", ((F.col("module") == a.main) | matches(F.col("module"), a.policy.controlled)).alias("owned"))
+        owned = mine if owned is None else owned.unionByName(mine)
+        versions = a.versions.withColumn("label", F.lit(label)) if versions is None else versions.unionByName(a.versions.withColumn("label", F.lit(label)))
+    if not builds:
+        raise ValueError("no platform was built" + "".join(f"; {label}: {why}" for label, why in failed))
+    spark = next(iter(builds.values()))[0].sparkSession
+    sizes = stored(together(builds).filter("module <> ''"))
+    named = sizes.select("label", "module").distinct().join(owned, ["label", "module"]).join(versions, ["label", "module"], "left")
+    floors = reports.floor(named.select("label", "module", F.coalesce("version", F.lit("")).alias("version"), "owned"), "label")
+    every = spark.createDataFrame([(label,) for label in builds], "label string")  # a cell of the standard library alone has no modules
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    floors = stored(every.join(floors, "label", "left").select("label", *map(blank, ("version", "critical", "next_version", "owned_max"))))
     first = versions.groupBy("module").agg(F.max("version").alias("version"))
     own = sizes.groupBy("label").agg(F.count_distinct("module").alias("modules"), F.sum("size").alias("bytes"))
+    cells_ = every.join(own, "label", "left").select("label", F.coalesce("modules", F.lit(0)).alias("modules"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
     pins = reports.worst_floor(floors, "label")
-    return {"modules": order.ranked(reports.matrix_rows(sizes, first), order.named("matrix")), "cells": own.join(pins, "label"), "floor": reports.worst(floors)}
+    return {"modules": order.ranked(reports.matrix_rows(sizes, first), order.named("matrix")), "cells": cells_.join(pins, "label"), "floor": reports.worst(floors), "failed": spark.createDataFrame(failed, "label string, error string")}

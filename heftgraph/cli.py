@@ -91,7 +91,7 @@ def run(args: argparse.Namespace, spark) -> tuple[int, str]:
         for text in args.cell:
             label, _, files = text.partition("=")
             binary, _, listing = files.partition(",")
-            cells[settings.parse_cell(label).label] = Analysis.of(spark, binary, listing, policy)
+            cells[settings.parse_cell(label).label] = lambda binary=binary, listing=listing: Analysis.of(spark, binary, listing, policy)
         answer = tools.platform_matrix(cells)
     else:
         a = Analysis.of(spark, args.binary, args.listing, policy, args.dump, args.sources)

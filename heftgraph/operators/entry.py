@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heftgraph.operators.prune import Graph
 from heftgraph.operators.kernel import EDGES as KERNEL_EDGES
+from heftgraph.operators.prune import Graph
+from heftgraph.operators.storage import stored
 
 TREE = "node string, kind string, module string, idom string, retained long"
 
@@ -72,14 +73,50 @@ def immediate(succ: list[list[int]]) -> tuple[list[int], list[int]]:
     return order, out
 
 
+def dominators(edges: DataFrame) -> DataFrame:
+    """node, dom: every dominator of every node (itself too) of edges(src, dst), from the start ''; by rounds of joins.
+
+    A node's dominators are itself and what all its predecessors have among theirs, where those that
+    aren't known yet don't count; what a round has changed is all that the next one looks at.
+    """
+    spark = edges.sparkSession
+    edges = stored(edges.filter("src <> dst and dst <> ''"))
+    known = changed = stored(spark.createDataFrame([("", "")], "node string, dom string"))
+    while True:
+        again = stored(edges.join(changed.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select("dst").distinct())
+        if again.isEmpty():
+            return known
+        into = edges.join(again, "dst", "left_semi").join(known.withColumnRenamed("node", "src"), "src")
+        # a predecessor that is known is among its own dominators
+        shared = into.groupBy("dst", "dom").agg(F.count("*").alias("c"))
+        preds = into.filter("dom = src").groupBy("dst").agg(F.count("*").alias("c"))
+        own = shared.join(preds, ["dst", "c"]).select(F.col("dst").alias("node"), "dom").union(again.select("dst", "dst"))
+        new = stored(own)
+        size = lambda d, n: d.groupBy("node").agg(F.count("*").alias(n))
+        before = known.join(again, F.col("node") == F.col("dst"), "left_semi")
+        changed = stored(size(new, "n").join(size(before, "m"), "node", "left").filter("m is null or n <> m").select("node"))
+        known = stored(known.join(again, F.col("node") == F.col("dst"), "left_anti").unionByName(new))
+
+
+def tree_by_rounds(edges: DataFrame, packages: DataFrame) -> DataFrame:
+    """dominator_tree() of flow edges and packages(pkg, module, size) of any number."""
+    pairs = dominators(edges)
+    depth = pairs.groupBy("node").agg(F.count("*").alias("depth"))
+    kept = pairs.join(packages.select(F.col("pkg").alias("node"), "size"), "node", "left").groupBy(F.col("dom").alias("node")).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("retained"))
+    up = pairs.filter("node <> dom").join(depth.withColumnRenamed("node", "dom"), "dom").groupBy("node").agg(F.max_by("dom", "depth").alias("idom"))
+    named = up.join(kept, "node").join(packages.select(F.col("pkg").alias("node"), "module"), "node", "left")
+    kind = F.when(F.col("module").isNull(), "gateway").otherwise("package")
+    return named.select("node", kind.alias("kind"), F.coalesce("module", F.expr("substring(node, 4)")).alias("module"), "idom", "retained")
+
+
 def dominator_tree(g: Graph, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """node, kind (package or gateway), module, idom ('' at the start), retained (own bytes and all dominated ones).
 
-    The walk needs the whole graph in one task, so a flow graph of more than kernel_edges edges is refused.
+    A flow graph of at most kernel_edges edges, counted, is walked in one task; a larger one by rounds of joins.
     """
     edges = flow(g)
-    if edges.limit(kernel_edges + 1).count() > kernel_edges:
-        raise ValueError(f"more than {kernel_edges} edges: use exclusive_freed, which has no such bound")
+    if not g.small or edges.limit(kernel_edges + 1).count() > kernel_edges:
+        return tree_by_rounds(edges, g.base)
     packages = g.base.select(F.lit(None).cast("string").alias("src"), F.col("pkg").alias("dst"), "module", "size")
     rows = edges.select("src", "dst", F.lit(None).cast("string").alias("module"), F.lit(None).cast("long").alias("size")).unionByName(packages)
 

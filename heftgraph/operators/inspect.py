@@ -36,7 +36,7 @@ def floor_of(g: Graph, versions: DataFrame, selected: list[str] | None = None) -
 def inspect(g: Graph, module: str, versions: DataFrame) -> DataFrame:
     """One row: module, class, locked, controlled, target, size, version, freed_bytes, potential_bytes, floor_before, floor_after, moves_floor.
 
-    freed_bytes is what the module's gateway retains. A module that isn't in the build raises; one
+    freed_bytes is what leaves with the module. A module that isn't in the build raises; one
     that is no target frees nothing and has no floor after its cut.
     """
     own = g.base.filter(F.col("module") == module)
@@ -45,8 +45,8 @@ def inspect(g: Graph, module: str, versions: DataFrame) -> DataFrame:
     facts = g.classes.filter(F.col("module") == module)
     is_target = facts.filter("target").count() > 0
     size = own.agg(F.sum("size").alias("size"))
-    gate = entry.dominator_tree(g).filter((F.col("kind") == "gateway") & (F.col("module") == module)) if is_target else None
-    freed = gate.agg(F.coalesce(F.sum("retained"), F.lit(0)).alias("freed_bytes")) if is_target else size.select(F.lit(0).cast("long").alias("freed_bytes"))
+    one = g.roots.sparkSession.createDataFrame([(module, module)], "cut_id string, target string")
+    freed = g.freed_by(one).select(F.col("bytes").alias("freed_bytes")) if is_target else size.select(F.lit(0).cast("long").alias("freed_bytes"))
     before = floor_of(g, versions).select(F.col("version").alias("floor_before"))
     after = floor_of(g, versions, [module]).select(F.col("version").alias("floor_after")) if is_target else before.select(F.lit("").alias("floor_after"))
     low = F.col("floor_after") == ""

@@ -63,17 +63,15 @@ class Policy:
     unlock: tuple[str, ...] = ()
 
 
-def classify(packages: DataFrame, edges: DataFrame, main: str, policy: Policy) -> DataFrame:
-    """module, class, controlled, locked, target, direct_imported of every module but the standard library ('')."""
+def classify(modules: DataFrame, pairs: DataFrame, main: str, policy: Policy) -> DataFrame:
+    """module, class, controlled, locked, target, direct_imported of every one of modules(module) but the standard library (''), given the pairs(sm, dm) of modules that import each other."""
     m = F.col("module")
-    modules = packages.filter(m != "").select("module").distinct()
+    modules = modules.filter(m != "").select("module").distinct()
     controlled = (m == main) | matches(m, policy.controlled)
     locked = F.when(m == main, True).when(matches(m, policy.unlock), False).when(matches(m, policy.locked), True).otherwise(controlled)
     modules = modules.withColumns({"controlled": controlled, "locked": locked})
-    own = packages.select("pkg", "module")
-    hop = edges.join(own.withColumnsRenamed({"pkg": "src", "module": "sm"}), "src").join(own.withColumnsRenamed({"pkg": "dst", "module": "dm"}), "dst")
-    pairs = hop.filter("dm <> '' and dm <> sm").select("sm", "dm").distinct()
-    direct = pairs.join(modules.filter("controlled").select(F.col("module").alias("sm")), "sm", "left_semi").select(F.col("dm").alias("module")).distinct()
+    by = F.col("sm")
+    direct = pairs.filter((by != "") & ((by == main) | matches(by, policy.controlled))).select(F.col("dm").alias("module")).distinct()
     out = modules.join(direct.withColumn("hit", F.lit(True)), "module", "left").withColumn("direct_imported", F.coalesce("hit", F.lit(False)) & (~F.col("controlled") | ~F.col("locked")))
     kind = F.when(m == main, "main").when(F.col("controlled"), "1st").when(F.col("direct_imported"), "2nd").otherwise("3rd")
     return out.select("module", kind.alias("class"), "controlled", "locked", (F.col("direct_imported") & ~F.col("locked")).alias("target"), "direct_imported")

@@ -9,8 +9,8 @@ from math import factorial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heftgraph.operators import kernel
-from heftgraph.operators.kernel import Kernel
+from heftgraph.operators.build import Build
+from heftgraph.operators.kernel import WORD, Kernel
 from heftgraph.operators.policy import Policy, classify
 from heftgraph.operators.reach import reach
 from heftgraph.operators.storage import stored
@@ -25,10 +25,10 @@ MOST_TARGETS = 100_000
 
 @dataclass
 class Graph:
-    """packages(pkg, module, size), edges(src, dst), roots(pkg); module '' is the standard library.
+    """A build under a policy: packages(pkg, module, size), edges(src, dst), roots(pkg) as in Build.
 
-    Names that only edges or roots have are packages without a module ('') and of size 0; a null
-    size counts as 0 and a null module as ''.
+    What the policy doesn't change is the build's, which other graphs may share; what it does is made
+    here. The policy of a graph doesn't change: reclassified() gives another graph.
     """
 
     packages: DataFrame
@@ -38,22 +38,33 @@ class Graph:
     policy: Policy
     #: False: always by frontier joins.
     small: bool = True
+    build: Build | None = None
 
-    @cached_property
+    def __post_init__(self):
+        if self.build is None:
+            self.build = Build(self.packages, self.edges, self.roots, self.small)
+
+    @classmethod
+    def over(cls, build: Build, main: str, policy: Policy) -> Graph:
+        return cls(build.packages, build.edges, build.roots, main, policy, build.small, build)
+
+    def reclassified(self, policy: Policy) -> Graph:
+        """The same build under another policy; nodes, links and what is reachable are not made anew."""
+        return Graph.over(self.build, self.main, policy)
+
+    @property
     def nodes(self) -> DataFrame:
         """pkg, module, size of every name."""
-        listed = self.packages.select("pkg", F.coalesce("module", F.lit("")).alias("module"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.lit(1).alias("listed"))
-        other = self.edges.select(F.explode(F.array("src", "dst")).alias("pkg")).union(self.roots.select("pkg")).select("pkg", F.lit("").alias("module"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("listed"))
-        every = listed.union(other).groupBy("pkg").agg(F.max(F.struct("listed", "module", "size")).alias("x"))
-        return stored(every.select("pkg", "x.module", "x.size"))
+        return self.build.nodes
 
-    @cached_property
-    def links(self) -> DataFrame:
-        return stored(self.edges.select("src", "dst").distinct())
+    @property
+    def base(self) -> DataFrame:
+        """Reachable packages with module and size."""
+        return self.build.base
 
     @cached_property
     def classes(self) -> DataFrame:
-        return stored(classify(self.nodes, self.links, self.main, self.policy))
+        return stored(classify(self.nodes, self.build.pairs, self.main, self.policy))
 
     @cached_property
     def targets(self) -> DataFrame:
@@ -69,22 +80,20 @@ class Graph:
     @cached_property
     def hops(self) -> DataFrame:
         """edges with their modules sm, dm and the target that a cut severs them for."""
-        own = self.nodes.select("pkg", "module")
-        out = self.links.join(own.withColumnsRenamed({"pkg": "src", "module": "sm"}), "src").join(own.withColumnsRenamed({"pkg": "dst", "module": "dm"}), "dst")
         # one row a module; Spark broadcasts it if its files are small
         cls = self.classes.select("module", "controlled", "target")
-        out = out.join(cls.filter("controlled").select(F.col("module").alias("sm"), F.col("controlled").alias("sc")), "sm", "left").join(cls.filter("target").select(F.col("module").alias("dm"), F.col("target").alias("dt")), "dm", "left")
-        return stored(out.select("src", "dst", "sm", "dm", F.when(F.col("sc") & F.col("dt"), F.col("dm")).alias("cut_target")))
+        out = self.build.links.join(cls.filter("controlled").select(F.col("module").alias("sm"), F.col("controlled").alias("sc")), "sm", "left").join(cls.filter("target").select(F.col("module").alias("dm"), F.col("target").alias("dt")), "dm", "left")
+        return out.select("src", "dst", "sm", "dm", F.when(F.col("sc") & F.col("dt"), F.col("dm")).alias("cut_target"))
 
     @cached_property
     def kernel(self) -> Kernel | None:
         """The graph as the tasks share it, where it is within the kernel's bounds."""
-        found = kernel.build(self.nodes, self.hops, self.roots) if self.small else None
-        return Kernel(self.roots.sparkSession, found) if found else None
+        return self.build.kernel(self.classes)
 
     def _cuts(self, severed: DataFrame) -> DataFrame:
         """cut_id, targets; a null target keeps a cut that severs nothing."""
-        return severed.groupBy("cut_id").agg(F.collect_set("target").alias("targets"))
+        spread = severed.sparkSession.sparkContext.defaultParallelism
+        return severed.groupBy("cut_id").agg(F.collect_set("target").alias("targets")).repartition(spread, "cut_id")
 
     def reached(self, severed: DataFrame, starts: DataFrame | None = None) -> DataFrame:
         """(cut_id, pkg, module, size) reached in each cut of severed(cut_id, target), from the roots or from starts(cut_id, node)."""
@@ -106,12 +115,6 @@ class Graph:
         outer = F.when(F.col("sm") != F.col("dm"), F.col("dm"))
         return self._joined(severed, starts, self.hops if kind == "cut" else self.hops.withColumn("cut_target", outer))
 
-    @cached_property
-    def base(self) -> DataFrame:
-        """Reachable packages with module and size."""
-        none = self.roots.sparkSession.createDataFrame([("base", None)], "cut_id string, target string")
-        return stored(self.reached(none).select("pkg", "module", "size"))
-
     @cached_property
     def single_cuts(self) -> DataFrame:
         return self.targets.select(F.col("target").alias("cut_id"), "target")
@@ -147,33 +150,86 @@ class Graph:
         """module, prize_bytes: what leaves if nothing outside a target imported it."""
         return self.freed_by(self.single_cuts, "prize").select(F.col("cut_id").alias("module"), F.col("bytes").alias("prize_bytes"))
 
+    @cached_property
+    def words(self) -> DataFrame:
+        """word, targets: all targets in order of their names, WORD at a time; bit k of a word is its k-th target."""
+        names = self.target_names()
+        rows = [(i // WORD, names[i : i + WORD]) for i in range(0, len(names), WORD)]
+        return stored(self.roots.sparkSession.createDataFrame(rows, "word int, targets array<string>"))
+
+    @cached_property
+    def closure_bits(self) -> DataFrame:
+        """pkg, word, bits: the targets from any package of which a package is reached, without cuts; one row a package and word."""
+        if self.kernel:
+            return stored(self.kernel.closures(self.words))
+        bit = self._bits().withColumnsRenamed({"target": "module", "bit": "bits"})
+        new = stored(self.nodes.join(bit, "module").select("pkg", "word", "bits"))
+        found = new
+        while not new.isEmpty():
+            step = new.join(self.build.links.select(F.col("src").alias("pkg"), "dst"), "pkg").groupBy(F.col("dst").alias("pkg"), "word").agg(F.expr("bit_or(bits)").alias("more"))
+            new = stored(step.join(found, ["pkg", "word"], "left").select("pkg", "word", F.expr("more & ~coalesce(bits, 0L)").alias("bits")).filter("bits <> 0"))
+            found = stored(found.unionByName(new).groupBy("pkg", "word").agg(F.expr("bit_or(bits)").alias("bits")))
+        return found
+
+    def _bits(self) -> DataFrame:
+        """target, word, bit of every target."""
+        return self.words.select("word", F.posexplode("targets").alias("k", "target")).select("target", "word", F.expr("shiftleft(1L, k)").alias("bit"))
+
+    def _named(self, bits: DataFrame) -> DataFrame:
+        """bits(word, bits, ...) with a row for each target whose bit is set, as target."""
+        out = bits.join(F.broadcast(self.words), "word")  # at most MOST_TARGETS names
+        kept = [c for c in bits.columns if c not in ("word", "bits")]
+        return out.select(*kept, F.explode(F.expr("filter(transform(targets, (t, k) -> if(bits & shiftleft(1L, k) <> 0, t, null)), t -> t is not null)")).alias("target"))
+
     @cached_property
     def closures(self) -> DataFrame:
         """(target, pkg) reachable from any package of a target, without cuts."""
-        starts = self.nodes.join(self.targets, F.col("module") == F.col("target")).select(F.col("target").alias("cut_id"), F.col("pkg").alias("node"))
-        none = starts.select("cut_id").distinct().withColumn("target", F.lit(None).cast("string"))
-        return stored(self.reached(none, starts).select(F.col("cut_id").alias("target"), "pkg"))
+        return self._named(self.closure_bits).select("target", "pkg")
+
+    def closure_counts(self) -> DataFrame:
+        """target, packages, bytes of every target's closure."""
+        return self._per_target(self.closure_bits.join(self.nodes, "pkg"))
+
+    def _per_target(self, bits: DataFrame) -> DataFrame:
+        """target, packages, bytes over bits(word, bits, size): sums a bit, without a row a target and package."""
+        has = [F.expr(f"bits & shiftleft(1L, {k}) <> 0") for k in range(WORD)]
+        sums = bits.groupBy("word").agg(F.array(*(F.count_if(h) for h in has)).alias("n"), F.array(*(F.coalesce(F.sum(F.when(h, F.col("size"))), F.lit(0)) for h in has)).alias("b"))
+        out = F.broadcast(self.words).join(sums, "word", "left")
+        at = F.explode(F.expr("transform(targets, (t, k) -> struct(t as target, coalesce(n[k], 0L) as packages, coalesce(b[k], 0L) as bytes))"))
+        return out.select(at.alias("x")).select("x.*")
 
     @cached_property
-    def blockers(self) -> DataFrame:
-        """(pkg, module, size, target): packages that only targets hold, with each target whose closure has them."""
+    def held(self) -> DataFrame:
+        """pkg, module, size, word, bits: packages that only targets hold, with the targets whose closures have them."""
         every = self.targets.select(F.lit("all").alias("cut_id"), "target")
         freeable = self.leaving(every).select("pkg", "module", "size")
-        return stored(freeable.join(self.closures, "pkg"))
+        return stored(freeable.join(self.closure_bits, "pkg"))
+
+    @cached_property
+    def blockers(self) -> DataFrame:
+        """(pkg, module, size, target): packages that only targets hold, with each target whose closure has them."""
+        return self._named(self.held)
 
     def potential(self) -> DataFrame:
         """module, potential_bytes, shared_bytes of every target."""
-        p = self.blockers.groupBy("target").agg(F.sum("size").alias("p"))
+        p = self._per_target(self.held).select("target", F.col("bytes").alias("p"))
         return self.exclusive_freed().join(p, F.col("module") == F.col("target"), "left").select("module", F.coalesce("p", F.lit(0)).alias("potential_bytes"), (F.coalesce("p", F.lit(0)) - F.col("freed_bytes")).alias("shared_bytes"))
 
     def shared_with(self) -> DataFrame:
         """module, holder, bytes, also_via: weight of a target's closure that others hold too."""
-        alone = self.exclusive.select(F.col("cut_id").alias("target"), "pkg")
-        mine = self.blockers.join(alone, ["target", "pkg"], "left_anti").withColumn("holder", F.when(F.col("module") == "", "std").otherwise(F.col("module")))
-        size = mine.groupBy("target", "holder").agg(F.sum("size").alias("bytes")).filter("bytes > 0")
-        other = self.blockers.select("pkg", F.col("target").alias("via"))
-        via = mine.select("target", "holder", "pkg").join(other, "pkg").filter("via <> target").groupBy("target", "holder").agg(F.array_join(F.array_sort(F.collect_set("via")), ",").alias("also_via"))
-        return size.join(via, ["target", "holder"], "left").select(F.col("target").alias("module"), "holder", "bytes", F.coalesce("also_via", F.lit("")).alias("also_via"))
+        bit = self._bits().withColumnRenamed("target", "cut_id")
+        alone = self.exclusive.join(bit, "cut_id").groupBy("pkg", "word").agg(F.expr("bit_or(bit)").alias("alone"))
+        mine = self.held.join(alone, ["pkg", "word"], "left").withColumn("own", F.expr("bits & ~coalesce(alone, 0L)"))
+        # packages of a holder that the same targets have go together
+        sets = F.array_sort(F.collect_list(F.struct("word", "bits", "own")))
+        holder = F.when(F.col("module") == "", "std").otherwise(F.col("module")).alias("holder")
+        alike = mine.groupBy("pkg", "module", "size").agg(sets.alias("sets")).groupBy(holder, "sets").agg(F.sum("size").alias("bytes"))
+        each = stored(alike.select("holder", "sets", "bytes", F.explode("sets").alias("x")).select("holder", "sets", "bytes", F.col("x.word").alias("word"), F.col("x.own").alias("bits")))
+        shared = self._named(each)
+        size = shared.groupBy("target", "holder").agg(F.sum("bytes").alias("bytes")).filter("bytes > 0")
+        via = shared.select("target", "holder", F.explode("sets").alias("x")).groupBy("target", "holder", F.col("x.word").alias("word")).agg(F.expr("bit_or(x.bits)").alias("bits"))
+        via = self._named(via.withColumnRenamed("target", "module")).filter("target <> module").groupBy("module", "holder").agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("also_via"))
+        return size.withColumnRenamed("target", "module").join(via, ["module", "holder"], "left").select("module", "holder", "bytes", F.coalesce("also_via", F.lit("")).alias("also_via"))
 
     def freed_modules(self) -> DataFrame:
         """module (target), freed_module: modules that leave with all their reachable packages."""
@@ -265,16 +321,19 @@ class Graph:
         rng = np.random.default_rng(1)
         order = [(s, [names[i] for i in rng.permutation(n).tolist()]) for s in range(samples)]
         orders = spark.createDataFrame(order, "sample int, targets array<string>").repartition(spark.sparkContext.defaultParallelism, "sample")
-        if self.kernel:
-            gain = self.kernel.along(orders)
-        else:
-            spots = orders.select("sample", "targets", F.posexplode("targets").alias("p", "module"))
-            value = self.freed_by(spots.select(F.concat_ws("/", "sample", "p").alias("cut_id"), F.explode(F.expr("slice(targets, 1, p + 1)")).alias("target")))
-            step = spots.select("sample", "p", "module", F.concat_ws("/", "sample", "p").alias("cut_id")).join(value, "cut_id")
-            gain = step.selectExpr("module", "bytes - lag(bytes, 1, 0L) over (partition by sample order by p) as d").groupBy("module").agg(F.sum("d").alias("gain"))
+        gain = self.gains_along(orders)
         blame = F.greatest(F.expr(f"cast((2 * gain + {samples}) div {2 * samples} as long)"), F.lit(0))
         return gain.select("module", blame.alias("blame"), F.lit(None).cast("long").alias("alone"), F.lit(False).alias("exact"))
 
+    def gains_along(self, orders: DataFrame) -> DataFrame:
+        """module, gain: what each target frees beyond those before it, summed over orders(sample, targets)."""
+        if self.kernel:
+            return self.kernel.along(orders)
+        spots = orders.select("sample", "targets", F.posexplode("targets").alias("p", "module"))
+        value = self.freed_by(spots.select(F.concat_ws("/", "sample", "p").alias("cut_id"), F.explode(F.expr("slice(targets, 1, p + 1)")).alias("target")))
+        step = spots.select("sample", "p", "module", F.concat_ws("/", "sample", "p").alias("cut_id")).join(value, "cut_id")
+        return step.selectExpr("module", "bytes - lag(bytes, 1, 0L) over (partition by sample order by p) as d").groupBy("module").agg(F.sum("d").alias("gain"))
+
     def what_if(self, selected: list[str]) -> DataFrame:
         """original_size, freed_bytes, projected_size when the selected targets are cut."""
         spark = self.roots.sparkSession

@@ -15,8 +15,8 @@ def floor(modules: DataFrame, by: str = "graph_id") -> DataFrame:
     next_version the highest below it. Without any, only owned_max is given.
     """
     m = modules.withColumn("key", version_key(F.col("version")))
-    top = Window.partitionBy(by, "owned")
-    m = m.withColumn("top", F.max("key").over(top))
+    top = m.groupBy(by).agg(F.max(F.when(~F.col("owned"), F.col("key"))).alias("top"))
+    m = m.join(top, by)
     foreign = ~F.col("owned")
     at_top = foreign & F.col("key").isNotNull() & (F.col("key") == F.col("top"))
     pick = lambda cond: F.coalesce(F.max_by(F.when(cond, F.col("version")), F.when(cond, F.col("key"))), F.lit(""))

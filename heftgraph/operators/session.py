@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heftgraph.operators.build import Build
+from heftgraph.operators.policy import Policy
 from heftgraph.operators.prune import Graph
 from heftgraph.operators.storage import stored
 
@@ -74,8 +76,8 @@ def plan_freed(g: Graph, plan: list[str]) -> DataFrame:
     return gain.join(need, ["step", "unit"], "left").withColumn("co_prune", F.coalesce("co_prune", F.lit("")))
 
 
-def import_why(g: Graph, nodes: int = WHY_NODES, breadth: int = WHY_BREADTH) -> DataFrame:
-    """root, place, module, via (place of the node it hangs on), more: who imports each module, up to code of one's own."""
+def import_why(g: Graph, nodes: int = WHY_NODES, breadth: int = WHY_BREADTH, roots: list[str] | None = None) -> DataFrame:
+    """root, place, module, via (place of the node it hangs on), more: who imports each module (or these roots), up to code of one's own."""
     spark = g.roots.sparkSession
     edges = importers(g)
     if edges.limit(WHY_EDGES + 1).count() > WHY_EDGES:
@@ -107,4 +109,60 @@ def import_why(g: Graph, nodes: int = WHY_NODES, breadth: int = WHY_BREADTH) ->
                     out += [(root, p, m, via, more) for p, (m, _, via, more) in enumerate(tree)]
             yield pd.DataFrame(out, columns=["root", "place", "module", "via", "more"])
 
-    return edges.select("module").distinct().mapInPandas(run, "root string, place int, module string, via int, more int")
+    asked = edges.select("module").distinct()
+    return (asked if roots is None else asked.filter(F.col("module").isin(roots))).mapInPandas(run, "root string, place int, module string, via int, more int")
+
+
+class Session:
+    """A build that is asked again and again, under one policy after the other.
+
+    What no policy changes (packages, links, what is reachable, versions, import sites) is made once and
+    stays; reclassify() throws away only what the policy decides.
+    """
+
+    def __init__(self, build: Build, main: str, policy: Policy, versions: DataFrame | None = None, coupling: DataFrame | None = None):
+        """versions(module, version) and coupling(module, import_sites, ...) may be missing."""
+        spark = build.roots.sparkSession
+        self.build = build
+        self.versions = spark.createDataFrame([], "module string, version string") if versions is None else stored(versions)
+        self.coupling = spark.createDataFrame([], "module string, import_sites long") if coupling is None else stored(coupling.select("module", "import_sites"))
+        self.graph = Graph.over(build, main, policy)
+
+    def reclassify(self, policy: Policy) -> None:
+        """From now on the questions are asked under this policy."""
+        self.graph = self.graph.reclassified(policy)
+
+    def modules(self) -> DataFrame:
+        """module, bytes, class, locked, target, version, exclusive_bytes, prize_bytes, importers, pinned_by, import_sites of every module that is reachable."""
+        g = self.graph
+        own = g.base.filter("module <> ''").groupBy("module").agg(F.sum("size").alias("bytes"))
+        out = own.join(g.classes.select("module", "class", "locked", "target"), "module").join(self.versions, "module", "left").join(self.coupling, "module", "left")
+        out = out.join(g.exclusive_freed().select("module", F.col("freed_bytes").alias("exclusive_bytes")), "module", "left").join(g.prize(), "module", "left").join(g.fan_in(), "module", "left").join(g.pinned_by(), "module", "left")
+        zero, blank = (lambda c: F.coalesce(c, F.lit(0)).alias(c)), (lambda c: F.coalesce(c, F.lit("")).alias(c))
+        return out.select("module", "bytes", "class", "locked", "target", blank("version"), zero("exclusive_bytes"), zero("prize_bytes"), zero("importers"), blank("pinned_by"), zero("import_sites"))
+
+    def floor(self, selected: list[str] | None = None) -> DataFrame:
+        """version, critical, next_version, owned_max of what is left when a selection is cut."""
+        from heftgraph.operators import inspect
+
+        return inspect.floor_of(self.graph, self.versions, selected).drop("graph_id")
+
+    def freed(self, selected: list[str]) -> DataFrame:
+        """module, bytes, whole: what a selection frees."""
+        return self.graph.freed_list(selected)
+
+    def drag(self, module: str, selected: list[str] | None = None) -> DataFrame:
+        """module, bytes, freed, needed_by: what a module pulls in, and who keeps it."""
+        return drag_out(self.graph, module, selected)
+
+    def detail(self, module: str) -> dict[str, DataFrame]:
+        """summary (its row of modules() with pulls_in), freed (what leaves with it), drags, importers and importees (direct ones), why (tree of importers) of one module."""
+        g, m = self.graph, F.col("module") == module
+        drags = stored(self.drag(module))
+        kept = drags.filter("not freed").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("held"))
+        summary = self.modules().filter(m).crossJoin(kept).withColumn("pulls_in", F.col("exclusive_bytes") + F.col("held")).drop("held")
+        by = stored(importers(g))
+        out = {"summary": summary, "drags": drags, "importers": by.filter(m).select(F.col("importer").alias("module")), "importees": by.filter(F.col("importer") == module).select("module")}
+        out["freed"] = g.freed_list([module])
+        out["why"] = import_why(g, roots=[module])
+        return out

@@ -29,3 +29,27 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{root(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def fingerprint(spark: SparkSession, *names: str) -> tuple:
+    """Name, length and time of change of every file under these names."""
+    out = []
+    for name in names:
+        path, fs = _path(spark, name)
+        files = fs.listStatus(path) if fs.exists(path) else ()
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    return tuple(sorted(out))
+
+
+def stands(df: DataFrame) -> bool:
+    """Whether the files of a stored table are still there."""
+    for name in df.inputFiles():
+        path, fs = _path(df.sparkSession, name)
+        if not fs.exists(path):
+            return False
+    return True

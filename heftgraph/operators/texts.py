@@ -156,6 +156,8 @@ def matrix(x: dict, markdown: bool = False, wide: bool = False) -> str:
     p.heading("platforms")
     p.line(f"floor {x['floor']['version'] or '-'} over all, held on {joined([c['label'] for c in x['cells']['rows'] if c['pins']]) or 'none'}")
     p.table(["platform", "modules", "bytes", "floor"], [[c["label"], c["modules"], human(c["bytes"]), c["version"] or "-"] for c in x["cells"]["rows"]], len(x["cells"]["rows"]))
+    for f in x.get("failed", {"rows": []})["rows"]:
+        p.line(f"{f['label']} failed: {first_line(f['error'])}")
     if wide:
         labels = [c["label"] for c in x["cells"]["rows"]]
         p.table(["module", *labels], [[m["module"], *(human(m["size_by_cell"][k]) if k in m["size_by_cell"] else "-" for k in labels)] for m in rows])

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heftgraph.operators.build import Build, together
 from heftgraph.operators.policy import Policy
 from heftgraph.operators.prune import Graph
+from heftgraph.operators.storage import fingerprint, stands, stored
 
 MAIN = "app"
 CONTROLLED = Policy(controlled=("region/...",))
+TABLES = ("region", "nation", "supplier", "part", "lineitem")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,19 +34,58 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main
 
 
-def edges(spark: SparkSession, sf_dir: str, line_filter: str = "l_returnflag = 'R'") -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, line_filter: str = "true") -> DataFrame:
     region, nation, supplier, part, line = (read(spark, sf_dir, t) for t in ("region", "nation", "supplier", "part", "lineitem"))
     named = lambda kind, c: F.concat(F.lit(kind + "/"), c)
     out = region.select(F.lit("app/main").alias("src"), named("region", "r_regionkey").alias("dst"))
     out = out.union(nation.select(named("region", "n_regionkey"), named("nation", "n_nationkey")))
     out = out.union(supplier.select(named("nation", "s_nationkey"), named("supplier", "s_suppkey")))
-    out = out.union(line.filter(f"l_linenumber = 1 and l_quantity >= 45 and {line_filter}").select(named("supplier", "l_suppkey"), named("part", "l_partkey")))
-    out = out.union(part.filter("p_size >= 40 and p_partkey >= 2").select(named("part", "p_partkey"), named("part", F.expr("p_partkey div 2"))))
+    out = out.union(line.filter(line_filter).select(named("supplier", "l_suppkey"), named("part", "l_partkey")))
+    out = out.union(part.filter("p_partkey >= 2").select(named("part", "p_partkey"), named("part", F.expr("p_partkey div 2"))))
     return out.distinct()
 
 
-def graph(spark: SparkSession, sf_dir: str, policy: Policy = CONTROLLED, line_filter: str = "l_returnflag = 'R'") -> Graph:
-    return Graph(packages(spark, sf_dir), edges(spark, sf_dir, line_filter), spark.createDataFrame([("app/main",)], "pkg string"), MAIN, policy)
+#: Builds that stay, the last ones that were asked for.
+KEPT = 6
+_kept: dict[tuple, object] = {}
+
+
+def _held(spark: SparkSession, sf_dir: str, *what, make, good) -> object:
+    """What make() gives for these tables, kept as long as the session lives, the tables' files stay as they are and it is good."""
+    files = fingerprint(spark, *(f"{sf_dir}/{t}.parquet" for t in TABLES))
+    key = (spark.sparkContext.applicationId, sf_dir, *what, files)
+    held = _kept.pop(key, None)
+    if held is None or not good(held):
+        held = make()
+    _kept[key] = held
+    while len(_kept) > KEPT:
+        _kept.pop(next(iter(_kept)))
+    return held
+
+
+def _parts(spark: SparkSession, sf_dir: str, line_filter: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return packages(spark, sf_dir), edges(spark, sf_dir, line_filter), spark.createDataFrame([("app/main",)], "pkg string")
+
+
+def build(spark: SparkSession, sf_dir: str, small: bool = True) -> Build:
+    """The build of these tables; queries share it."""
+    return _held(spark, sf_dir, small, make=lambda: Build(*_parts(spark, sf_dir, "true"), small), good=Build.stands)
+
+
+def _side(spark: SparkSession, sf_dir: str, flag: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The build of the lines of a return flag, in which each of a part's lines adds a byte to it."""
+    pkgs, links, roots = _parts(spark, sf_dir, f"l_returnflag = '{flag}'")
+    lines = read(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == flag).groupBy(F.concat(F.lit("part/"), "l_partkey").alias("pkg")).agg(F.count("*").alias("n"))
+    return pkgs.join(lines, "pkg", "left").select("pkg", "module", (F.col("size") + F.coalesce("n", F.lit(0))).alias("size")), links, roots
+
+
+def sides(spark: SparkSession, sf_dir: str, flags: tuple[str, ...] = ("R", "A")) -> DataFrame:
+    """label, pkg, module, size of what is reachable in the builds of the lines of each return flag."""
+    return _held(spark, sf_dir, flags, make=lambda: stored(together({f: _side(spark, sf_dir, f) for f in flags})), good=stands)
+
+
+def graph(spark: SparkSession, sf_dir: str, policy: Policy = CONTROLLED, small: bool = True) -> Graph:
+    return Graph.over(build(spark, sf_dir, small), MAIN, policy)
 
 
 #: Seven sections over line numbers: name, file-backed, text, line table.

@@ -24,14 +24,14 @@ pkg AS (SELECT 'app/main' AS pkg, 'app' AS module, CAST(10 AS BIGINT) AS size
 edge AS (SELECT 'app/main' AS src, 'region/' || r_regionkey AS dst FROM region
   UNION SELECT 'region/' || n_regionkey, 'nation/' || n_nationkey FROM nation
   UNION SELECT 'nation/' || s_nationkey, 'supplier/' || s_suppkey FROM supplier
-  UNION SELECT 'supplier/' || l_suppkey, 'part/' || l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 45 AND {lines}
-  UNION SELECT 'part/' || p_partkey, 'part/' || (p_partkey // 2) FROM part WHERE p_size >= 40 AND p_partkey >= 2),
+  UNION SELECT 'supplier/' || l_suppkey, 'part/' || l_partkey FROM lineitem WHERE {lines}
+  UNION SELECT 'part/' || p_partkey, 'part/' || (p_partkey // 2) FROM part WHERE p_partkey >= 2),
 hop AS (SELECT src, dst, s.module AS sm, d.module AS dm FROM edge JOIN pkg s ON src = s.pkg JOIN pkg d ON dst = d.pkg),
 tgt AS (SELECT DISTINCT dm AS t FROM hop WHERE (sm = 'app' OR sm LIKE 'region/%') AND dm <> '' AND dm <> sm AND dm NOT LIKE 'region/%'),
 ce AS (SELECT src, dst, sm, dm, CASE WHEN (sm = 'app' OR sm LIKE 'region/%') AND dm IN (SELECT t FROM tgt) THEN dm END AS ct FROM hop)"""
 
 
-def _sql(body: str, lines: str = "l_returnflag = 'R'") -> str:
+def _sql(body: str, lines: str = "true") -> str:
     return "WITH RECURSIVE " + _PKG.replace("{lines}", lines).strip() + ",\n" + body.strip()
 
 
@@ -81,7 +81,7 @@ def reachable_base(spark, sf):
 
 @query(_sql(_CLOSE + " SELECT t AS target, count(*) AS packages FROM clo GROUP BY 1"))
 def closure_per_module(spark, sf):
-    return graph(spark, sf).closures.groupBy("target").agg(F.count("*").alias("packages"))
+    return graph(spark, sf).closure_counts().select("target", "packages")
 
 
 @query(_sql(_EXCL + ", " + _FREED + " SELECT * FROM fr"))
@@ -233,11 +233,11 @@ def floor_after_cut(spark, sf):
 
 
 def _cells(spark, sf):
-    line = derived.read(spark, sf, "lineitem").filter("l_linenumber = 1 and l_quantity >= 45").select(F.expr(LABEL).alias("label"), F.concat(F.lit("part/"), "l_partkey").alias("pkg"))
+    line = derived.read(spark, sf, "lineitem").select(F.expr(LABEL).alias("label"), F.concat(F.lit("part/"), "l_partkey").alias("pkg"))
     return line.join(derived.packages(spark, sf), "pkg").filter("module <> ''").select("label", "module", "pkg", "size").distinct()
 
 
-_CELL = "cell AS (SELECT DISTINCT l_returnflag || '/' || l_linestatus AS label, module, pkg, size FROM lineitem JOIN pkg ON pkg = 'part/' || l_partkey WHERE l_linenumber = 1 AND l_quantity >= 45 AND module <> '')"
+_CELL = "cell AS (SELECT DISTINCT l_returnflag || '/' || l_linestatus AS label, module, pkg, size FROM lineitem JOIN pkg ON pkg = 'part/' || l_partkey WHERE module <> '')"
 
 
 @query(_sql(_CELL + " SELECT label, count(DISTINCT module) AS modules, CAST(sum(size) AS BIGINT) AS bytes FROM cell GROUP BY 1"))
@@ -252,14 +252,15 @@ def matrix_modules(spark, sf):
 
 
 def _side(spark, sf, flag):
-    return graph(spark, sf, line_filter=f"l_returnflag = '{flag}'").base.groupBy("module").agg(F.sum("size").alias("size"))
+    return derived.sides(spark, sf).filter(F.col("label") == flag).groupBy("module").agg(F.sum("size").alias("size"))
 
 
 _DIFF = _sql("""e0 AS (SELECT src, dst FROM edge WHERE src NOT LIKE 'supplier/%'),
-el AS (SELECT l_returnflag AS f, 'supplier/' || l_suppkey AS src, 'part/' || l_partkey AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 45 AND l_returnflag IN ('R', 'A')),
+el AS (SELECT l_returnflag AS f, 'supplier/' || l_suppkey AS src, 'part/' || l_partkey AS dst FROM lineitem WHERE l_returnflag IN ('R', 'A')),
 ea AS (SELECT DISTINCT * FROM (SELECT f, src, dst FROM el UNION ALL SELECT f, src, dst FROM e0 CROSS JOIN (SELECT unnest(['R', 'A']) AS f))),
 rr AS (SELECT unnest(['R', 'A']) AS f, 'app/main' AS node UNION SELECT rr.f, dst FROM rr JOIN ea ON node = src AND rr.f = ea.f),
-sz AS (SELECT f, module, CAST(sum(size) AS BIGINT) AS s FROM rr JOIN pkg ON node = pkg GROUP BY 1, 2),
+pn AS (SELECT l_returnflag AS f, 'part/' || l_partkey AS p, count(*) AS n FROM lineitem GROUP BY 1, 2),
+sz AS (SELECT rr.f AS f, module, CAST(sum(size + coalesce(n, 0)) AS BIGINT) AS s FROM rr JOIN pkg ON node = pkg LEFT JOIN pn ON pn.f = rr.f AND p = node GROUP BY 1, 2),
 dm AS (SELECT coalesce(b.module, h.module) AS module, b.s AS b, h.s AS h FROM (SELECT * FROM sz WHERE f = 'R') b FULL JOIN (SELECT * FROM sz WHERE f = 'A') h ON b.module = h.module),
 di AS (SELECT module, CASE WHEN b IS NULL THEN 'added' WHEN h IS NULL THEN 'removed' ELSE 'changed' END AS status, coalesce(b, 0) AS base_size, coalesce(h, 0) AS head_size, coalesce(h, 0) - coalesce(b, 0) AS delta FROM dm WHERE module <> 'app' AND b IS DISTINCT FROM h)""")
 

@@ -11,9 +11,6 @@ from heftgraph.analysis import Analysis, matrix
 from heftgraph.operators import reports
 from heftgraph.operators.budget import Budget
 
-#: Rows of a list in an answer; 'more' tells whether there are others.
-ROWS = 1000
-
 
 def _plain(x):
     if hasattr(x, "asDict"):
@@ -27,9 +24,13 @@ def one(df: DataFrame) -> dict:
     return _plain(df.first())
 
 
-def many(df: DataFrame, *by: str | Column, rows: int = ROWS) -> dict:
-    got = df.orderBy(*by).limit(rows + 1).collect()
-    return {"rows": [_plain(r) for r in got[:rows]], "more": len(got) > rows}
+def many(df: DataFrame, *by: str | Column, limit: int | None = None, offset: int = 0) -> dict:
+    """All rows in order, or limit of them from offset on; 'more' tells whether there are others behind."""
+    ordered = df.orderBy(*by)
+    if offset:
+        ordered = ordered.offset(offset)
+    got = ordered.collect() if limit is None else ordered.limit(limit + 1).collect()
+    return {"rows": [_plain(r) for r in got[:limit]], "more": limit is not None and len(got) > limit}
 
 
 def anatomy(a: Analysis) -> dict:
@@ -68,9 +69,9 @@ def check(a: Analysis, limits: Budget, on_disk: bool = False) -> dict:
     return one(verdict) | {"violations": many(broken, "rule", "module", "limit")}
 
 
-def platform_matrix(cells: dict[str, Analysis]) -> dict:
+def platform_matrix(cells: dict[str, Analysis | Callable[[], Analysis]]) -> dict:
     parts = matrix(cells)
-    return {"modules": many(parts["modules"], "place"), "cells": many(parts["cells"], "label"), "floor": one(parts["floor"])}
+    return {"modules": many(parts["modules"], "place"), "cells": many(parts["cells"], "label"), "floor": one(parts["floor"]), "failed": many(parts["failed"], "label")}
 
 
 TOOLS: dict[str, Callable[..., dict]] = {"anatomy": anatomy, "size_targets": size_targets, "go_floor": go_floor, "locate_cuts": locate_cuts, "measure": measure, "diff": diff, "check": check, "matrix": platform_matrix}
