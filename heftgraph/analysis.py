@@ -37,6 +37,15 @@ class Analysis:
         listed = stored(modules.read(spark, listing))
         return cls(spark, stored(binaries.read(spark, binary)), stored(modules.packages(listed)), stored(modules.imports(listed)), policy, references.read(spark, dump) if dump else None, imports.read(spark, sources) if sources else None)
 
+    def reclassified(self, policy: Policy) -> Analysis:
+        """The same artifacts under another policy; what no policy changes is not made anew."""
+        out = Analysis(self.spark, self.files, self.packages, self.imports, policy, self.dump, self.sources)
+        for name in ("main", "owned", "versions", "size", "coupling"):
+            if name in self.__dict__:
+                out.__dict__[name] = self.__dict__[name]
+        out.__dict__["graph"] = self.graph.reclassified(policy)
+        return out
+
     @cached_property
     def main(self) -> str:
         found = self.packages.filter("is_main").select("module").distinct().limit(1).collect()
@@ -57,7 +66,7 @@ class Analysis:
         roots = modules.roots(self.packages)
         edges = self.imports
         if self.dump is not None:
-            edges = references.narrowed(edges, references.live_packages(self.dump, self.packages.select("pkg"), roots.first()["pkg"]), roots)
+            edges = references.narrowed(edges, references.live_packages(self.dump, self.packages.select("pkg"), roots.agg(F.min("pkg")).first()[0]), roots)
         bytes_ = self.owned.groupBy("pkg").agg(F.sum("bytes").alias("size"))
         sized = self.packages.select("pkg", "module").join(bytes_, "pkg", "left").select("pkg", "module", F.coalesce("size", F.lit(0)).alias("size"))
         return Graph(sized, edges, roots, self.main, self.policy)

@@ -19,6 +19,7 @@ from heftgraph.operators.budget import Budget
 from heftgraph.operators.policy import Policy
 from heftgraph.sources import settings
 
+VERSION = "0.3"
 FORMATS = ("table", "json", "markdown")
 
 
@@ -56,6 +57,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--cell", action="append", default=[], metavar="OS/ARCH[+TAGS]=BINARY,LISTING", required=True)
     p.add_argument("--wide", action="store_true")
     command("modules", "the modules of a listing", build=False).add_argument("--listing", required=True)
+    sub.add_parser("version", help="the version of this program")
+    sub.add_parser("serve", help="answer tool requests from standard input")
     command("config", "the settings in force", build=False).add_argument("--platform", action="append", default=[])
     return top
 
@@ -124,11 +127,19 @@ def run(args: argparse.Namespace, spark) -> tuple[int, str]:
 
 def main(argv: Sequence[str] | None = None, spark=None) -> int:
     args = parser().parse_args(argv)
+    if args.command == "version":
+        print(f"heftgraph {VERSION}")
+        return 0
     try:
         if spark is None:
             from pyspark.sql import SparkSession
 
             spark = SparkSession.builder.appName("heftgraph").getOrCreate()
+        if args.command == "serve":
+            from heftgraph.server import Server
+
+            Server(spark).serve(sys.stdin, sys.stdout)
+            return 0
         code, text = run(args, spark)
     except Exception as e:  # whatever went wrong is told in a line, and by the exit code
         print(f"heftgraph: {texts.first_line(str(e)) or type(e).__name__}", file=sys.stderr)
