@@ -66,6 +66,24 @@ def op13_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.classes(table(spark, sf_dir, "documents"), 2, 80)
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _near_sql(k: int, percent: int, more: str = "") -> str:
+    """Classes of documents whose sets of k-word shingles are similar, from all pairs that share a shingle."""
+    return f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE [array_to_string(list_slice(w, i, i + {k - 1}), ' ') FOR i IN range(1, len(w) - {k - 2})] END)) AS s FROM w),
+        r AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+        t AS (SELECT rep, n, unnest(s) AS x FROM r),
+        p AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p WHERE 100 * c >= {percent} * (na + nb - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        c AS (SELECT rep AS a, rep AS b FROM r UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a),
+        m AS (SELECT a, min(b) AS m FROM c GROUP BY 1)
+        SELECT s.doc_id AS doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m, s.doc_id) AS component_id{more} FROM s LEFT JOIN r ON s.s = r.s LEFT JOIN m ON m.a = r.rep"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_maxscore": op2_maxscore,
@@ -92,4 +110,23 @@ ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op5_ngram_jaccard_join": _near_sql(3, 90),
+    "op13_minhash_forest": _near_sql(2, 80, ", coalesce(m, s.doc_id) = s.doc_id AS kept"),
+    "op12_resampling": """
+        WITH RECURSIVE bit AS (SELECT range AS b, range AS c, 0 AS k FROM range(256) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+        tab AS (SELECT list(c ORDER BY b) AS t FROM bit WHERE k = 8),
+        w AS (SELECT doc_id, false AS target, text FROM documents UNION ALL SELECT item_id, true, text FROM benchmark),
+        x AS (SELECT row_number() OVER () AS i, doc_id, target, regexp_extract_all(translate(coalesce(text, ''), '@UP@', '@LOW@'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM w),
+        f AS (SELECT i, target, unnest(list_concat(w, [w[j] || ' ' || w[j + 1] FOR j IN range(1, len(w))])) AS f FROM x),
+        u AS (SELECT f, hex(encode(f)) AS h FROM f GROUP BY 1),
+        k AS (SELECT f, xor(list_reduce([CAST('0x' || substr(h, CAST(2 * j + 1 AS BIGINT), 2) AS BIGINT) FOR j IN range(len(h) // 2)], lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS b FROM u, tab),
+        n AS (SELECT i, target, b, count(*) AS n FROM f JOIN k ON f.f = k.f GROUP BY 1, 2, 3),
+        c AS (SELECT b, coalesce(sum(n) FILTER (NOT target), 0) AS s, coalesce(sum(n) FILTER (target), 0) AS t FROM n GROUP BY 1),
+        a AS (SELECT sum(s) AS s, sum(t) AS t FROM c),
+        g AS (SELECT b, CAST(floor(1000 * ln(CAST(c.t + 1 AS DOUBLE) * CAST(a.s + 10000 AS DOUBLE) / (CAST(c.s + 1 AS DOUBLE) * CAST(a.t + 10000 AS DOUBLE)))) AS BIGINT) AS g FROM c, a),
+        q AS (SELECT i, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * g) AS BIGINT) AS v FROM n JOIN g ON n.b = g.b WHERE NOT target GROUP BY 1),
+        d AS (SELECT doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(v // n - CASE WHEN v % n < 0 THEN 1 ELSE 0 END, 0) AS weight, CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS h FROM x LEFT JOIN q ON x.i = q.i WHERE NOT target),
+        z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM d),
+        o AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (words >= 20) OVER () AS m FROM z)
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, score, CASE WHEN words >= 20 AND r <= 25 * m // 100 THEN r END AS rank FROM o""".replace("@UP@", _UPPER).replace("@LOW@", _UPPER.lower()),
 }
