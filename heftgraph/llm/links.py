@@ -21,6 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     are met by joins of two stored tables, whose large partitions Spark can split.
     """
     raw = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u is not null and v is not null")
+    if raw.isEmpty():
+        return edges.sparkSession.createDataFrame([], "node long, label long")
     alone = settle(raw.filter("u = v").select("u").distinct(), "loops")
     now = settle(raw.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while not _are_stars(now):
@@ -37,12 +39,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, docs: DataFrame, compare, schema: str, tag: str) -> DataFrame:
-    """What compare (for mapInArrow) makes of pairs(a, b) with text_a and text_b, stored; only texts of paired documents are moved, and they go when it is done."""
+    """What compare (for mapInArrow) makes of pairs(a, b) with text_a and text_b, stored; only texts of paired documents are moved, from docs itself."""
     ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
-    own = settle(texts(docs).join(broadcast_if_small(ids), "doc_id", "left_semi"), "paired-texts")
+    own = texts(docs).join(broadcast_if_small(ids), "doc_id", "left_semi")
     left = own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     out = settle(pairs.join(left, "a").join(right, "b").mapInArrow(compare, schema), tag)
-    forget(ids, own)
+    forget(ids)
     release(pairs.sparkSession)
     return out
