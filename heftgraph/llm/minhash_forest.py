@@ -5,15 +5,18 @@ signature is VALUES minima, and each of TREES orders lists DEPTH of them, the fi
 
 Neighbours: for each order, all paths are sorted, and documents that stand beside each other with a
 common prefix of SHALLOW values or more are candidates; first each document's likeliest neighbour is
-verified, then the neighbours of other classes. Regions: documents that share the prefix are candidates
-too. A region of more than REGION documents is cut by further values, as deep as it needs, down to
-DEPTH; regions of one class need no pairs. At the leaves every pair of different classes is a candidate,
-however many there are.
-
-Candidates whose signatures agree in fewer than AGREE values are left out (a pair of similarity 0.8
-does so once in 10^8 times); the others are verified over their whole texts, exactly. A pair of
-similarity 0.8 in small regions is missed with probability (1 - 0.8^3)^32 = 1e-10; in regions that are
-cut to the last value, with (1 - 0.8^8)^32 = 0.003, if no other document links the two.
+verified, then the one of another class that agrees most, then all others. Regions: documents that share
+the prefix are candidates too. A region of more than REGION documents is cut by further values, as deep
+as it needs, down to DEPTH; regions of one class need no pairs. At the leaves all documents of different
+classes are candidates, however many there are. Leaves are dealt out in blocks, and pairs of blocks are
+held against each other by finer signatures, so that only pairs close to the threshold become rows; of
+those, again, each document's best one is verified first.
+
+Neighbours whose signatures agree in fewer than AGREE values are left out, and so are pairs of finer
+signatures that agree in fewer than FINE_AGREE (a pair of similarity 0.8 does so once in 10^7 times); the
+others are verified over their whole texts, exactly. A pair of similarity 0.8 in small regions is missed
+with probability (1 - 0.8^3)^32 = 1e-10; in regions that are cut to the last value, with (1 - 0.8^8)^32 =
+0.003, if no other document links the two.
 
 Results for odd input: null, empty and wordless texts have no shingles and stay alone; repeated rows of
 a document appear each; rows of one doc_id with different texts are one document to links; a null doc_id
@@ -44,22 +47,39 @@ SHALLOW = 3
 REGION = 64
 #: Of VALUES values, those that agree for a pair of similarity 0.8, less 5.6 standard deviations.
 AGREE = 76
+#: Bits of a finer signature, one a value, and those that agree for a pair of similarity 0.8 (nine tenths), less 5 standard deviations.
+FINE, FINE_AGREE = 2048, 1775
+#: Turns in which only the best candidates in leaves are verified, before all are.
+BEST_TURNS = 2
+#: Documents of a block of a leaf: 256 finer signatures are 64 kB.
+PART = 256
 #: Shingles whose hashes under all functions are held at once: 4 MB.
 BLOCK = 4096
 
 _rng = np.random.default_rng(20240613)
-_MULTIPLY = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
+_MULTIPLY = _rng.integers(1, 1 << 63, VALUES + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, VALUES + FINE, dtype=np.uint64)
 #: The first four values of an order are in no other order's first four.
 _ORDERS = np.array([[(4 * t + j) % VALUES if j < 4 else (4 * t + 4 * j * j + j) % VALUES for j in range(DEPTH)] for t in range(TREES)])
 
 
+def _minima(tokens: np.ndarray, first: int, n: int) -> np.ndarray:
+    """The minimum of each of n hash functions over a set, mixed."""
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    step = BLOCK * VALUES // n
+    for i in range(0, len(tokens), step):
+        np.minimum(least, ((tokens[i : i + step, None] ^ _ADD[first : first + n]) * _MULTIPLY[first : first + n]).min(axis=0), out=least)
+    return mix(least)
+
+
 def signature(tokens: np.ndarray) -> np.ndarray:
     """16 bits of the minimum of each hash function over a set."""
-    least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(tokens), BLOCK):
-        np.minimum(least, ((tokens[i : i + BLOCK, None] ^ _ADD) * _MULTIPLY).min(axis=0), out=least)
-    return mix(least).astype(np.uint16)
+    return _minima(tokens, 0, VALUES).astype(np.uint16)
+
+
+def fine_signature(tokens: np.ndarray) -> np.ndarray:
+    """One bit of the minimum of each further hash function over a set, packed."""
+    return np.packbits((_minima(tokens, VALUES, FINE) & np.uint64(1)).astype(np.uint8))
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -87,7 +107,7 @@ def paths(signed: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                values = _fixed(part, "values", 2 * VALUES).copy().view(np.uint16)
+                values = _rows_of(column(part, "values"), np.uint16)
                 each = np.empty((len(values), TREES, 1 + 2 * DEPTH), np.uint8)
                 each[:, :, 0] = np.arange(TREES)
                 each[:, :, 1:] = np.ascontiguousarray(values[:, _ORDERS].astype(">u2")).view(np.uint8)
@@ -136,25 +156,33 @@ def neighbours(forest: DataFrame) -> DataFrame:
     return out
 
 
-def likeliest(pairs: DataFrame) -> DataFrame:
-    """Of pairs(a, b, times, depth) those that are the best one of a or of b."""
-    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "times", "depth").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "times", "depth"))
-    best = both.groupBy("x").agg(F.max_by("y", F.struct("times", "depth", -F.col("y"))).alias("y"))
+def _best(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Of pairs(a, b, ...) those that are the best one of a or of b."""
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), *by).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), *by))
+    best = both.groupBy("x").agg(F.max_by("y", F.struct(*by, -F.col("y"))).alias("y"))
     return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs(a, b) whose signatures agree in AGREE values or more."""
+def agreeing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values of two signatures agree (the last axis: uint16), or how many bits of two finer ones (uint64)."""
+    if left.dtype == np.uint64:
+        return FINE - np.bitwise_count(left ^ right).sum(axis=-1, dtype=np.int64)
+    return (left == right).sum(axis=-1)
+
+
+def likely(pairs: DataFrame, signed: DataFrame, least: int = AGREE, kind=np.uint16) -> DataFrame:
+    """a, b, agree: the pairs(a, b) whose signatures (values of signed) agree in so many values or more."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            left, right = (_fixed(batch, c, 2 * VALUES).copy().view(np.uint16) for c in ("left", "right"))
-            good = pa.array((left == right).sum(axis=1) >= AGREE)
-            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["a", "b"]).filter(good)
+            if batch.num_rows:
+                left, right = (_rows_of(column(batch, c), kind) for c in ("left", "right"))
+                agree = agreeing(left, right)
+                yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(agree.astype(np.int64))], names=["a", "b", "agree"]).filter(pa.array(agree >= least))
 
     left = signed.select(F.col("doc_id").alias("a"), F.col("values").alias("left"))
     right = signed.select(F.col("doc_id").alias("b"), F.col("values").alias("right"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, agree long").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
 def _joined(label: DataFrame, found: DataFrame) -> DataFrame:
@@ -171,37 +199,95 @@ def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
     few = label.filter("node <> label")
     la, lb = (small(few.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), 16) for c in ("a", "b"))
     joined = pairs.join(la, "a", "left").join(lb, "b", "left")
-    return joined.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    return joined.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select(pairs.columns)
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    few = label.filter("node <> label").withColumnRenamed("node", "doc_id")
+    return rows.join(small(few, 16), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
 
 
 def leaves(forest: DataFrame, label: DataFrame) -> DataFrame:
-    """prefix, doc_id, label, top (the most frequent label of that leaf) of all leaves with several classes.
+    """prefix, doc_id of all leaves with several classes.
 
     A region with several classes is cut by further values while it has more than REGION documents.
     """
-    few = label.filter("node <> label").withColumnRenamed("node", "doc_id")
-    rows = forest.join(small(few, 16), "doc_id", "left").select("path", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    rows = _labelled(forest, label)
     done = None
     for depth in range(SHALLOW, DEPTH + 1):
         rows = rows.withColumn("prefix", F.expr(f"substring(path, 1, {1 + 2 * depth})"))
         sizes = settle(rows.groupBy("prefix").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("prefix", "c"), "regions")
-        inside = settle(rows.join(small(sizes, 64), "prefix"), "inside")
-        here = inside.filter(F.lit(depth == DEPTH) | (F.col("c") <= REGION)).select("prefix", "doc_id", "label")
+        inside = settle(rows.join(small(sizes, 64), "prefix").select("path", "prefix", "doc_id", "label", "c"), "inside")
+        here = inside.filter(F.lit(depth == DEPTH) | (F.col("c") <= REGION)).select("prefix", "doc_id")
         done = here if done is None else done.unionByName(here)
         rows = inside.filter(F.col("c") > REGION).select("path", "doc_id", "label")
         if rows.isEmpty():
             break
-    done = settle(done, "leaves")
-    own = done.groupBy("prefix", "label").agg(F.count("*").alias("c")).groupBy("prefix").agg(F.max_by("label", F.struct("c", "label")).alias("top"))
-    return done.join(own, "prefix")
+    return settle(done, "leaves")
+
+
+def fine_signatures(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, values (the finer signature) of the documents ids(doc_id); of a doc_id with several texts, the set of all."""
 
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = shingle_sets(*utf8(column(part, "text")), k)
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([fine_signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "values"])
+
+    own = texts(docs).join(broadcast_if_small(ids), "doc_id", "left_semi")
+    return settle(own.mapInArrow(run, "doc_id long, values binary").filter("values is not null").distinct(), "fine")
+
+
+def leaf_blocks(found: DataFrame, label: DataFrame, fine: DataFrame) -> DataFrame:
+    """prefix, i (block), top (whether its documents are of the leaf's most frequent class), docs (doc_id, label, values)."""
+    rows = settle(_labelled(found, label), "leaf-rows")
+    own = rows.groupBy("prefix", "label").agg(F.count("*").alias("c")).groupBy("prefix").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels"), F.sum("c").alias("c"))
+    mixed = settle(own.filter("labels > 1"), "mixed")
+    dealt = rows.join(small(mixed, 64), "prefix").withColumn("top", F.col("label") == F.col("most"))
+    block = F.expr(f"pmod(xxhash64(doc_id), c div {PART} + 1)").cast("int")
+    return dealt.join(fine, "doc_id").groupBy("prefix", "top", block.alias("i")).agg(F.collect_list(F.struct("doc_id", "label", "values")).alias("docs"))
 
-def leaf_pairs(found: DataFrame) -> DataFrame:
-    """a < b of all documents of one leaf and different classes, once."""
-    x = found.filter("label <> top").select("prefix", F.col("doc_id").alias("x"), F.col("label").alias("lx"))
-    y = found.select("prefix", F.col("doc_id").alias("y"), F.col("label").alias("ly"), "top")
-    pairs = x.join(y, "prefix").filter((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("top")) | (F.col("x") < F.col("y"))))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+def close_pairs(blocks: DataFrame, best: bool) -> DataFrame:
+    """a, b, agree of the documents of different classes in one leaf whose finer signatures are close; with best, the best one of each document and block."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                sides = []
+                for c in ("left", "right"):
+                    rows = column(batch, c).slice(n, 1).flatten()
+                    sides.append((rows.field("doc_id").to_numpy(), rows.field("label").to_numpy(), _rows_of(rows.field("values"), np.uint64)))
+                (da, la, va), (db, lb, vb) = sides
+                yield from _close(da, la, va, db, lb, vb, best)
+
+    x = blocks.select("prefix", F.col("top").alias("tx"), F.col("i").alias("ix"), F.col("docs").alias("left"))
+    y = blocks.select("prefix", F.col("top").alias("ty"), F.col("i").alias("iy"), F.col("docs").alias("right"))
+    # documents of the most frequent class are met by the others alone, two blocks of others once
+    pairs = x.join(y, "prefix").filter("not tx and (ty or ix <= iy)").select("left", "right")
+    found = pairs.mapInArrow(run, "a long, b long, agree long")
+    return found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+
+
+def _rows_of(values: pa.Array, kind) -> np.ndarray:
+    return utf8(values)[0].copy().view(kind).reshape(len(values), -1)
+
+
+def _close(da, la, va, db, lb, vb, best: bool) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(da), 32):  # 2 MB of differences at once
+        own = slice(at, at + 32)
+        agree = agreeing(va[own, None, :], vb[None, :, :])
+        agree[la[own, None] == lb[None, :]] = 0
+        if best:
+            i, j = np.arange(len(agree)), agree.argmax(axis=1)
+            good = agree[i, j] >= FINE_AGREE
+            i, j = i[good], j[good]
+        else:
+            i, j = np.nonzero(agree >= FINE_AGREE)
+        if len(i):
+            p, q = da[own][i], db[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(agree[i, j].astype(np.int64))], names=["a", "b", "agree"])
 
 
 def classes(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
@@ -219,14 +305,37 @@ def classes(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
     forest = settle(paths(signed), "forest")
     beside = neighbours(forest)
     release(spark)
-    tried = settle(likeliest(beside), "tried")
-    label = _joined(label, verified(settle(likely(tried, signed), "likely"), docs, k, percent))
-    for step in ("beside", "leaves"):
-        pairs = beside.select("a", "b") if step == "beside" else leaf_pairs(leaves(forest, label))
-        pairs = settle(_across(pairs, label).join(tried, ["a", "b"], "left_anti"), "tried")
-        label = _joined(label, verified(settle(likely(pairs, signed), "likely"), docs, k, percent))
-        tried = tried.unionByName(pairs)
+    tried = spark.createDataFrame([], "a long, b long")
+
+    def verify(pairs: DataFrame) -> bool:
+        """Whether any of the pairs(a, b), which haven't been tried, is linked; label and tried follow."""
+        nonlocal label, tried
+        pairs = settle(pairs.select("a", "b"), "tried")
+        if pairs.isEmpty():
+            return False
+        links = verified(pairs, docs, k, percent)
+        found = not links.isEmpty()
+        label, tried = _joined(label, links), tried.unionByName(pairs)
         release(spark)
+        return found
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        return pairs.join(tried, ["a", "b"], "left_anti")
+
+    verify(likely(_best(beside, ["times", "depth"]), signed))
+    other = settle(likely(untried(_across(beside.select("a", "b"), label)), signed), "likely")
+    verify(_best(other, ["agree"]))
+    other = settle(untried(_across(other.select("a", "b"), label)), "others")
+    found = leaves(forest, label)
+    ids = settle(found.select("doc_id").unionByName(other.select(F.col("a").alias("doc_id"))).unionByName(other.select(F.col("b").alias("doc_id"))).distinct(), "close-ids")
+    fine = fine_signatures(ids, docs, k)
+    verify(likely(other, fine, FINE_AGREE, np.uint64))
+    for _ in range(BEST_TURNS):
+        best = settle(untried(close_pairs(leaf_blocks(found, label, fine), True)), "best")
+        if not verify(_best(best, ["agree"])):
+            break
+    verify(untried(close_pairs(leaf_blocks(found, label, fine), False)))
+    forget(other, found, ids, fine)
     forget(forest, beside, tried)
     named = settle(reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("label", "rep").alias("label")), "named")
     forget(reps)
