@@ -240,17 +240,20 @@ def fine_signatures(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def leaf_blocks(found: DataFrame, label: DataFrame, fine: DataFrame) -> DataFrame:
-    """prefix, i (block), top (whether its documents are of the leaf's most frequent class), docs (doc_id, label, values)."""
+    """prefix, i (block), top (whether its documents are of the leaf's most frequent class), docs (doc_id, label, values, homes: hashes of the document's leaves by order, 0 for none)."""
     rows = settle(_labelled(found, label), "leaf-rows")
     own = rows.groupBy("prefix", "label").agg(F.count("*").alias("c")).groupBy("prefix").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels"), F.sum("c").alias("c"))
     mixed = settle(own.filter("labels > 1"), "mixed")
     dealt = rows.join(small(mixed, 64), "prefix").withColumn("top", F.col("label") == F.col("most"))
     block = F.expr(f"pmod(xxhash64(doc_id), c div {PART} + 1)").cast("int")
-    return dealt.join(fine, "doc_id").groupBy("prefix", "top", block.alias("i")).agg(F.collect_list(F.struct("doc_id", "label", "values")).alias("docs"))
+    order = F.conv(F.hex(F.substring("prefix", 1, 1)), 16, 10).cast("int")
+    by_order = found.withColumn("order", order).groupBy("doc_id").agg(*(F.coalesce(F.max(F.when(F.col("order") == t, F.xxhash64("prefix"))), F.lit(0)).alias(f"h{t}") for t in range(TREES)))
+    homes = by_order.select("doc_id", F.array(*(f"h{t}" for t in range(TREES))).alias("homes"))
+    return dealt.join(fine, "doc_id").join(homes, "doc_id").groupBy("prefix", "top", block.alias("i")).agg(F.collect_list(F.struct("doc_id", "label", "values", "homes")).alias("docs"))
 
 
 def close_pairs(blocks: DataFrame, best: bool) -> DataFrame:
-    """a, b, agree of the documents of different classes in one leaf whose finer signatures are close; with best, the best one of each document and block."""
+    """a, b, agree of the documents of different classes in one leaf whose finer signatures are close, from the first order that has both in one leaf; with best, the best one of each document and block."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -258,14 +261,14 @@ def close_pairs(blocks: DataFrame, best: bool) -> DataFrame:
                 sides = []
                 for c in ("left", "right"):
                     rows = column(batch, c).slice(n, 1).flatten()
-                    sides.append((rows.field("doc_id").to_numpy(), rows.field("label").to_numpy(), _rows_of(rows.field("values"), np.uint64)))
-                (da, la, va), (db, lb, vb) = sides
-                yield from _close(da, la, va, db, lb, vb, best)
+                    sides.append((rows.field("doc_id").to_numpy(), rows.field("label").to_numpy(), _rows_of(rows.field("values"), np.uint64), rows.field("homes").flatten().to_numpy().reshape(-1, TREES)))
+                (da, la, va, ha), (db, lb, vb, hb) = sides
+                yield from _close(da, la, va, ha, db, lb, vb, hb, column(batch, "prefix")[n].as_py()[0], best)
 
     x = blocks.select("prefix", F.col("top").alias("tx"), F.col("i").alias("ix"), F.col("docs").alias("left"))
     y = blocks.select("prefix", F.col("top").alias("ty"), F.col("i").alias("iy"), F.col("docs").alias("right"))
     # documents of the most frequent class are met by the others alone, two blocks of others once
-    pairs = x.join(y, "prefix").filter("not tx and (ty or ix <= iy)").select("left", "right")
+    pairs = x.join(y, "prefix").filter("not tx and (ty or ix <= iy)").select("prefix", "left", "right")
     found = pairs.mapInArrow(run, "a long, b long, agree long")
     return found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
@@ -274,7 +277,7 @@ def _rows_of(values: pa.Array, kind) -> np.ndarray:
     return utf8(values)[0].copy().view(kind).reshape(len(values), -1)
 
 
-def _close(da, la, va, db, lb, vb, best: bool) -> Iterator[pa.RecordBatch]:
+def _close(da, la, va, ha, db, lb, vb, hb, order: int, best: bool) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(da), 32):  # 2 MB of differences at once
         own = slice(at, at + 32)
         agree = agreeing(va[own, None, :], vb[None, :, :])
@@ -285,6 +288,10 @@ def _close(da, la, va, db, lb, vb, best: bool) -> Iterator[pa.RecordBatch]:
             i, j = i[good], j[good]
         else:
             i, j = np.nonzero(agree >= FINE_AGREE)
+        # a pair that an earlier order has in one leaf is that order's
+        left = ha[own][i, :order]
+        new = ~((left == hb[j, :order]) & (left != 0)).any(axis=1)
+        i, j = i[new], j[new]
         if len(i):
             p, q = da[own][i], db[j]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(agree[i, j].astype(np.int64))], names=["a", "b", "agree"])
