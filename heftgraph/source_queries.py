@@ -33,6 +33,16 @@ def import_sites(spark, sf):
     return imports.import_sites(files).filter("import like 'region/%'").withColumn("symbols", F.array_join("symbols", ","))
 
 
+@query("""SELECT 'app/' || p_partkey || '.go' AS path, CASE WHEN p_partkey % 2 = 0 THEN 6 ELSE 4 END AS line, 'brand/' || p_size AS import, 'b' AS alias,
+CASE WHEN p_partkey % 3 = 0 THEN 'Options,Text' || p_partkey ELSE 'Options' END AS symbols FROM part""")
+def import_sites_constants(spark, sf):
+    """One file a part, whose comments and constants hold imports and names that don't count."""
+    head = "concat('package app\n\n', if(p_partkey % 2 = 0, '/* import b \"brand/', '// import b \"brand/'), p_size, if(p_partkey % 2 = 0, '\"\n\n*/\n', '\"\n'), 'import b \"brand/', p_size, '\"\n')"
+    body = """concat('var s = `\nimport c "c/d"\n', p_name, ' b.Raw // `\n', 'const q, r = "/* \\\\\\\\" + "b.Quoted \\\\"", \\'"\\'\n', 'func F(o ...b.Options) { ', if(p_partkey % 3 = 0, concat('b.\n\t\tText', p_partkey), 'x.b.Other'), '() } // "\n')"""
+    files = derived.read(spark, sf, "part").select(F.expr("concat('app/', p_partkey, '.go')").alias("path"), F.expr(f"concat({head}, {body})").alias("text"))
+    return imports.import_sites(files).withColumn("symbols", F.array_join("symbols", ","))
+
+
 @query("""SELECT n_nationkey AS build_id, os, arch FROM nation, (VALUES ('linux'), ('darwin'), ('windows')) o(os), (VALUES ('amd64'), ('arm64')) a(arch)
 WHERE n_nationkey % 3 <> 0 AND NOT (n_nationkey % 3 = 1 AND os = 'windows') AND NOT (n_nationkey % 2 = 0 AND os = 'darwin' AND arch = 'amd64')
 UNION ALL SELECT n_nationkey, 'linux', 'arm64' FROM nation WHERE n_nationkey % 3 = 0""")

@@ -1,7 +1,8 @@
 """Go source trees: which files import a module, and the names that they take from it.
 
-Everything is built from string functions, so files are scanned in the JVM, in parallel. Comments
-are blanked by pattern; one inside a string constant hides what follows it on the line.
+Everything is built from string functions, so files are scanned in the JVM, in parallel. A file is cut
+into comments, string, raw string and rune constants, and what stands between them; line ends are kept,
+so that places in what is left are places in the file.
 """
 
 from __future__ import annotations
@@ -26,6 +27,33 @@ def sources(files: DataFrame) -> DataFrame:
     return files.filter(~F.col("path").rlike(SKIPPED))
 
 
+#: Comments, constants and runs of other text. No group is repeated, so a long constant needs no stack.
+_TOKEN = r"""(?s)//[^\n]*|/\*.*?(?:\*/|\z)|"[^"\n]*"|`[^`]*`?|'[^'\n]*'|[^/"`']+|."""
+
+
+def _tokens(text: Column) -> Column:
+    """The pieces of a file; of constants, the escapes of quotes and of backslashes are left out."""
+    return F.regexp_extract_all(F.regexp_replace(text, r"""\\[\\"']""", ""), F.lit(_TOKEN), 0)
+
+
+def _line_ends(token: Column) -> Column:
+    return F.regexp_replace(token, r"[^\n]+", " ")
+
+
+def _code(tokens: Column) -> Column:
+    """A file without comments, and without constants of several lines, which aren't import paths."""
+    kept = lambda t: F.when(t.rlike(r"^(//|/\*)|(?s)^`.*\n"), _line_ends(t)).otherwise(t)
+    return F.array_join(F.transform(tokens, kept), "")
+
+
+def _uses(tokens: Column) -> Column:
+    """Array of (a, s): the exported names s that are taken from a name a, outside comments and constants."""
+    bare = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^(//|/\\*|[\"'`])"), F.when(t.rlike("^[\"'`]"), F.lit('""')).otherwise(_line_ends(t))).otherwise(t)), "")
+    joined = F.regexp_replace(F.regexp_replace(bare, r"\.{3}", " "), r"[ \t]*\.\s*", ".")
+    rx = F.lit(r"(?<![\w.])(\w+)\.(\p{Lu}\w*)")
+    return F.array_distinct(F.arrays_zip(F.regexp_extract_all(joined, rx, 1).alias("a"), F.regexp_extract_all(joined, rx, 2).alias("s")))
+
+
 def _specs(text: Column) -> Column:
     """All import lines: those of blocks, and single ones."""
     blocks = F.regexp_extract_all(text, F.lit(r"(?ms)^import\s*\((.*?)\)"), 1)
@@ -41,11 +69,10 @@ def import_sites(files: DataFrame) -> DataFrame:
 
     Blank and dot imports have the alias _ or . and no symbols; line counts from 1.
     """
-    code = F.regexp_replace(F.regexp_replace("text", r"(?s)/\*.*?\*/", " "), r"(?m)(?<![:\w\"])//.*$", "")
-    uses = F.arrays_zip(F.regexp_extract_all("code", F.lit(r"(?<![\w.])(\w+)\.(\p{Lu}\w*)"), 1).alias("a"), F.regexp_extract_all("code", F.lit(r"(?<![\w.])(\w+)\.(\p{Lu}\w*)"), 2).alias("s"))
+    cut = files.select("path", _tokens(F.col("text")).alias("tokens")).select("path", _code(F.col("tokens")).alias("code"), _uses(F.col("tokens")).alias("uses"))
     # 'name|path' of every line that may be an import, to find the lines again
-    lines = F.transform(F.split("text", r"\r?\n"), lambda line: F.concat(F.regexp_extract(line, _SPEC, 1), F.lit("|"), F.regexp_extract(line, _SPEC, 2)))
-    found = files.select("path", lines.alias("lines"), code.alias("code")).select("path", "lines", F.array_distinct(uses).alias("uses"), F.explode(_specs(F.col("code"))).alias("spec"))
+    lines = F.transform(F.split("code", r"\r?\n"), lambda line: F.concat(F.regexp_extract(line, _SPEC, 1), F.lit("|"), F.regexp_extract(line, _SPEC, 2)))
+    found = cut.select("path", lines.alias("lines"), "uses", F.explode(_specs(F.col("code"))).alias("spec"))
     named = found.select("path", "lines", "uses", F.regexp_extract("spec", _SPEC, 1).alias("given"), F.regexp_extract("spec", _SPEC, 2).alias("import")).filter("import <> ''")
     named = named.withColumn("alias", F.when(F.col("given") != "", F.col("given")).otherwise(package_alias(F.col("import"))))
     symbols = F.array_sort(F.array_distinct(F.transform(F.filter("uses", lambda u: u["a"] == F.col("alias")), lambda u: u["s"])))
@@ -90,9 +117,6 @@ def coupling(files: DataFrame, packages: DataFrame, main: str) -> DataFrame:
     local = code.withColumn("local", F.when(given | (F.coalesce("name", F.lit("")) == ""), F.col("alias")).otherwise(F.col("name")))
     sites = local.groupBy("module").agg(F.count("*").alias("import_sites"), F.count_distinct(directory(F.col("path"))).alias("importing_packages"))
     names = local.filter("local not in ('_', '.')").groupBy("path", "local").agg(F.max_by("module", "line").alias("module"))
-    text = F.regexp_replace(F.regexp_replace("text", r"(?s)/\*.*?\*/", " "), r"(?m)(?<![:\w\"])//.*$", "")
-    rx = r"(?<![\w.])(\w+)\.(\p{Lu}\w*)"
-    pairs = F.array_distinct(F.arrays_zip(F.regexp_extract_all(text, F.lit(rx), 1).alias("a"), F.regexp_extract_all(text, F.lit(rx), 2).alias("s")))
-    used = files.select("path", F.explode(pairs).alias("u")).select("path", F.col("u.a").alias("local"), F.col("u.s").alias("symbol"))
+    used = files.select("path", F.explode(_uses(_tokens(F.col("text")))).alias("u")).select("path", F.col("u.a").alias("local"), F.col("u.s").alias("symbol"))
     symbols = used.join(names, ["path", "local"]).groupBy("module").agg(F.count_distinct(F.concat_ws(".", "local", "symbol")).alias("distinct_symbols"))
     return sites.join(symbols, "module", "left").select("module", "import_sites", "importing_packages", F.coalesce("distinct_symbols", F.lit(0)).alias("distinct_symbols"))

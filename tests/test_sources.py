@@ -9,7 +9,7 @@ from heftgraph.sources import imports, modules, platforms
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["listed_modules", "listed_imports", "import_sites", "release_cells", "joined_modules", "report_labels"])
+@pytest.mark.parametrize("name", ["listed_modules", "listed_imports", "import_sites", "import_sites_constants", "release_cells", "joined_modules", "report_labels"])
 def test_equal_to_sql(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "supplier", "part"):
@@ -44,6 +44,41 @@ def test_source_trees(spark, tmp_path):
     assert [tuple(r) for r in got] == [("x/a.go", 2, "m.org/lib", "lib", ["A", "B"]), ("x/a.go", 3, "m.org/lib/side", "_", [])]
 
 
+_SOURCE = """package x
+
+// import "m.org/lib"
+/*
+import "m.org/lib"
+*/
+import "m.org/lib"
+import r `m.org/raw`
+
+const a = "// " + lib.A + "/*"
+const b, c = '"', '\\''
+var d = `
+import "m.org/none"
+lib.Raw \\` + lib.B /* lib.Gone
+lib.Gone */ + "\\" lib.Quoted \\\\"
+func f(o ...lib.Option) []r.T { return x.lib.Field + lib.
+	C("http://lib.Host") }
+"""
+
+
+def test_comments_and_constants(spark):
+    files = spark.createDataFrame([("x.go", _SOURCE), ("crlf.go", _SOURCE.replace("\n", "\r\n")), ("empty.go", ""), ("null.go", None), ("open.go", 'package x\nimport "m.org/lib"\nvar a = `lib.A')], "path string, text string")
+    got = [tuple(r) for r in imports.import_sites(files).orderBy("path", "line").collect()]
+    want = [(7, "m.org/lib", "lib", ["A", "B", "C", "Option"]), (8, "m.org/raw", "r", ["T"])]
+    assert got == [("crlf.go", *w) for w in want] + [("open.go", 2, "m.org/lib", "lib", [])] + [("x.go", *w) for w in want]
+    packages = spark.createDataFrame([("m.org/lib", "m.org", "lib"), ("m.org/raw", "m.org", "raw")], "pkg string, module string, name string")
+    assert [tuple(r) for r in imports.coupling(files, packages, "main").collect()] == [("m.org", 5, 1, 5)]
+
+
+def test_long_constants(spark):
+    text = 'package x\nimport "m.org/lib"\nvar a = "' + "\\\\x00\\\\\"" * 200_000 + '" + lib.A /*' + "*\n" * 200_000 + "*/ + lib.B + `" + "\"'" * 200_000 + "` + lib.C\n"
+    got = imports.import_sites(spark.createDataFrame([("x.go", text)], "path string, text string")).collect()
+    assert [tuple(r) for r in got] == [("x.go", 2, "m.org/lib", "lib", ["A", "B", "C"])]
+
+
 def test_platforms_and_rendering(spark):
     assert platforms.parse("linux/arm64+a, b") == ("linux", "arm64", ["a", "b"])
     with pytest.raises(ValueError):
