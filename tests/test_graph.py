@@ -209,3 +209,18 @@ def test_floor_and_diff(spark):
     s = "module string, size long"
     before, after = spark.createDataFrame([("home", 1), ("a", 5), ("b", 6), ("c", 7)], s), spark.createDataFrame([("home", 2), ("a", 5), ("b", 4), ("d", 9)], s)
     assert rows(diff(before, after, "home"), "module", "status", "delta") == [("b", "changed", -2), ("c", "removed", -7), ("d", "added", 9)]
+
+
+def test_joins_follow_an_edge_once_for_all_cuts(spark, tmp_path, monkeypatch):
+    """More cuts than a word has bits; the rows of a round don't grow with the cuts."""
+    from heftgraph.operators import reach as module
+
+    d = Drawn(29)
+    g = d.graph(spark, False)
+    chosen = [(f"c{k}", t) for k in range(70) for t in (d.targets[k % len(d.targets)], None)]
+    assert g.base.count() and g.hops.count()
+    monkeypatch.setattr(module, "root", lambda spark: tmp_path.as_uri())
+    freed = {r["cut_id"]: r["bytes"] for r in g.freed_by(spark.createDataFrame(chosen, "cut_id string, target string")).collect()}
+    assert freed == {c: d.bytes(d.freed({t})) for c, t in chosen if t}
+    (path,) = [p for p in tmp_path.iterdir() if p.name.startswith("reached-")]
+    assert spark.read.parquet(str(path / "round=1")).count() <= 2 * len(d.module)
