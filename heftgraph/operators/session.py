@@ -65,7 +65,7 @@ def plan_freed(g: Graph, plan: list[str]) -> DataFrame:
             pairs.append((k, f"w{k}/{j}", other))
     spark = g.roots.sparkSession
     unit = F.when(F.col("module") == "", F.col("pkg")).otherwise(F.col("module")).alias("unit")
-    freed = stored(g.leaving(_cuts(g, cuts)).groupBy("cut_id", unit).agg(F.sum("size").alias("bytes")))
+    freed = stored(g.freed_sums(_cuts(g, cuts), unit))
     at = freed.filter("startswith(cut_id, 'p')").select(F.expr("cast(substring(cut_id, 2) as int)").alias("step"), "unit", "bytes")
     earlier = at.select((F.col("step") + 1).alias("step"), "unit", F.col("bytes").alias("was"))
     gain = at.join(earlier, ["step", "unit"], "left").withColumn("bytes", F.col("bytes") - F.coalesce("was", F.lit(0))).filter("bytes > 0").select("step", "unit", "bytes")

@@ -224,3 +224,25 @@ def test_joins_follow_an_edge_once_for_all_cuts(spark, tmp_path, monkeypatch):
     assert freed == {c: d.bytes(d.freed({t})) for c, t in chosen if t}
     (path,) = [p for p in tmp_path.iterdir() if p.name.startswith("reached-")]
     assert spark.read.parquet(str(path / "round=1")).count() <= 2 * len(d.module)
+
+
+def test_many_cuts_take_one_walk(spark, monkeypatch):
+    """What cuts free follows from the entries that they leave open, not from a walk a cut; beyond the bound each is walked."""
+    from heftgraph.operators import entries, prune
+
+    d = Drawn(29)
+    g = d.graph(spark, False)
+    chosen = {str(k): gone for k, gone in enumerate([t for n in range(len(d.targets) + 1) for t in combinations(d.targets, n)])}
+    cuts = spark.createDataFrame([(k, t) for k, gone in chosen.items() for t in (gone or (None,))], "cut_id string, target string")
+    want = {k: (d.bytes(d.freed(gone)), len(d.freed(gone))) for k, gone in chosen.items()}
+    walks = []
+    walk = entries.reach_bits
+    monkeypatch.setattr(entries, "reach_bits", lambda *a: walks.append(a) or walk(*a))
+    monkeypatch.setattr(prune, "reach_bits", lambda *a: 1 / 0)
+    assert {r["cut_id"]: (r["bytes"], r["packages"]) for r in g.freed_by(cuts).collect()} == want
+    assert {(r["cut_id"], r["module"]): r["bytes"] for r in g.freed_sums(cuts, "module").collect()}.keys() == {(k, d.module[p]) for k, gone in chosen.items() for p in d.freed(gone)}
+    assert len(walks) == 1
+    monkeypatch.setattr(prune, "reach_bits", walk)
+    monkeypatch.setattr(prune, "MOST_ENTRIES", 1)
+    few = cuts.filter("cut_id < '2'")
+    assert {r["cut_id"]: (r["bytes"], r["packages"]) for r in d.graph(spark, False).freed_by(few).collect()} == {k: v for k, v in want.items() if k < "2"}
