@@ -11,13 +11,10 @@ Symbol = tuple[str, int, int]
 
 def line_table(functions: list[tuple[str, int]], text: int) -> bytes:
     """A table of the newest kind: (name, bytes) of functions that lie one after the other."""
-    names, places = b"", []
-    for name, _ in functions:
-        places.append(len(names))
-        names += name.encode() + b"\0"
+    names, places = _strings([name for name, _ in functions], b"")
     head = 8 + 8 * 8
     first = head + len(names) + -(head + len(names)) % 8
-    entry, rows, records = 0, b"", b""
+    entry, rows, records = 0, bytearray(), bytearray()
     at = 4 * (2 * len(functions) + 1)
     for place, (_, size) in zip(places, functions, strict=True):
         rows += struct.pack("<II", entry, at + len(records))
@@ -41,11 +38,11 @@ def build_info(system: str, arch: str, package: str, module: str) -> bytes:
 
 
 def _strings(names: list[str], start: bytes = b"\0") -> tuple[bytes, list[int]]:
-    out, places = start, []
+    out, places = bytearray(start), []  # grows in place
     for name in names:
         places.append(len(out))
         out += name.encode() + b"\0"
-    return out, places
+    return bytes(out), places
 
 
 def elf(sections: list[Section], symbols: list[Symbol], base: int = 0x1000) -> bytes:
@@ -96,17 +93,18 @@ def pe(sections: list[Section], symbols: list[Symbol]) -> bytes:
     """Symbols are (name, section from 0, address in it)."""
     start = 0x40 + 4 + 20 + 112 + 40 * len(sections)
     rows, body, addr = b"", b"", 0x1000
-    strings = b"\0\0\0\0"
+    strings = bytearray(4)
     for name, length, backed, raw in sections:
         stored = raw.ljust(length, b"\0") if backed else b""
         rows += struct.pack("<8sIIIIIIHHI", name.encode(), length, addr, len(stored), start + len(body) if backed else 0, 0, 0, 0, 0, 0)
         body += stored
         addr += length + 0x1000
-    table = b""
+    table = bytearray()
     for name, sect, value in symbols:
         raw = name.encode()
         if len(raw) > 8:
-            place, strings = len(strings), strings + raw + b"\0"
+            place = len(strings)
+            strings += raw + b"\0"
             raw = struct.pack("<II", 0, place)
         table += struct.pack("<8sIhHBB", raw, value, sect + 1, 0x20, 2, 1) + b"\0" * 18  # each with an auxiliary record
     coff = struct.pack("<HHIIIHH", 0x8664, len(sections), 0, start + len(body), 2 * len(symbols), 112, 2)

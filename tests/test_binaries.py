@@ -127,3 +127,17 @@ def test_coupling_names_and_lines(spark):
     assert sorted(map(tuple, imports.coupling(files, pkgs, "home").collect())) == [("m.org/lib/v2", 3, 2, 2), ("n.org/dot", 2, 1, 1)]
     sites = imports.sites_of(files, "n.org/dot", spark.createDataFrame([("home", ".")], "module string, dir string"))
     assert sorted((r["path"], r["line"], r["alias"], r["from_package"]) for r in sites.collect()) == [("b.go", 4, ".", "home"), ("b.go", 5, "nm", "home")]
+
+
+def test_made_up_executables_take_time_in_proportion():
+    """Names are gathered in place: 200,000 long ones would copy tens of GB otherwise."""
+    import time
+
+    from heftgraph.plans import executables
+
+    symbols = [(f"mod%2eorg/module/of/some/length/x.Function{k}", 0, k) for k in range(200_000)]
+    parts = [(".text", 200_064, True, b""), (".rdata", 8, True, b"")]
+    start = time.process_time()
+    made = [executables.elf(parts, [(n, 1, a) for n, _, a in symbols]), executables.mach(parts, symbols), executables.pe(parts, symbols), executables.line_table([(n, 1) for n, _, _ in symbols], 0)]
+    assert time.process_time() - start < 20
+    assert all(symbols[-1][0].encode() in m for m in made)
