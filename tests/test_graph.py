@@ -246,3 +246,41 @@ def test_many_cuts_take_one_walk(spark, monkeypatch):
     monkeypatch.setattr(prune, "MOST_ENTRIES", 1)
     few = cuts.filter("cut_id < '2'")
     assert {r["cut_id"]: (r["bytes"], r["packages"]) for r in d.graph(spark, False).freed_by(few).collect()} == {k: v for k, v in want.items() if k < "2"}
+
+
+def test_hubs_are_walked_apart(spark, monkeypatch):
+    """The edges of hubs are read in the rounds alone that reach one; results are those of plain sets, however many are hubs."""
+    from heftgraph.operators import build, reach
+
+    d = Drawn(29)
+    for hub in (1, 3):
+        monkeypatch.setattr(build, "HUB", hub)
+        g = d.graph(spark, False)
+        degree = {p: sum(s == p for s, _ in d.edges) for p in d.module}
+        assert {r["src"] for r in g.build.links.filter("hub = 1").collect()} == {p for p, n in degree.items() if n >= hub}
+        assert rows(g.base, "pkg") == sorted((p,) for p in d.reach())
+        assert rows(g.exclusive_freed(), "module", "freed_bytes") == sorted((t, d.bytes(d.freed({t}))) for t in d.targets)
+        assert rows(g.prize(), "module", "prize_bytes") == sorted((t, d.bytes(d.reach() - d.reach(prize=t))) for t in d.targets)
+    edges = spark.createDataFrame([(3, 5, 1), (5, 2, 1), (2, 4, 0)], "src long, dst long, hub int")
+    one = lambda n: spark.createDataFrame([(n, 0, 1)], "node long, word int, bits long")
+    assert [rows(e, "src") for _, e in reach.fronts(one(2), edges)] == [[(2,)]]
+    assert rows(reach.reach_bits(edges, one(3)), "node") == [(2,), (3,), (4,), (5,)]
+
+
+def test_prizes_and_breakdowns_take_the_walk_of_the_entries(spark, monkeypatch):
+    """One walk tells what is freed, of which units; prizes take one more where other edges lead into targets."""
+    from heftgraph.operators import entries, prune
+
+    d = Drawn(29)
+    g = d.graph(spark, False)
+    walks, walk = [], entries.reach_bits
+    monkeypatch.setattr(entries, "reach_bits", lambda *a: walks.append(a) or walk(*a))
+    monkeypatch.setattr(prune, "reach_bits", lambda *a: 1 / 0)
+    want = {}
+    for t in d.targets:
+        for p in d.freed({t}):
+            key = (t, d.module[p] or p, not d.module[p])
+            want[key] = want.get(key, 0) + d.size[p]
+    assert rows(g.freed_breakdown(), "module", "unit", "is_std", "bytes") == sorted((*k, b) for k, b in want.items())
+    assert rows(g.prize(), "module", "prize_bytes") == sorted((t, d.bytes(d.reach() - d.reach(prize=t))) for t in d.targets)
+    assert len(walks) == 2
