@@ -16,6 +16,10 @@ the rest. A bucket that is large even then is that of a token that counts as rar
 documents are indexed anew, by that token together with every other one of their prefixes. Since
 linked sets share two prefix tokens, they meet there. So all classes are exact.
 
+Before texts are moved, pairs are held against each other by bitmaps of their sets: each token flips the bit
+of its hash, so two bitmaps differ in no more bits than the sets have tokens that aren't common. Pairs that
+differ in too many can't reach the threshold; no link is lost.
+
 Results for odd input: null, empty and wordless texts have no shingles and stay alone; repeated
 rows of a document appear each; a null doc_id stays alone; an empty table gives an empty result.
 """
@@ -53,15 +57,48 @@ def _sets(batches, k: int):
             yield part, shingle_sets(*utf8(column(part, "text")), k)
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for every remainder of hashes, set if an odd number of tokens has it; as many bits as tokens or up to twice as many, 64 at least."""
+    size = 1 << max(6, (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(size - 1)).view(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, the larger one folded to the size of the other: at most the tokens that only one of the sets has."""
+    if len(x) < len(y):
+        x, y = y, x
+    a = int.from_bytes(x, "little")
+    for size in (8 * len(y) << j for j in reversed(range((len(x) // len(y)).bit_length() - 1))):
+        a = (a >> size) ^ (a & ((1 << size) - 1))
+    return (a ^ int.from_bytes(y, "little")).bit_count()
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), sig (128-bit digest of the set)."""
+    """doc_id, n (set size), sig (128-bit digest of the set), bits (its bitmap)."""
 
     def run(batches):
         for part, sets in _sets(batches, k):
             sig = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary())], names=["doc_id", "n", "sig", "bits"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, n long, sig binary, bits binary")
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) that the sizes and bitmaps of sets(doc_id, n, bits) don't rule out, all links among them."""
+
+    def run(batches):
+        for batch in batches:
+            n = column(batch, "na").to_numpy() + column(batch, "nb").to_numpy()
+            apart = np.array([differing(x, y) for x, y in zip(column(batch, "left").to_pylist(), column(batch, "right").to_pylist(), strict=True)], np.int64)
+            good = (100 + percent) * apart <= (100 - percent) * n
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, sig binary")
+    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("left"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("right"))
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").filter(near).mapInArrow(run, "a long, b long").distinct()
 
 
 def repeated(docs: DataFrame, k: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -242,6 +279,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     reps = settle(own.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "reps")
     few = broadcast_if_small(reps.select(F.col("rep").alias("doc_id")))
     single = texts(docs).join(few, "doc_id", "left_semi")
+    sets = settle(own.filter("n > 0").join(few, "doc_id", "left_semi").select("doc_id", "n", "bits"), "sets")
     counts = repeated(single, k)
     keys = settle(index(single, k, percent, *counts), "keys")
     release(spark)
@@ -273,7 +311,9 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         stars = shared.groupBy("doc_id").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
         stars = stars.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
         stars = settle(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
-        found = verified(stars, docs, k, percent)
+        near = settle(possible(stars, sets, percent), "near")
+        found = verified(near, docs, k, percent)
+        forget(near)
         tried = stars if tried is None else tried.unionByName(stars)
         label = _merged(label, found)
         release(spark)
@@ -296,10 +336,11 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     close = (100 * most >= percent * (F.col("nx") + F.col("ny") - most)) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("top")) | (F.col("x") < F.col("y")))
     pairs = x.join(y, "key").filter(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = verified(pairs, docs, k, percent)
+    near = settle(possible(pairs, sets, percent), "near")
+    more = verified(near, docs, k, percent)
     final = _merged(label, more).withColumnRenamed("node", "rep")
     named = settle(reps.join(final, "rep", "left").select("sig", F.coalesce("label", "rep").alias("label")), "named")
-    forget(buckets, other, pairs, tried, reps)
+    forget(buckets, other, pairs, tried, reps, near, sets)
     release(spark)
     joined = own.join(named, "sig", "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull() | F.col("label").isNull()
