@@ -8,9 +8,12 @@ common prefix of SHALLOW values or more are candidates; first each document's li
 verified, then the one of another class that agrees most, then all others. Regions: documents that share
 the prefix are candidates too. A region of more than REGION documents is cut by further values, as deep
 as it needs, down to DEPTH; regions of one class need no pairs. At the leaves all documents of different
-classes are candidates, however many there are. Leaves are dealt out in blocks, and pairs of blocks are
-held against each other by finer signatures, so that only pairs close to the threshold become rows; of
-those, again, each document's best one is verified first.
+classes are candidates, however many there are, and are held against each other by finer signatures.
+Large leaves, those that are still over REGION documents at DEPTH, are dealt out in blocks that carry whole
+sets: pairs of blocks are verified where they meet, and only links leave, one for two classes that a pair of
+blocks joins. So candidates, which grow with the square of a leaf, never become rows. In the other leaves
+those close to the threshold do, at most REGION a document and order; of those, again, each document's best
+one is verified first.
 
 Neighbours whose signatures agree in fewer than AGREE values are left out, and so are pairs of finer
 signatures that agree in fewer than FINE_AGREE (a pair of similarity 0.8 does so once in 10^7 times); the
@@ -51,8 +54,8 @@ AGREE = 76
 FINE, FINE_AGREE = 2048, 1775
 #: Turns in which only the best candidates in leaves are verified, before all are.
 BEST_TURNS = 2
-#: Documents of a block of a leaf: 256 finer signatures are 64 kB.
-PART = 256
+#: Documents of a block of a leaf: 256 finer signatures are 64 kB. Shingles of a block that carries whole sets: 2 MB.
+PART, PART_SHINGLES = 256, 1 << 18
 #: Shingles whose hashes under all functions are held at once: 4 MB.
 BLOCK = 4096
 
@@ -208,7 +211,7 @@ def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def leaves(forest: DataFrame, label: DataFrame) -> DataFrame:
-    """prefix, doc_id of all leaves with several classes.
+    """prefix, doc_id, large (whether it is cut to the last value and has more than REGION documents even so) of all leaves with several classes.
 
     A region with several classes is cut by further values while it has more than REGION documents.
     """
@@ -218,7 +221,7 @@ def leaves(forest: DataFrame, label: DataFrame) -> DataFrame:
         rows = rows.withColumn("prefix", F.expr(f"substring(path, 1, {1 + 2 * depth})"))
         sizes = settle(rows.groupBy("prefix").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("prefix", "c"), "regions")
         inside = settle(rows.join(small(sizes, 64), "prefix").select("path", "prefix", "doc_id", "label", "c"), "inside")
-        here = inside.filter(F.lit(depth == DEPTH) | (F.col("c") <= REGION)).select("prefix", "doc_id")
+        here = inside.filter(F.lit(depth == DEPTH) | (F.col("c") <= REGION)).select("prefix", "doc_id", (F.col("c") > REGION).alias("large"))
         done = here if done is None else done.unionByName(here)
         rows = inside.filter(F.col("c") > REGION).select("path", "doc_id", "label")
         if rows.isEmpty():
@@ -226,30 +229,111 @@ def leaves(forest: DataFrame, label: DataFrame) -> DataFrame:
     return settle(done, "leaves")
 
 
-def fine_signatures(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, values (the finer signature) of the documents ids(doc_id); of a doc_id with several texts, the set of all."""
+def fine_signatures(ids: DataFrame, docs: DataFrame, k: int, whole: bool = False) -> DataFrame:
+    """doc_id, values (the finer signature) of the documents ids(doc_id), with whole also n and tokens (the set); of a doc_id with several texts, the set of all."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(*utf8(column(part, "text")), k)
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([fine_signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "values"])
+                out = [column(part, "doc_id"), pa.array([fine_signature(s).tobytes() if len(s) else None for s in sets], pa.binary())]
+                if whole:
+                    out += [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "values", "n", "tokens"][: len(out)])
 
     own = texts(docs).join(broadcast_if_small(ids), "doc_id", "left_semi")
-    return settle(own.mapInArrow(run, "doc_id long, values binary").filter("values is not null").distinct(), "fine")
+    schema = "doc_id long, values binary" + (", n long, tokens binary" if whole else "")
+    return settle(own.mapInArrow(run, schema).filter("values is not null").distinct(), "fine")
 
 
-def leaf_blocks(found: DataFrame, label: DataFrame, fine: DataFrame) -> DataFrame:
-    """prefix, i (block), top (whether its documents are of the leaf's most frequent class), docs (doc_id, label, values, homes: hashes of the document's leaves by order, 0 for none)."""
-    rows = settle(_labelled(found, label), "leaf-rows")
-    own = rows.groupBy("prefix", "label").agg(F.count("*").alias("c")).groupBy("prefix").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels"), F.sum("c").alias("c"))
-    mixed = settle(own.filter("labels > 1"), "mixed")
-    dealt = rows.join(small(mixed, 64), "prefix").withColumn("top", F.col("label") == F.col("most"))
-    block = F.expr(f"pmod(xxhash64(doc_id), c div {PART} + 1)").cast("int")
+def homes_of(found: DataFrame) -> DataFrame:
+    """doc_id, homes: hashes of the document's leaves by order, 0 for none."""
     order = F.conv(F.hex(F.substring("prefix", 1, 1)), 16, 10).cast("int")
     by_order = found.withColumn("order", order).groupBy("doc_id").agg(*(F.coalesce(F.max(F.when(F.col("order") == t, F.xxhash64("prefix"))), F.lit(0)).alias(f"h{t}") for t in range(TREES)))
-    homes = by_order.select("doc_id", F.array(*(f"h{t}" for t in range(TREES))).alias("homes"))
-    return dealt.join(fine, "doc_id").join(homes, "doc_id").groupBy("prefix", "top", block.alias("i")).agg(F.collect_list(F.struct("doc_id", "label", "values", "homes")).alias("docs"))
+    return settle(by_order.select("doc_id", F.array(*(f"h{t}" for t in range(TREES))).alias("homes")), "homes")
+
+
+def leaf_blocks(found: DataFrame, label: DataFrame, fine: DataFrame, homes: DataFrame) -> DataFrame:
+    """prefix, i (block), top (whether its documents are of the leaf's most frequent class), docs (doc_id, label, homes and the columns of fine) of the leaves found(prefix, doc_id) with several classes.
+
+    Where fine has whole sets, blocks are bounded by their shingles too.
+    """
+    rows = _labelled(found.select("prefix", "doc_id"), label)
+    n = F.lit(0)
+    if "n" in fine.columns:
+        rows, n = rows.join(fine.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id"), F.sum("n")
+    rows = settle(rows, "leaf-rows")
+    own = rows.groupBy("prefix", "label").agg(F.count("*").alias("c"), n.alias("n")).groupBy("prefix").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels"), F.sum("c").alias("c"), F.sum("n").alias("shingles"))
+    mixed = settle(own.filter("labels > 1"), "mixed")
+    dealt = rows.select("prefix", "doc_id", "label").join(small(mixed, 64), "prefix").withColumn("top", F.col("label") == F.col("most"))
+    block = F.expr(f"pmod(xxhash64(doc_id), greatest(c div {PART}, shingles div {PART_SHINGLES}) + 1)").cast("int")
+    signed = fine.select([c for c in fine.columns if c != "n"])
+    docs = F.collect_list(F.struct("doc_id", "label", "homes", *signed.columns[1:]))
+    return dealt.join(signed, "doc_id").join(homes, "doc_id").groupBy("prefix", "top", block.alias("i")).agg(docs.alias("docs"))
+
+
+def _side(batch: pa.RecordBatch, name: str, n: int) -> tuple:
+    """doc_id, label, values and homes of a block's documents, and the rows that they are of."""
+    rows = column(batch, name).slice(n, 1).flatten()
+    return rows.field("doc_id").to_numpy(), rows.field("label").to_numpy(), _rows_of(rows.field("values"), np.uint64), rows.field("homes").flatten().to_numpy().reshape(-1, TREES), rows
+
+
+def block_links(blocks: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between documents of different classes in one leaf, counted exactly over the whole sets (tokens) of the blocks, stored.
+
+    Of the links of two blocks, those are left out whose classes others of them join already; so are pairs of
+    finer signatures that are apart.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                (*left, x), (*right, y) = (_side(batch, c, n) for c in ("left", "right"))
+                found = _linked(*left, _sets_of(x.field("tokens")), *right, _sets_of(y.field("tokens")), column(batch, "prefix")[n].as_py()[0], percent)
+                if found:
+                    a, b = np.array(found, np.int64).T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    blocks = settle(blocks, "blocks")
+    x = blocks.select("prefix", F.col("top").alias("tx"), F.col("i").alias("ix"))
+    y = blocks.select("prefix", F.col("top").alias("ty"), F.col("i").alias("iy"))
+    # numbers of blocks meet first, so that a leaf's pairs of blocks are spread over tasks
+    pairs = x.join(y, "prefix").filter("not tx and (ty or ix <= iy)")
+    left = blocks.select("prefix", F.col("top").alias("tx"), F.col("i").alias("ix"), F.col("docs").alias("left"))
+    right = blocks.select("prefix", F.col("top").alias("ty"), F.col("i").alias("iy"), F.col("docs").alias("right"))
+    met = pairs.join(left, ["prefix", "tx", "ix"]).join(right, ["prefix", "ty", "iy"]).select("prefix", "left", "right")
+    out = settle(met.mapInArrow(run, "a long, b long").distinct(), "block-links")
+    forget(blocks)
+    return out
+
+
+def _sets_of(tokens: pa.Array) -> list[np.ndarray]:
+    data, offsets = utf8(tokens)
+    flat = data.copy().view(np.uint64)
+    return [flat[a // 8 : b // 8] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _linked(da, la, va, ha, ta, db, lb, vb, hb, tb, order: int, percent: int) -> list[tuple[int, int]]:
+    la, lb = la.copy(), lb.copy()  # classes, as the links found so far join them
+    size = np.array([len(t) for t in tb])
+    out = []
+    for i, (doc, own) in enumerate(zip(da, ta, strict=True)):
+        j = np.flatnonzero(lb != la[i])
+        j = j[agreeing(va[i], vb[j]) >= FINE_AGREE]
+        # a pair that an earlier order has in one leaf is that order's
+        j = j[~((ha[i, :order] == hb[j, :order]) & (ha[i, :order] != 0)).any(axis=1)]
+        if not len(j):
+            continue
+        tokens = np.concatenate([tb[x] for x in j])
+        hit = own[np.minimum(np.searchsorted(own, tokens), len(own) - 1)] == tokens
+        both = np.add.reduceat(hit, np.cumsum(size[j]) - size[j], dtype=np.int64)
+        for x in j[(both > 0) & (100 * both >= percent * (len(own) + size[j] - both))]:
+            if lb[x] != la[i]:
+                out.append((doc, db[x]))
+                old = lb[x]
+                la[la == old] = la[i]
+                lb[lb == old] = la[i]
+    return out
 
 
 def close_pairs(blocks: DataFrame, best: bool) -> DataFrame:
@@ -258,12 +342,8 @@ def close_pairs(blocks: DataFrame, best: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for n in range(batch.num_rows):
-                sides = []
-                for c in ("left", "right"):
-                    rows = column(batch, c).slice(n, 1).flatten()
-                    sides.append((rows.field("doc_id").to_numpy(), rows.field("label").to_numpy(), _rows_of(rows.field("values"), np.uint64), rows.field("homes").flatten().to_numpy().reshape(-1, TREES)))
-                (da, la, va, ha), (db, lb, vb, hb) = sides
-                yield from _close(da, la, va, ha, db, lb, vb, hb, column(batch, "prefix")[n].as_py()[0], best)
+                left, right = (_side(batch, c, n)[:4] for c in ("left", "right"))
+                yield from _close(*left, *right, column(batch, "prefix")[n].as_py()[0], best)
 
     x = blocks.select("prefix", F.col("top").alias("tx"), F.col("i").alias("ix"), F.col("docs").alias("left"))
     y = blocks.select("prefix", F.col("top").alias("ty"), F.col("i").alias("iy"), F.col("docs").alias("right"))
@@ -337,12 +417,20 @@ def classes(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
     ids = settle(found.select("doc_id").unionByName(other.select(F.col("a").alias("doc_id"))).unionByName(other.select(F.col("b").alias("doc_id"))).distinct(), "close-ids")
     fine = fine_signatures(ids, docs, k)
     verify(likely(other, fine, FINE_AGREE, np.uint64))
+    homes = homes_of(found)
+    large, rest = found.filter("large"), found.filter("not large")
+    if not large.isEmpty():
+        whole = fine_signatures(settle(large.select("doc_id").distinct(), "large-ids"), docs, k, True)
+        links = block_links(leaf_blocks(large, label, whole, homes), percent)
+        label = _joined(label, links)
+        forget(whole, links)
+        release(spark)
     for _ in range(BEST_TURNS):
-        best = settle(untried(close_pairs(leaf_blocks(found, label, fine), True)), "best")
+        best = settle(untried(close_pairs(leaf_blocks(rest, label, fine, homes), True)), "best")
         if not verify(_best(best, ["agree"])):
             break
-    verify(untried(close_pairs(leaf_blocks(found, label, fine), False)))
-    forget(other, found, ids, fine)
+    verify(untried(close_pairs(leaf_blocks(rest, label, fine, homes), False)))
+    forget(other, found, ids, fine, homes)
     forget(forest, beside, tried)
     named = settle(reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("label", "rep").alias("label")), "named")
     forget(reps)

@@ -110,3 +110,50 @@ def test_finer_signatures_estimate_similarity():
         agree = [int(minhash_forest.agreeing(*(minhash_forest.fine_signature(s ^ np.uint64(x)).view(np.uint64) for s in (a, b)))) for x in range(20)]
         assert abs(np.mean(agree) / minhash_forest.FINE - (1 + similarity) / 2) < 0.01
         assert (min(agree) >= minhash_forest.FINE_AGREE) == (similarity == 0.8)
+
+
+def test_large_leaves_send_links_alone(spark, monkeypatch):
+    """Many documents of one leaf that are close, but not linked, make no rows of pairs."""
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(100)]
+    rows = [(i, " ".join(base[:99] + [f"c{i}"])) for i in range(600)]
+    for i in range(30):  # similarity 0.77 to those; two pairs are linked
+        own = list(base)
+        for at in r.sample(range(1, 99, 2), 6):
+            own[at] = f"x{i}y{at}"
+        own[99] = f"d{i}"
+        rows.append((1000 + i, " ".join(own)))
+    rows += [(2000 + i, rows[600 + i][1] + " end") for i in range(2)]
+    seen = []
+    verified = minhash_forest.verified
+    monkeypatch.setattr(minhash_forest, "REGION", 2)
+    monkeypatch.setattr(minhash_forest, "PART", 64)
+    monkeypatch.setattr(minhash_forest, "verified", lambda pairs, *more: seen.append(pairs.count()) or verified(pairs, *more))
+    assert rows_of(minhash_forest.classes(frame(spark, rows))) == brute(rows)
+    # neighbours of 32 documents in 32 orders, and best ones
+    assert sum(seen) <= 2 * 32 * 32 + 2 * len(rows), seen
+
+
+def test_links_of_blocks(spark):
+    """Every class that a link joins is joined, by one link of two blocks, whatever the blocks' sizes; pairs of an earlier order are left to it."""
+    rows = [(i, t) for i, t in corpus(17, 60, 25) if len(t.split()) > 4]
+    rows += [(9001, rows[0][1]), (9001, rows[1][1] + " end")]
+    docs, ids = frame(spark, rows), [(i,) for i, _ in rows]
+    label = spark.createDataFrame([(i, i) for i in {i for i, _ in rows}], "node long, label long")
+    found = spark.createDataFrame([(bytearray([3, 0, 1]), i) for (i,) in set(ids)], "prefix binary, doc_id long")
+    whole = minhash_forest.fine_signatures(spark.createDataFrame(ids, "doc_id long"), docs, 2, True)
+    homes = minhash_forest.homes_of(found)
+    want = brute(rows)
+    for part, shingles in ((256, 1 << 18), (20, 1 << 18), (256, 900)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(minhash_forest, "PART", part)
+            m.setattr(minhash_forest, "PART_SHINGLES", shingles)
+            blocks = minhash_forest.leaf_blocks(found, label, whole, homes).collect()
+            assert len(blocks) > 2 or (part, shingles) == (256, 1 << 18)
+            links = minhash_forest.block_links(minhash_forest.leaf_blocks(found, label, whole, homes), 80)
+        named = {r["node"]: r["label"] for r in minhash_forest.components(links.selectExpr("a u", "b v")).collect()}
+        assert sorted({(i, named.get(i, i)) for i, _ in rows}) == sorted({(i, c) for _, i, _, c in want})
+        if len(blocks) < 3:
+            assert links.count() == len({i for i, _ in rows}) - len({c for *_, c in want})
+    earlier = homes.selectExpr("doc_id", "transform(homes, (h, i) -> if(i = 1, 7L, h)) homes")
+    assert minhash_forest.block_links(minhash_forest.leaf_blocks(found, label, whole, earlier), 80).count() == 0
