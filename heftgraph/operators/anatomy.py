@@ -48,7 +48,7 @@ def summary(files: DataFrame, named: DataFrame) -> DataFrame:
     held = counted(files).groupBy("path").agg(F.sum("size").alias("accounted_size"), F.sum(F.when(F.col("is_pclntab"), F.col("size"))).alias("pclntab_size"))
     of = lambda kind: F.sum(F.when(F.col("owner") == kind, F.col("bytes"))).alias(f"{kind}_size")
     own = named.groupBy("path").agg(F.sum("code_bytes").alias("code_size"), F.sum("data_bytes").alias("data_size"), of("std"), of("main"), of("generated"))
-    out = files.select("path", F.col("file_size").alias("binary_size"), "stripped").join(held, "path", "left").join(own, "path", "left")
+    out = files.filter("part = 0").select("path", F.col("file_size").alias("binary_size"), "stripped").join(held, "path", "left").join(own, "path", "left")
     return out.select("path", "binary_size", *map(zero, ("accounted_size", "code_size", "data_size", "pclntab_size", "std_size", "main_size", "generated_size")), "stripped")
 
 

@@ -23,33 +23,67 @@ _NAME = "case o_custkey % 4 when 0 then 'app/cmd.F' when 1 then concat('mod%2eor
 TABLE_BYTES = 4096
 
 
+#: Orders or suppliers that one task writes.
+WRITTEN = 1 << 18
+
+
 def _files(spark, sf):
     """Three executables of one format each, whose symbols are orders, and a stripped one, whose functions are suppliers."""
-    symbols = derived.read(spark, sf, "orders").selectExpr("o_orderkey % 3 as kind", f"concat({_NAME}, o_orderkey) as name", "cast(o_custkey % 2 as int) as sect", "o_orderkey * 16 as addr")
-    functions = derived.read(spark, sf, "supplier").selectExpr("3 as kind", "concat('mod%2eorg/m', s_suppkey % 3, '/x.F', s_suppkey) as name", "0 as sect", "s_suppkey % 50 as addr")
-    # an executable is one row, as it is one file
-    listed = symbols.unionByName(functions).groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("name", "sect", "addr"))).alias("rows"))
-
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            out = []
-            for kind, rows in zip(frame["kind"], frame["rows"], strict=True):
-                name = KINDS[kind % 3]
+    orders, suppliers = derived.read(spark, sf, "orders"), derived.read(spark, sf, "supplier")
+    symbols = orders.selectExpr("o_orderkey % 3 as kind", f"concat({_NAME}, o_orderkey) as name", "cast(o_custkey % 2 as int) as sect", "o_orderkey * 16 as addr")
+    functions = suppliers.selectExpr("3 as kind", "concat('mod%2eorg/m', s_suppkey % 3, '/x.F', s_suppkey) as name", "0 as sect", "s_suppkey % 50 as addr")
+    runs = (orders.count() + suppliers.count()) // WRITTEN + 1
+    listed = symbols.unionByName(functions).withColumn("run", F.expr(f"cast(pmod(xxhash64(name), {runs}) as int)"))
+    length = "octet_length(name) + 1"
+    last = lambda k: f"coalesce(max(if(sect = {k}, addr, null)), 0)"
+    totals = listed.groupBy("kind", "run").agg(*map(F.expr, ("count(*) as n", f"sum({length}) as names", f"coalesce(sum(if({length} > {executables.SHORT + 1}, {length}, 0)), 0) as apart", f"{last(0)} as first", f"{last(1)} as second", "sum(addr) as bytes"))).collect()
+    plans, before, rest = {}, {}, []
+    for kind in sorted({r["kind"] for r in totals}):
+        n = names = size = 0
+        first, second, name = 0, 0, KINDS[kind % 3]
+        for r in totals:  # each run has its place in the file
+            if r["kind"] == kind:
+                before[kind, r["run"]] = n, names, size
+                n, names, size = n + r["n"], names + r["apart" if name == "pe" and kind != 3 else "names"], size + r["bytes"]
+                first, second = max(first, r["first"]), max(second, r["second"])
+        if kind == 3:
+            lines = executables.Lines(n, names, 0x1000)
+            plan = executables.elf_plan([(".text", 8192, True, b""), (".gopclntab", lines.size, True, b"")], 0, 0)
+            plans[kind] = lines, plan.bodies[2]
+            rest += [(f"bin{kind}", plan.bodies[2] + at, raw) for at, raw in lines.ends(size)]
+        else:
+            table = executables.line_table([], 0x1000)
+            parts = [(TEXT[name], first + 64, True, b""), (DATA[name], second + 64, True, b""), (ZERO[name], 128, False, b""), (TABLE[name], TABLE_BYTES, True, table)]
+            make, skip = {"elf": (executables.elf_plan, 1), "mach-o": (executables.mach_plan, 0), "pe": (executables.pe_plan, 0)}[name]
+            plan = make(parts, n, names)
+            plans[kind] = plan, skip
+        rest += [(f"bin{kind}", at, raw) for at, raw in plan.pieces]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        done = dict(before)
+        for batch in batches:
+            kinds, parts, sects, addrs = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 4, 2, 3))
+            texts = batch.column(1)
+            for kind, part in sorted(set(zip(kinds.tolist(), parts.tolist(), strict=True))):
+                which = np.flatnonzero((kinds == kind) & (parts == part))
+                names = [n.encode() for n in texts.take(pa.array(which)).to_pylist()]
+                n, length, size = done[kind, part]
                 if kind == 3:
-                    table = executables.line_table([(r["name"], int(r["addr"])) for r in rows], 0x1000)
-                    content = executables.elf([(".text", 8192, True, b""), (".gopclntab", len(table), True, table)], [])
+                    lines, start = plans[kind]
+                    pieces = [(start + at, raw) for at, raw in lines.run(names, addrs[which], n, length, size)]
                 else:
-                    table = executables.line_table([], 0x1000)
-                    last = {s: max((int(r["addr"]) for r in rows if r["sect"] == s), default=0) + 64 for s in (0, 1)}
-                    parts = [(TEXT[name], last[0], True, b""), (DATA[name], last[1], True, b""), (ZERO[name], 128, False, b""), (TABLE[name], TABLE_BYTES, True, table)]
-                    make, first = {"elf": (executables.elf, 1), "mach-o": (executables.mach, 0), "pe": (executables.pe, 0)}[name]
-                    content = make(parts, [(r["name"], int(r["sect"]) + first, int(r["addr"])) for r in rows])
-                out.append((f"bin{kind}", content))
-            yield pd.DataFrame(out, columns=["path", "content"])
+                    plan, skip = plans[kind]
+                    pieces = plan.run(names, sects[which] + skip, addrs[which], n, length)
+                least = executables.SHORT if kind != 3 and KINDS[kind] == "pe" else -1
+                done[kind, part] = n + len(names), length + sum(len(x) + 1 for x in names if len(x) > least), size + int(addrs[which].sum())
+                yield pa.RecordBatch.from_arrays([pa.array([f"bin{kind}"] * len(pieces), pa.string()), pa.array([at for at, _ in pieces], pa.int64()), pa.array([raw for _, raw in pieces], pa.binary())], names=["path", "at", "body"])
 
-    return stored(binaries.parsed(listed.mapInPandas(run, "path string, content binary")))
+    fields = "path string, at long, body binary"
+    written = listed.select("kind", "name", "sect", "addr", "run").repartition(runs, "run").mapInArrow(run, fields)
+    return stored(binaries.gathered(written.unionByName(spark.createDataFrame(rest, fields))))
 
 
 _NAMES = "CASE o_custkey % 4 WHEN 0 THEN 'app/cmd.F' WHEN 1 THEN 'mod%2eorg/m' || (o_custkey % 3) || '/x.F' WHEN 2 THEN 'fmt.F' ELSE 'type:x.F' END || o_orderkey"
@@ -120,7 +154,7 @@ def size_third_party(spark, sf):
     files = _files(spark, sf)
     named = _owned(spark, files)
     parts = anatomy.breakdown(anatomy.summary(files, named), anatomy.module_sizes(named), "app")
-    return parts.filter("part = 'third-party'").join(files.select("path"), "path").select("path", "bytes")
+    return parts.filter("part = 'third-party'").join(files.filter("part = 0").select("path"), "path").select("path", "bytes")
 
 
 @query("WITH s AS (SELECT p_partkey, 'brand/' || p_brand || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '/' || p_size ELSE '/' || p_size || '/deep' END AS path FROM part), m AS (SELECT DISTINCT 'brand/' || p_brand AS module FROM part UNION SELECT DISTINCT 'brand/' || p_brand || '/' || p_size FROM part WHERE p_size <= 10) SELECT p_partkey, (SELECT max_by(module, length(module)) FROM m WHERE s.path = module OR starts_with(s.path, module || '/')) AS module FROM s")
