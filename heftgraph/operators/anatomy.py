@@ -22,9 +22,7 @@ def packages(files: DataFrame) -> DataFrame:
     """path, pkg, bytes, code_bytes, data_bytes: by symbols with their share of the line table, or by the functions of stripped files."""
     sized = sizes.symbol_sizes(binaries.symbols(files), binaries.sections(files), BY)
     table = counted(files).filter("is_pclntab").groupBy("path").agg(F.max("size").alias("pclntab"))
-    whole = sizes.package_sizes(sized, table, BY)
-    data = sized.filter("not is_text").groupBy("path", symbol_package(F.col("name")).alias("pkg")).agg(F.sum("bytes").alias("data_bytes"))
-    whole = whole.join(data, ["path", "pkg"], "left").select("path", "pkg", "bytes", "code_bytes", F.coalesce("data_bytes", F.lit(0)).alias("data_bytes"))
+    whole = sizes.package_sizes(sized, table, BY, True)
     code = binaries.function_sizes(files).groupBy("path", symbol_package(F.col("name")).alias("pkg")).agg(F.sum("size").alias("bytes"))
     return whole.unionByName(code.select("path", "pkg", "bytes", F.col("bytes").alias("code_bytes"), F.lit(0).cast("long").alias("data_bytes")))
 

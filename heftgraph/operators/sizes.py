@@ -18,17 +18,19 @@ def symbol_sizes(symbols: DataFrame, sections: DataFrame, by: tuple[str, ...] =
     return s.filter("bytes >= 0").select(*by, "sect", "addr", "name", "is_text", "bytes")
 
 
-def package_sizes(sized: DataFrame, pclntab: int | DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """*by, pkg, bytes, code_bytes, with each package's share of the line table, of pclntab(*by, pclntab) bytes, by its code."""
+def package_sizes(sized: DataFrame, pclntab: int | DataFrame, by: tuple[str, ...] = (), data: bool = False) -> DataFrame:
+    """*by, pkg, bytes, code_bytes, if asked data_bytes, with each package's share of the line table, of pclntab(*by, pclntab) bytes, by its code."""
     own = sized.groupBy(*by, symbol_package(F.col("name")).alias("pkg")).agg(F.sum("bytes").alias("b"), F.sum(F.when(F.col("is_text"), F.col("bytes")).otherwise(0)).alias("code_bytes"))
-    total = own.groupBy(*by).agg(F.sum("code_bytes").alias("t"))
+    if by:  # the symbols are followed once
+        joined = own.withColumn("t", F.sum("code_bytes").over(Window.partitionBy(*by)))
+    else:
+        joined = own.crossJoin(own.agg(F.sum("code_bytes").alias("t")))
     if isinstance(pclntab, DataFrame):
-        total = total.join(pclntab, list(by), "left").withColumn("p", F.coalesce("pclntab", F.lit(0)))
+        joined = joined.join(pclntab, list(by), "left").withColumn("p", F.coalesce("pclntab", F.lit(0)))
     else:
-        total = total.withColumn("p", F.lit(pclntab))
+        joined = joined.withColumn("p", F.lit(pclntab))
     share = F.when(F.col("t") > 0, F.expr("cast(cast(p as decimal(38,0)) * code_bytes div t as long)")).otherwise(0)
-    joined = own.join(total, list(by)) if by else own.crossJoin(total)
-    return joined.select(*by, "pkg", (F.col("b") + share).alias("bytes"), "code_bytes")
+    return joined.select(*by, "pkg", (F.col("b") + share).alias("bytes"), "code_bytes", *([(F.col("b") - F.col("code_bytes")).alias("data_bytes")] if data else []))
 
 
 def module_sizes(packages: DataFrame) -> DataFrame:

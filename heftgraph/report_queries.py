@@ -8,7 +8,7 @@ from heftgraph.functions import labels
 from heftgraph.functions.scalars import short_module, symbol_package
 from heftgraph.operators import anatomy, budget, order, prefix, reports, sizes
 from heftgraph.operators import inspect as inspection
-from heftgraph.operators.storage import stored
+from heftgraph.operators.storage import stands, stored
 from heftgraph.plans import derived, executables
 from heftgraph.plans.derived import graph
 from heftgraph import detail_queries  # noqa: F401  (some queries here build on its)
@@ -28,6 +28,11 @@ WRITTEN = 1 << 18
 
 
 def _files(spark, sf):
+    """The executables of these tables; queries share them."""
+    return derived.held(spark, sf, "executables", WRITTEN, make=lambda: stored(_made(spark, sf)), good=stands, tables=("orders", "supplier"))
+
+
+def _made(spark, sf):
     """Three executables of one format each, whose symbols are orders, and a stripped one, whose functions are suppliers."""
     orders, suppliers = derived.read(spark, sf, "orders"), derived.read(spark, sf, "supplier")
     symbols = orders.selectExpr("o_orderkey % 3 as kind", f"concat({_NAME}, o_orderkey) as name", "cast(o_custkey % 2 as int) as sect", "o_orderkey * 16 as addr")
@@ -83,7 +88,7 @@ def _files(spark, sf):
 
     fields = "path string, at long, body binary"
     written = listed.select("kind", "name", "sect", "addr", "run").repartition(runs, "run").mapInArrow(run, fields)
-    return stored(binaries.gathered(written.unionByName(spark.createDataFrame(rest, fields))))
+    return binaries.gathered(written.unionByName(spark.createDataFrame(rest, fields)))
 
 
 _NAMES = "CASE o_custkey % 4 WHEN 0 THEN 'app/cmd.F' WHEN 1 THEN 'mod%2eorg/m' || (o_custkey % 3) || '/x.F' WHEN 2 THEN 'fmt.F' ELSE 'type:x.F' END || o_orderkey"
@@ -128,7 +133,7 @@ def binary_packages(spark, sf):
 def _owned(spark, files):
     listed = spark.createDataFrame([("app/cmd", "app"), ("fmt", "")], "pkg string, module string")
     modules = spark.createDataFrame([("app",), ("mod.org/m0",), ("mod.org/m1",), ("mod.org",)], "module string")
-    return anatomy.owned(anatomy.packages(files), listed, modules, "app")
+    return anatomy.owned(stored(anatomy.packages(files)), listed, modules, "app")  # read three times
 
 
 _MOD = ", ow AS (SELECT *, CASE WHEN pkg LIKE 'app/%' THEN 'app' WHEN pkg IN ('mod.org/m0/x', 'mod.org/m1/x') THEN left(pkg, 10) WHEN pkg LIKE 'mod.org/%' THEN 'mod.org' ELSE '' END AS module FROM pk), ms AS (SELECT path, module, CAST(sum(bytes) AS BIGINT) AS size FROM ow WHERE module <> '' GROUP BY 1, 2)"
